@@ -66,12 +66,14 @@ def win_probability(cp: Column, mate: Column, slope: float = 0.00368208) -> Colu
 
 
 def eval_label(cp: Column, edge: int = 300) -> Column:
-    pawns = cp / 100.0
+    # format_number rounds the exact binary value; format_string would round its decimal text half up
+    pawns = F.call_function("format_number", cp / 100.0, F.lit("0.0"))
+    signed = F.when(cp >= 0, F.concat(F.lit("+"), pawns)).otherwise(pawns)
     return (
         F.when(cp.isNull(), "unknown")
-        .when(cp > edge, F.concat(F.format_string("+%.1f", pawns), F.lit(" — White is winning")))
-        .when(cp < -edge, F.concat(F.format_string("%.1f", pawns), F.lit(" — Black is winning")))
-        .otherwise(F.concat(F.format_string("%+.1f", pawns), F.lit(" — Balanced")))
+        .when(cp > edge, F.concat(signed, F.lit(" — White is winning")))
+        .when(cp < -edge, F.concat(signed, F.lit(" — Black is winning")))
+        .otherwise(F.concat(signed, F.lit(" — Balanced")))
     )
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plylake import fixtures as fx
-from plylake.operators import stats
+from plylake.functions import columns as col_fn
+from plylake.operators import evals as ev, stats
 from plylake.operators.games import games_from_events, perspective
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +116,81 @@ def merge_top_lists(spark, sf_dir):
         for kind in ("click", "view", "purchase")
     ]
     return stats.merge_top_lists(*lists)
+
+
+# ---------------------------------------------------------------------------- evaluations
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.attach_evals(fx.move_events(spark, sf_dir), fx.evals(spark, sf_dir))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.judge_moves(_evaluated(spark, sf_dir), stats.CORRECTED)
+
+
+@query
+def attach_evals(spark, sf_dir):
+    return _evaluated(spark, sf_dir).select("game_id", "move_number", "fen", "cp", "mate", "best_move")
+
+
+@query
+def positions_to_eval(spark, sf_dir):
+    return ev.positions_to_eval(fx.move_events(spark, sf_dir), fx.evals(spark, sf_dir))
+
+
+@query
+def judge_moves(spark, sf_dir):
+    return ev.judgement_columns(ev.judge_moves(_evaluated(spark, sf_dir), stats.REFERENCE))
+
+
+@query
+def judge_moves_corrected(spark, sf_dir):
+    return ev.judgement_columns(_judged(spark, sf_dir))
+
+
+@query
+def game_judgement(spark, sf_dir):
+    return ev.game_judgement(ev.judge_moves(_evaluated(spark, sf_dir), stats.REFERENCE))
+
+
+@query
+def eval_curve(spark, sf_dir):
+    return ev.eval_curve(_evaluated(spark, sf_dir))
+
+
+@query
+def eval_swings(spark, sf_dir):
+    return ev.eval_swings(ev.eval_curve(_evaluated(spark, sf_dir)))
+
+
+@query
+def eval_label(spark, sf_dir):
+    return fx.evals(spark, sf_dir).select("fen", col_fn.eval_label(F.col("cp")).alias("label"))
+
+
+@query
+def opening_label(spark, sf_dir):
+    return _games(spark, sf_dir).select(
+        "game_id", col_fn.opening_label(F.col("opening_eco"), F.col("opening_name")).alias("label")
+    )
+
+
+@query
+def game_digest(spark, sf_dir):
+    return ev.game_digest(_evaluated(spark, sf_dir))
+
+
+@query
+def win_probability(spark, sf_dir):
+    return ev.win_probability(_evaluated(spark, sf_dir))
+
+
+@query
+def turning_point(spark, sf_dir):
+    return ev.turning_point(_judged(spark, sf_dir))
+
+
+@query
+def winning_not_won(spark, sf_dir):
+    return ev.winning_not_won(_evaluated(spark, sf_dir))

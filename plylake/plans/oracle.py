@@ -146,3 +146,68 @@ oracle("merge_top_lists", """SELECT id, list_no, rank FROM (
       CAST(min(event_id) AS INT) AS rank
     FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL))
 WHERE n = 1""")
+
+# ---------------------------------------------------------------------------- evaluations
+
+oracle("attach_evals", "SELECT game_id, move_number, fen, cp, mate, best_move FROM ee", "ee")
+oracle("positions_to_eval", """SELECT DISTINCT fen AS position FROM ev WHERE fen NOT IN (SELECT fen FROM evals)""",
+       "ev", "evals")
+
+
+def _class(drop: str) -> str:
+    return (f"CASE WHEN {drop} >= 200 THEN 'blunder' WHEN {drop} >= 100 THEN 'mistake' "
+            f"WHEN {drop} >= 50 THEN 'inaccuracy' WHEN {drop} IS NOT NULL THEN 'good' END")
+
+
+cte("jr", f"""SELECT *, {_class('-eval_delta')} AS classification FROM (
+  SELECT *, cp - lag(cp) OVER (PARTITION BY game_id ORDER BY move_number) AS eval_delta FROM ee)""", "ee")
+cte("jc", f"""SELECT *, {_class('loss')} AS classification FROM (
+  SELECT *, CAST(CASE WHEN whose_moved = 'white' THEN cp - nxt ELSE nxt - cp END AS INT) AS loss, nxt - cp AS eval_delta
+  FROM (SELECT *, lead(cp) OVER (PARTITION BY game_id ORDER BY move_number) AS nxt,
+               CASE WHEN whose_moved = 'white' THEN white_id ELSE black_id END AS player_id FROM ee))""", "ee")
+JUDGED = """SELECT game_id, move_number, whose_moved, move, cp AS eval_cp, eval_delta, best_move, classification,
+  round(CAST(clock_remaining AS DOUBLE) / 100.0, 1) AS clock_s FROM """
+oracle("judge_moves", JUDGED + "jr", "jr")
+oracle("judge_moves_corrected", JUDGED + "jc", "jc")
+oracle("game_judgement", """SELECT game_id, count(*) FILTER (classification = 'blunder') AS blunders,
+  count(*) FILTER (classification = 'mistake') AS mistakes,
+  count(*) FILTER (classification = 'inaccuracy') AS inaccuracies, count(*) AS total_moves,
+  coalesce(any_value(winner), 'draw') AS result FROM jr GROUP BY game_id""", "jr")
+cte("curve", """SELECT game_id, move_number, CAST(CASE WHEN mate > 0 THEN 3000 WHEN mate < 0 THEN -3000
+  ELSE coalesce(cp, 0) END AS DOUBLE) / 100.0 AS eval FROM ee WHERE evaluated""", "ee")
+oracle("eval_curve", "SELECT * FROM curve", "curve")
+oracle("eval_swings", """SELECT *, CASE WHEN swing > 2.0 THEN 'red' WHEN swing > 0.5 THEN 'green' ELSE 'blue' END AS color
+FROM (SELECT *, round(abs(eval - lag(eval, 1, 0.0) OVER (PARTITION BY game_id ORDER BY move_number)), 6) AS swing
+      FROM curve)""", "curve")
+oracle("eval_label", """SELECT fen, CASE WHEN cp IS NULL THEN 'unknown'
+  WHEN cp > 300 THEN concat('+', printf('%.1f', cp / 100.0), ' — White is winning')
+  WHEN cp < -300 THEN concat(printf('%.1f', cp / 100.0), ' — Black is winning')
+  ELSE concat(CASE WHEN cp >= 0 THEN '+' ELSE '' END, printf('%.1f', cp / 100.0), ' — Balanced') END AS label
+FROM evals""", "evals")
+oracle("opening_label", """SELECT game_id, CASE WHEN opening_eco IS NULL THEN ''
+  ELSE opening_eco || ' — ' || substr(opening_name, 1, 25) END AS label FROM g""", "g")
+oracle("game_digest", """SELECT game_id, concat('Game ID: ', game_id, chr(10), 'Players: ', any_value(white_id), ' (White, ',
+    any_value(white_rating), ') vs ', any_value(black_id), ' (Black, ', any_value(black_rating), ')', chr(10),
+    'Opening: ', coalesce(any_value(opening_name), 'None'), ' (', coalesce(any_value(opening_eco), 'None'),
+    '), Speed: ', any_value(speed), chr(10),
+    'Result: ', CASE any_value(winner) WHEN 'white' THEN 'White wins' WHEN 'black' THEN 'Black wins' ELSE 'Draw' END,
+    chr(10), chr(10), 'Move-by-move evaluations (centipawns, positive = White advantage):', chr(10),
+    string_agg(concat('  Move ', move_number, ' (', upper(whose_moved[1]), ') ', move, ': eval=',
+      CASE WHEN mate IS NOT NULL THEN concat('Mate in ', abs(mate))
+           WHEN cp IS NOT NULL THEN concat(CASE WHEN cp >= 0 THEN '+' ELSE '' END, printf('%.2f', cp / 100.0))
+           ELSE '?' END), chr(10) ORDER BY move_number)) AS digest
+FROM ee GROUP BY game_id""", "ee")
+cte("chance", """SELECT *, CASE WHEN mate > 0 THEN 1.0::DOUBLE WHEN mate IS NOT NULL THEN 0.0::DOUBLE
+  ELSE 1.0::DOUBLE / (1.0 + exp(-0.00368208::DOUBLE * cp)) END AS ch FROM ee""", "ee")
+oracle("win_probability", """SELECT game_id, move_number, round(ch, 6) AS white_chance, round(nxt, 6) AS white_chance_after,
+  round(CASE WHEN whose_moved = 'white' THEN ch - nxt ELSE nxt - ch END, 6) AS chance_lost
+FROM (SELECT *, lead(ch) OVER (PARTITION BY game_id ORDER BY move_number) AS nxt FROM chance)""", "chance")
+oracle("turning_point", """SELECT game_id, move_number, move_number - 1 AS ply_before, whose_moved, player_id, loss,
+  loss >= 200 AS decisive
+FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY loss DESC, move_number) AS n
+      FROM jc WHERE loss IS NOT NULL) WHERE n = 1""", "jc")
+oracle("winning_not_won", """SELECT game_id, player_id, color, min(move_number) AS first_ply, max(own_cp) AS best_cp,
+  CASE WHEN any_value(winner) IS NULL THEN 'draw' ELSE 'loss' END AS result
+FROM (SELECT game_id, move_number, winner, white_id AS player_id, 'white' AS color, cp AS own_cp FROM ee
+      UNION ALL SELECT game_id, move_number, winner, black_id, 'black', -cp FROM ee)
+WHERE own_cp > 200 AND (winner IS NULL OR winner <> color) GROUP BY game_id, player_id, color""", "ee")
