@@ -1,0 +1,279 @@
+"""Rules helper of the replay job: many games advance together, one ply at a time, in numpy arrays.
+
+Boards are ``int8[n, 64]`` (a1 = 0, h8 = 63), white pieces positive and black ones negative.
+"""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+
+# Piece codes, the start rank and the token grammar.
+PAWN, KNIGHT, BISHOP, ROOK, QUEEN, KING = 1, 2, 3, 4, 5, 6
+LETTERS = "?PNBRQK"
+BACK_RANK = [ROOK, KNIGHT, BISHOP, QUEEN, KING, BISHOP, KNIGHT, ROOK]
+TOKEN = re.compile(r"([NBRQK])?([a-h])?([1-8])?[-x]?([a-h])([1-8])(?:=?([NBRQnbrq]))?[+#]?")
+CASTLE = re.compile(r"([O0])-\1(-\1)?[+#]?")
+
+_square = np.arange(64)
+FILE, RANK = _square % 8, _square // 8
+_df, _dr = FILE[None] - FILE[:, None], RANK[None] - RANK[:, None]
+_af, _ar = np.abs(_df), np.abs(_dr)
+DIAGONAL = (_af == _ar) & (_af > 0)
+STRAIGHT = (_df == 0) ^ (_dr == 0)
+REACH = np.zeros((7, 64, 64), bool)  # [piece, to, from] on an empty board; pawns are handled apart
+REACH[KNIGHT] = _af * _ar == 2
+REACH[BISHOP] = DIAGONAL
+REACH[ROOK] = STRAIGHT
+REACH[QUEEN] = DIAGONAL | STRAIGHT
+REACH[KING] = np.maximum(_af, _ar) == 1
+PAWN_HITS = {s: (_af == 1) & (_dr == -s) for s in (1, -1)}  # [target, from] for a pawn of that colour
+
+BETWEEN = np.zeros((64, 64), np.uint64)
+for _step in range(1, 7):
+    _inner = (DIAGONAL | STRAIGHT) & (_step < np.maximum(_af, _ar))
+    _at = (RANK[:, None] + _step * np.sign(_dr)) * 8 + FILE[:, None] + _step * np.sign(_df)
+    BETWEEN |= np.where(_inner, np.uint64(1) << np.where(_inner, _at, 0).astype(np.uint64), np.uint64(0))
+
+WK, WQ, BK, BQ = 1, 2, 4, 8
+KEEPS = np.full(64, 15, np.uint8)  # castling rights that survive a move from or to a square
+for _sq, _lost in ((0, WQ), (4, WK | WQ), (7, WK), (56, BQ), (60, BK | BQ), (63, BK)):
+    KEEPS[_sq] = 15 - _lost
+
+
+def start_board() -> np.ndarray:
+    board = np.zeros(64, np.int8)
+    board[0:8], board[8:16], board[48:56] = BACK_RANK, PAWN, -PAWN
+    board[56:64] = -board[0:8]
+    return board
+
+
+def parse_token(token: str) -> tuple[int, int, int, int, int, int]:
+    """(piece, to, from file, from rank, promotion, castling side); piece 0 where the text is no move."""
+    castle = CASTLE.fullmatch(token)
+    if castle:
+        return KING, 0, -1, -1, 0, 2 if castle.group(2) else 1
+    m = TOKEN.fullmatch(token)
+    if not m:
+        return 0, 0, -1, -1, 0, 0
+    piece, file, rank, to_file, to_rank, promo = m.groups()
+    return (
+        LETTERS.index(piece or "P"),
+        "abcdefgh".index(to_file) + 8 * (int(to_rank) - 1),
+        -1 if file is None else "abcdefgh".index(file),
+        -1 if rank is None else int(rank) - 1,
+        0 if promo is None else LETTERS.index(promo.upper()),
+        0,
+    )
+
+
+def _bits(mask: np.ndarray) -> np.ndarray:
+    return np.packbits(mask, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def attacked(board: np.ndarray, square: np.ndarray, by: int) -> np.ndarray:
+    """Whether the square of each board is attacked by the colour ``by``."""
+    men = board * by
+    hit = (
+        ((men == KNIGHT) & REACH[KNIGHT][square])
+        | ((men == KING) & REACH[KING][square])
+        | ((men == PAWN) & PAWN_HITS[by][square])
+    ).any(axis=1)
+    queen = men == QUEEN
+    rays = ((queen | (men == BISHOP)) & DIAGONAL[square]) | ((queen | (men == ROOK)) & STRAIGHT[square])
+    row, source = np.nonzero(rays)
+    if len(row):
+        free = (_bits(board != 0)[row] & BETWEEN[source, square[row]]) == 0
+        hit[row[free]] = True
+    return hit
+
+
+def _move(board, source, to, ep, side):
+    """Boards after plain moves (no promotion, no castling), en passant included."""
+    after = board.copy()
+    n = np.arange(len(after))
+    man = after[n, source]
+    after[n, source] = 0
+    after[n, to] = man
+    passing = (man * side == PAWN) & (to == ep) & (FILE[source] != FILE[to])
+    after[n[passing], to[passing] - 8 * side] = 0
+    return after
+
+
+def king_safe(board: np.ndarray, side: int) -> np.ndarray:
+    return ~attacked(board, np.argmax(board * side == KING, axis=1), -side)
+
+
+def _pawn_sources(cand, own, rows, to, ep, side):
+    t = to[rows]
+    men = own[rows]
+    n = np.arange(len(rows))
+    free, enemy = men[n, t] == 0, men[n, t] < 0
+    back = t - 8 * side
+    inside = (back >= 0) & (back < 64)
+    behind = np.where(inside, back, 0)
+    single = inside & free & (men[n, behind] == PAWN)
+    cand[rows[single], back[single]] = True
+    first = np.where(RANK[t] == (3 if side == 1 else 4), t - 16 * side, 0)
+    double = free & (RANK[t] == (3 if side == 1 else 4)) & (men[n, behind] == 0) & (men[n, first] == PAWN)
+    cand[rows[double], first[double]] = True
+    for d in (-1, 1):
+        source = np.where(inside & (FILE[t] + d >= 0) & (FILE[t] + d < 8), back + d, -1)
+        takes = (source >= 0) & (men[n, np.maximum(source, 0)] == PAWN) & (enemy | (t == ep[rows]))
+        cand[rows[takes], source[takes]] = True
+
+
+def find_source(board, rights, ep, side, code) -> np.ndarray:
+    """Source square of each move, -1 where it is illegal or ambiguous. ``code`` is int[n, 6]."""
+    piece, to, file, rank, promo, castle = code.T
+    n = np.arange(len(board))
+    own = board * side
+    cand = (own == piece[:, None]) & REACH[piece, to]
+    pawn = piece == PAWN
+    rows = np.nonzero(pawn)[0]
+    if len(rows):
+        _pawn_sources(cand, own, rows, to, ep, side)
+    file = np.where(pawn & (file < 0), FILE[to], file)
+    cand &= (file[:, None] < 0) | (FILE[None] == file[:, None])
+    cand &= (rank[:, None] < 0) | (RANK[None] == rank[:, None])
+    last = pawn & (RANK[to] == (7 if side == 1 else 0))
+    cand[(last != (promo > 0)) | (own[n, to] > 0) | (castle > 0)] = False
+
+    row, source = np.nonzero(cand)
+    free = (_bits(board != 0)[row] & BETWEEN[source, to[row]]) == 0
+    row, source = row[free], source[free]
+    safe = king_safe(_move(board[row], source, to[row], ep[row], side), side)
+    row, source = row[safe], source[safe]
+    out = np.full(len(board), -1)
+    out[row] = source
+    out[np.bincount(row, minlength=len(board)) != 1] = -1
+
+    home = 4 if side == 1 else 60
+    for kind, right, empty, path in (
+        (1, WK if side == 1 else BK, (1, 2), (0, 1, 2)),
+        (2, WQ if side == 1 else BQ, (-1, -2, -3), (0, -1, -2)),
+    ):
+        rows = np.nonzero((castle == kind) & (rights & right > 0))[0]
+        if len(rows):
+            fine = (board[rows][:, [home + d for d in empty]] == 0).all(axis=1)
+            for d in path:
+                fine &= ~attacked(board[rows], np.full(len(rows), home + d), -side)
+            out[rows[fine]] = home
+    return out
+
+
+def play(board, rights, ep, half, side, code, source):
+    """Play legal moves; gives the new state, the target squares and whether each one captures."""
+    piece, to, _, _, promo, castle = code.T
+    home = 4 if side == 1 else 60
+    to = np.where(castle == 1, home + 2, np.where(castle == 2, home - 2, to))
+    after = _move(board, source, to, ep, side)
+    n = np.arange(len(board))
+    takes = (board != 0).sum(axis=1) != (after != 0).sum(axis=1)
+    after[n[promo > 0], to[promo > 0]] = side * promo[promo > 0]
+    for kind, rook, land in ((1, home + 3, home + 1), (2, home - 4, home - 1)):
+        after[castle == kind, rook] = 0
+        after[castle == kind, land] = side * ROOK
+    pawn = piece == PAWN
+    double = pawn & (np.abs(to - source) == 16)
+    return (
+        after,
+        rights & KEEPS[source] & KEEPS[to],
+        np.where(double, (to + source) // 2, -1),
+        np.where(pawn | takes, 0, half + 1),
+        to,
+        takes,
+    )
+
+
+def can_pass(board, ep, side) -> np.ndarray:
+    """Whether ``side`` has a legal en passant capture; only then does the position name the square."""
+    out = np.zeros(len(board), bool)
+    for d in (-1, 1):
+        source = ep - 8 * side + d
+        fits = (ep >= 0) & (FILE[ep] + d >= 0) & (FILE[ep] + d < 8)
+        rows = np.nonzero(fits)[0]
+        rows = rows[board[rows, source[rows]] == side * PAWN]
+        if len(rows):
+            out[rows] |= king_safe(_move(board[rows], source[rows], ep[rows], ep[rows], side), side)
+    return out
+
+
+def replay(codes: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+    """Replay games given as move codes (``int[sum(lengths), 6]``) from the start position.
+
+    A game stops at its first move that is not legal.  Gives flat per-ply arrays ordered by game and
+    ply, with the position before each move, and ``played``, the number of plies per game.
+    """
+    games = len(lengths)
+    first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    board = np.tile(start_board(), (games, 1))
+    rights, ep = np.full(games, 15, np.uint8), np.full(games, -1)
+    half, shown = np.zeros(games, int), np.full(games, -1)
+    played = np.zeros(games, int)
+    alive = np.nonzero(lengths > 0)[0]
+    out: list[tuple] = []
+    ply = 0
+    while len(alive):
+        side = 1 if ply % 2 == 0 else -1
+        code = codes[first[alive] + ply]
+        source = find_source(board[alive], rights[alive], ep[alive], side, code)
+        legal = source >= 0
+        alive, code, source = alive[legal], code[legal], source[legal]
+        if not len(alive):
+            break
+        before = (board[alive], rights[alive], shown[alive], half[alive])
+        after, rights[alive], ep[alive], half[alive], to, takes = play(
+            board[alive], rights[alive], ep[alive], half[alive], side, code, source
+        )
+        board[alive] = after
+        check = ~king_safe(after, -side)
+        shown[alive] = np.where(can_pass(after, ep[alive], -side), ep[alive], -1)
+        out.append((alive, np.full(len(alive), ply), *before, source, to, code[:, 4], check, takes))
+        ply += 1
+        played[alive] = ply
+        alive = alive[lengths[alive] > ply]
+    names = ("game", "ply", "board", "rights", "ep", "half", "source", "to", "promo", "check", "capture")
+    if not out:
+        empty = {name: np.zeros((0, 64) if name == "board" else 0, np.int64) for name in names}
+        return {**empty, "played": played}
+    flat = {name: np.concatenate(part) for name, part in zip(names, zip(*out))}
+    order = np.lexsort((flat["ply"], flat["game"]))
+    return {**{name: value[order] for name, value in flat.items()}, "played": played}
+
+
+def packed_text(chars: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Offsets and bytes of one string per row, made of the kept characters."""
+    offsets = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
+    return offsets, chars[keep].astype(np.uint8, copy=False).tobytes()
+
+
+def placement_text(board: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Piece placement field of each position: ranks from the top, empty runs as digits."""
+    ranks = board.reshape(-1, 8, 8)[:, ::-1]
+    empty = ranks == 0
+    run = np.zeros(ranks.shape, np.uint8)
+    run[..., 0] = empty[..., 0]
+    for f in range(1, 8):
+        run[..., f] = (run[..., f - 1] + 1) * empty[..., f]
+    ends = np.ones(ranks.shape, bool)
+    ends[..., :-1] = ~(empty[..., :-1] & empty[..., 1:])
+    letters = np.frombuffer(b"kqrbnp?PNBRQK", np.uint8)
+    chars = np.full((len(board), 8, 9), ord("/"), np.uint8)
+    chars[..., :8] = np.where(empty, run + np.uint8(ord("0")), letters[ranks + 6])
+    keep = np.ones(chars.shape, bool)
+    keep[..., :8] = ends
+    keep[:, -1, 8] = False
+    return packed_text(chars.reshape(-1, 72), keep.reshape(-1, 72))
+
+
+def move_text(source: np.ndarray, to: np.ndarray, promo: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Coordinate text of each move, such as ``e2e4`` or ``e7e8q``."""
+    letters = np.frombuffer(LETTERS.lower().encode(), np.uint8)
+    chars = np.stack(
+        [ord("a") + source % 8, ord("1") + source // 8, ord("a") + to % 8, ord("1") + to // 8, letters[promo]], axis=1
+    )
+    keep = np.ones(chars.shape, bool)
+    keep[:, 4] = promo > 0
+    return packed_text(chars, keep)

@@ -1,0 +1,114 @@
+"""Board replay as a narrow Spark job: one input row per game, no shuffle, Arrow batches in and out."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from plylake.functions.columns import fullmove_number
+
+PLY = T.StructType(
+    [
+        T.StructField("uci", T.StringType()),
+        T.StructField("placement", T.StringType()),
+        T.StructField("rights", T.IntegerType()),
+        T.StructField("ep", T.IntegerType()),
+        T.StructField("halfmove", T.IntegerType()),
+        T.StructField("is_check", T.BooleanType()),
+        T.StructField("is_capture", T.BooleanType()),
+    ]
+)
+
+GAMES_PER_STEP = 2000
+
+Replayer = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def replay_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``plies`` (one entry per legal half-move) and ``truncated`` to games with ``moves``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, GAMES_PER_STEP):
+            yield _replay_slice(batch.slice(start, GAMES_PER_STEP))
+
+
+def _replay_slice(games: pa.RecordBatch) -> pa.RecordBatch:
+    import numpy as np
+    import pyarrow.compute as pc
+
+    from plylake.operators import _board
+
+    text = pc.utf8_trim_whitespace(pc.fill_null(games.column("moves").cast(pa.string()), ""))
+    tokens = pc.utf8_split_whitespace(text)
+    lengths = np.where(pc.equal(text, "").to_numpy(zero_copy_only=False), 0,
+                       pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+    flat = pc.list_flatten(tokens)
+    flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+    parsed = np.array([_board.parse_token(t) for t in flat.dictionary.to_pylist()] or [(0, 0, -1, -1, 0, 0)])
+    done = _board.replay(parsed[flat.indices.to_numpy()], lengths)
+
+    def text_column(packed) -> pa.Array:
+        offsets, data = packed
+        return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+
+    def ints(name: str) -> pa.Array:
+        return pa.array(done[name].astype(np.int32))
+
+    entries = pa.StructArray.from_arrays(
+        [
+            text_column(_board.move_text(done["source"], done["to"], done["promo"])),
+            text_column(_board.placement_text(done["board"])),
+            ints("rights"), ints("ep"), ints("half"),
+            pa.array(done["check"].astype(bool)), pa.array(done["capture"].astype(bool)),
+        ],
+        names=PLY.fieldNames(),
+    )
+    offsets = pa.array(np.concatenate([[0], np.cumsum(done["played"])]).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [*games.columns, pa.ListArray.from_arrays(offsets, entries), pa.array(done["played"] < lengths)],
+        names=[*games.schema.names, "plies", "truncated"],
+    )
+
+
+def replay_games(games: DataFrame, replayer: Replayer | None = None) -> DataFrame:
+    """Games with ``moves`` plus their replayed ``plies`` and whether an illegal move cut them short."""
+    schema = T.StructType(
+        games.schema.fields
+        + [T.StructField("plies", T.ArrayType(PLY)), T.StructField("truncated", T.BooleanType())]
+    )
+    return games.mapInArrow(replayer or replay_batches, schema)
+
+
+def castling_field(rights: Column) -> Column:
+    letters = [F.when(rights.bitwiseAND(bit) > 0, letter) for bit, letter in ((1, "K"), (2, "Q"), (4, "k"), (8, "q"))]
+    return F.coalesce(F.nullif(F.concat_ws("", *letters), F.lit("")), F.lit("-"))
+
+
+def square_name(square: Column) -> Column:
+    return F.concat(
+        F.substring(F.lit("abcdefgh"), square % 8 + 1, F.lit(1)), (F.floor(square / 8) + 1).cast("string")
+    )
+
+
+def explode_replayed(replayed: DataFrame) -> DataFrame:
+    """One row per legal half-move: ``move``, ``fen`` before it, check and capture flags."""
+    rows = replayed.select("*", F.posexplode("plies").alias("pos", "ply")).drop("plies", "moves")
+    fen = F.concat_ws(
+        " ",
+        F.col("ply.placement"),
+        F.when(F.col("pos") % 2 == 0, "w").otherwise("b"),
+        castling_field(F.col("ply.rights")),
+        F.when(F.col("ply.ep") >= 0, square_name(F.col("ply.ep"))).otherwise("-"),
+        F.col("ply.halfmove").cast("string"),
+        fullmove_number(F.col("pos")).cast("string"),
+    )
+    return (
+        rows.withColumn("move_number", F.col("pos") + 1)
+        .withColumn("move", F.col("ply.uci"))
+        .withColumn("fen", fen)
+        .withColumn("whose_moved", F.when(F.col("pos") % 2 == 0, "white").otherwise("black"))
+        .withColumn("is_check", F.col("ply.is_check"))
+        .withColumn("is_capture", F.col("ply.is_capture"))
+        .drop("pos", "ply")
+    )

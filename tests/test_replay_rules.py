@@ -1,0 +1,86 @@
+"""Rules helper: published move-generation counts and short games written by hand."""
+
+import numpy as np
+import pytest
+
+from plylake.operators import _board as b
+
+LETTER = dict(zip("PNBRQKpnbrqk", [1, 2, 3, 4, 5, 6, -1, -2, -3, -4, -5, -6]))
+
+
+def position(fen):
+    """(board, rights, ep, side) of one FEN, as arrays of length one."""
+    place, turn, castle, ep = fen.split()[:4]
+    board = np.zeros((1, 64), np.int8)
+    for r, row in enumerate(place.split("/")):
+        f = 0
+        for ch in row:
+            if ch.isdigit():
+                f += int(ch)
+            else:
+                board[0, (7 - r) * 8 + f] = LETTER[ch]
+                f += 1
+    rights = sum(bit for c, bit in zip("KQkq", (1, 2, 4, 8)) if c in castle)
+    square = -1 if ep == "-" else "abcdefgh".index(ep[0]) + 8 * (int(ep[1]) - 1)
+    return board, np.array([rights], np.uint8), np.array([square]), 1 if turn == "w" else -1
+
+
+def all_codes(board, side):
+    """Every fully specified move text, legal or not, per position: (row, code)."""
+    row, source = np.nonzero(board * side > 0)
+    row, source = np.repeat(row, 64), np.repeat(source, 64)
+    to = np.tile(np.arange(64), len(row) // 64)
+    piece = np.abs(board[row, source]).astype(int)
+    codes = []
+    last = (piece == b.PAWN) & ((b.RANK[to] == 0) | (b.RANK[to] == 7))
+    for promo in (0, 2, 3, 4, 5):
+        pick = last if promo else ~last
+        codes.append((row[pick], np.stack([piece, to, b.FILE[source], b.RANK[source],
+                                           np.full(len(to), promo), np.zeros(len(to), int)], 1)[pick]))
+    for kind in (1, 2):
+        n = len(board)
+        codes.append((np.arange(n), np.tile([b.KING, 0, -1, -1, 0, kind], (n, 1))))
+    return np.concatenate([c[0] for c in codes]), np.concatenate([c[1] for c in codes])
+
+
+def perft(fen, depth):
+    board, rights, ep, side = position(fen)
+    counts = []
+    for _ in range(depth):
+        row, code = all_codes(board, side)
+        source = b.find_source(board[row], rights[row], ep[row], side, code)
+        ok = source >= 0
+        row, code, source = row[ok], code[ok], source[ok]
+        counts.append(len(row))
+        board, rights, ep, _, _, _ = b.play(
+            board[row], rights[row], ep[row], np.zeros(len(row), int), side, code, source
+        )
+        side = -side
+    return counts
+
+
+@pytest.mark.parametrize(
+    "fen, counts",
+    [
+        ("rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -", [20, 400, 8902]),
+        ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq -", [48, 2039, 97862]),
+        ("8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - -", [14, 191, 2812, 43238]),
+        ("r3k2r/Pppp1ppp/1b3nbN/nP6/BBP1P3/q4N2/Pp1P2PP/R2Q1RK1 w kq -", [6, 264, 9467]),
+        ("rnbq1k1r/pp1Pbppp/2p5/8/2B5/8/PPP1NnPP/RNBQK2R w KQ -", [44, 1486, 62379]),
+    ],
+)
+def test_published_move_counts(fen, counts):
+    assert perft(fen, len(counts)) == counts
+
+
+@pytest.mark.parametrize(
+    "token, code",
+    [
+        ("e4", (1, 28, -1, -1, 0, 0)), ("exd5+", (1, 35, 4, -1, 0, 0)), ("Nbd2", (2, 11, 1, -1, 0, 0)),
+        ("R1a3#", (4, 16, -1, 0, 0, 0)), ("Qh4e1", (5, 4, 7, 3, 0, 0)), ("e8=Q", (1, 60, -1, -1, 5, 0)),
+        ("O-O", (6, 0, -1, -1, 0, 1)), ("O-O-O+", (6, 0, -1, -1, 0, 2)), ("0-0", (6, 0, -1, -1, 0, 1)),
+        ("zz", (0, 0, -1, -1, 0, 0)), ("Ni9", (0, 0, -1, -1, 0, 0)),
+    ],
+)
+def test_token_grammar(token, code):
+    assert b.parse_token(token) == code
