@@ -90,12 +90,37 @@ def live_events(df: DataFrame) -> DataFrame:
         "as status_name",
         "cast(floor(value) as int) as wc",
         "cast(floor(value / 2) as int) as bc",
+        "cast(event_id % 80 + 1 as int) as ply",
+    )
+
+
+def status_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw status event per event row, with every id spelling and both forms of nested fields."""
+    side = (
+        "named_struct('userId', case when event_id % 4 = {shift} then concat('u', user_id) "
+        "when event_id % 4 = 3 then '' end,"
+        "'user', named_struct('id', case when event_id % 4 = 1 then concat('n', user_id) end, 'title', 'IM'),"
+        "'id', concat('i', user_id), 'rating', cast(1000 + event_id % 900 as int),"
+        "'title', case when event_id % 5 = 0 then 'GM' else '' end)"
+    )
+    return table(spark, sf_dir, "events").selectExpr(
+        "case when event_id % 97 = 0 then 'not json' else to_json(named_struct("
+        "'id', case when event_id % 89 = 0 then '' else concat('g', event_id) end,"
+        "'timestamp', date_format(cast(ts as timestamp), \"yyyy-MM-dd'T'HH:mm:ss'Z'\"),"
+        "'statusName', case event_type when 'signup' then 'started' when 'click' then 'created' "
+        "when 'error' then 'resign' when 'view' then '' end,"
+        "'status', case when event_type = 'purchase' then 'draw' end,"
+        "'speed', 'blitz', 'rated', event_id % 2 = 0, 'variant', 'standard', 'source', 'pool',"
+        "'winner', case when event_id % 2 = 0 then 'white' end,"
+        "'tournament', case when event_id % 10 = 0 then named_struct('id', 't1') end,"
+        f"'players', named_struct('white', {side.format(shift=0)}, 'black', {side.format(shift=2)}))) end as value"
     )
 
 
 def start_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One game_start message (JSON text in ``value``) per order."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    """One game_start message (JSON text in ``value``) per order; every fifth is sent twice."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.unionAll(orders.where("o_orderkey % 5 = 0")).selectExpr(
         "to_json(named_struct("
         "'game_id', cast(o_orderkey as string),"
         "'timestamp', concat(cast(cast(o_orderdate as date) as string), 'T23:59:30Z'),"
@@ -145,3 +170,28 @@ def export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'eco', concat('C', substr(o_orderpriority, 1, 1), '0'), 'name', substr(o_orderpriority, 3),"
         "'ply', 4) end)) as value"
     )
+
+
+def knight_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legal movetext per game, one token per line item.
+
+    Each side's kingside knight goes out (to the f or h file, as the line item says) and comes back;
+    every seventh game has an unplayable token at ply 9.
+    """
+    plies = table(spark, sf_dir, "lineitem").selectExpr(
+        "cast(floor(l_orderkey / 10) as bigint) as gid", "l_orderkey", "l_linenumber", "l_partkey",
+        "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity",
+    )
+    lines = plies.groupBy("gid").agg(
+        F.array_sort(F.collect_list(F.struct(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"
+        ))).alias("lines")
+    )
+    return lines.selectExpr(
+        "cast(gid as string) as game_id",
+        "concat_ws(' ', transform(lines, (x, i) -> case "
+        "when gid % 7 = 0 and i = 8 then 'Qa9' "
+        "when i % 4 = 0 then if(x.l_suppkey % 2 = 0, 'Nf3', 'Nh3') "
+        "when i % 4 = 1 then if(x.l_suppkey % 2 = 0, 'Nf6', 'Nh6') "
+        "when i % 4 = 2 then 'Ng1' else 'Ng8' end)) as moves",
+    )

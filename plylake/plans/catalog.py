@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plylake import fixtures as fx
 from plylake.functions import columns as col_fn
-from plylake.operators import evals as ev, stats
+from plylake.operators import evals as ev, events, expand, patterns, replay as replay_job, stats
 from plylake.operators.games import games_from_events, perspective
+from plylake.session import scratch_path
+from plylake.sources import landing, sinks
+from plylake.streaming import discover, land, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,9 +111,9 @@ def game_replay(spark, sf_dir):
 
 @query
 def merge_top_lists(spark, sf_dir):
-    events = fx.table(spark, sf_dir, "events")
+    seen = fx.table(spark, sf_dir, "events")
     lists = [
-        events.where(F.col("event_type") == kind)
+        seen.where(F.col("event_type") == kind)
         .groupBy(F.col("user_id").cast("string").alias("id"))
         .agg(F.min("event_id").alias("rank"))
         for kind in ("click", "view", "purchase")
@@ -194,3 +197,165 @@ def turning_point(spark, sf_dir):
 @query
 def winning_not_won(spark, sf_dir):
     return ev.winning_not_won(_evaluated(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------- landing and the fact
+
+
+def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.decode(fx.start_messages(spark, sf_dir), "game_start")
+
+
+def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.decode(fx.end_messages(spark, sf_dir), "game_end")
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.decode(fx.export_messages(spark, sf_dir), "moves")
+
+
+@query
+def decode_starts(spark, sf_dir):
+    return _starts(spark, sf_dir).drop("ingested_at")
+
+
+@query
+def event_date(spark, sf_dir):
+    return _exports(spark, sf_dir).select("id", "date")
+
+
+@query
+def decode_props(spark, sf_dir):
+    props = F.from_json("props", "k int").alias("p")
+    return fx.table(spark, sf_dir, "events").select("event_id", props).select("event_id", "p.k")
+
+
+@query
+def route_starts(spark, sf_dir):
+    return events.route_events(events.parse_status_events(fx.status_messages(spark, sf_dir)))[0]
+
+
+@query
+def route_ends(spark, sf_dir):
+    return events.route_events(events.parse_status_events(fx.status_messages(spark, sf_dir)))[1]
+
+
+@query
+def explode_moves(spark, sf_dir):
+    return expand.explode_moves(_exports(spark, sf_dir)).select(
+        F.col("id").alias("game_id"), "move_number", "move", "whose_moved", "clock_remaining",
+        F.col("opening.eco").alias("opening_eco"), F.col("clock.increment").alias("clock_increment"),
+    )
+
+
+def _built(spark: SparkSession, sf_dir: str, slack_days: int) -> DataFrame:
+    return expand.build_move_events(
+        _exports(spark, sf_dir), _starts(spark, sf_dir), _ends(spark, sf_dir),
+        slack_days=slack_days, expand=expand.token_plies,
+    )
+
+
+@query
+def build_move_events(spark, sf_dir):
+    return _built(spark, sf_dir, 0)
+
+
+@query
+def build_move_events_midnight(spark, sf_dir):
+    return _built(spark, sf_dir, 1)
+
+
+@query
+def scan_partition(spark, sf_dir):
+    """Landing write and the read of every date back, by games per date."""
+    root = scratch_path(spark, "landing")
+    _starts(spark, sf_dir).write.partitionBy("date").parquet(f"{root}/game_start")
+    return landing.read_landing(spark, root, "game_start").groupBy("date").agg(
+        F.count("*").alias("starts"), F.countDistinct("game_id").alias("games")
+    )
+
+
+@query
+def publish_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "fact")
+    fact = fx.move_events(spark, sf_dir)
+    sinks.publish(fact, path)
+    sinks.publish(fact, path)
+    return landing.read_fact(spark, path)
+
+
+@query
+def export_requests(spark, sf_dir):
+    """Ended games without an export, as request lists; compared by the ids they hold."""
+    lists = events.export_requests(_ends(spark, sf_dir), _exports(spark, sf_dir))
+    return lists.select(F.explode("ids").alias("game_id"), (F.size("ids") <= 300).alias("fits"))
+
+
+@query
+def new_players(spark, sf_dir):
+    known = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("player_id"))
+    return discover.new_players(discover.players_of(_starts(spark, sf_dir)), known)
+
+
+@query
+def replay(spark, sf_dir):
+    plies = replay_job.explode_replayed(replay_job.replay_games(fx.knight_games(spark, sf_dir)))
+    return plies.select("game_id", "move_number", "move", "fen", "whose_moved", "is_check", "is_capture", "truncated")
+
+
+# ---------------------------------------------------------------------------- streams
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = fx.table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return fx.live_events(source)
+
+
+def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    root = scratch_path(spark, name)
+    land.append_files(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query
+def land_events(spark, sf_dir):
+    root = scratch_path(spark, "topics")
+    fx.start_messages(spark, sf_dir).write.text(f"{root}/in/game_start")
+    source = landing.TopicSource("text", f"{root}/in")
+    for running in land.land(spark, source, "game_start", f"{root}/out", f"{root}/checkpoints"):
+        running.awaitTermination()
+    return landing.read_landing(spark, f"{root}/out", "game_start").drop("ingested_at")
+
+
+@query
+def time_spent(spark, sf_dir):
+    return live.time_spent(fx.live_events(fx.table(spark, sf_dir, "events")))
+
+
+@query
+def live_features(spark, sf_dir):
+    return _drained(spark, live.live_features(_event_stream(spark, sf_dir)), "live")
+
+
+@query
+def new_games(spark, sf_dir):
+    stream = live.new_games(_event_stream(spark, sf_dir), "60 days").select("game_id")
+    return _drained(spark, stream, "new-games")
+
+
+@query
+def discover_players(spark, sf_dir):
+    root = scratch_path(spark, "players")
+    fx.start_messages(spark, sf_dir).write.text(f"{root}/in/game_start")
+    source = landing.TopicSource("text", f"{root}/in", {"maxFilesPerTrigger": "1"})
+    starts = events.decode(landing.read_topic(spark, source, "game_start"), "game_start")
+    discover.discover_players(starts, f"{root}/known", f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return spark.read.schema(discover.KNOWN_PLAYERS).parquet(f"{root}/known").select("player_id")
+
+
+@query
+def time_spent_fact(spark, sf_dir):
+    return patterns.time_spent_from_fact(fx.move_events(spark, sf_dir)).select(
+        "game_id", "move_number", "whose_moved", "clock_remaining", "time_spent_cs"
+    )

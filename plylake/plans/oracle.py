@@ -211,3 +211,97 @@ oracle("winning_not_won", """SELECT game_id, player_id, color, min(move_number)
 FROM (SELECT game_id, move_number, winner, white_id AS player_id, 'white' AS color, cp AS own_cp FROM ee
       UNION ALL SELECT game_id, move_number, winner, black_id, 'black', -cp FROM ee)
 WHERE own_cp > 200 AND (winner IS NULL OR winner <> color) GROUP BY game_id, player_id, color""", "ee")
+
+# ---------------------------------------------------------------------------- landing and the fact
+
+cte("starts", """SELECT CAST(o_orderkey AS VARCHAR) AS game_id,
+  concat(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'T23:59:30Z') AS timestamp,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'blitz' ELSE 'rapid' END AS speed, o_orderkey % 3 = 0 AS rated,
+  'standard' AS variant, CAST(o_custkey % 50 AS VARCHAR) AS white_id,
+  CAST(1200 + CAST(floor(o_totalprice) AS BIGINT) % 800 AS INT) AS white_rating,
+  CAST(NULL AS VARCHAR) AS white_title, CAST((o_custkey * 7 + o_orderkey) % 50 AS VARCHAR) AS black_id,
+  CAST(1200 + CAST(floor(o_totalprice / 7) AS BIGINT) % 800 AS INT) AS black_rating,
+  CAST(NULL AS VARCHAR) AS black_title, 'pool' AS source, CAST(NULL AS VARCHAR) AS tournament_id,
+  CAST(o_orderdate AS DATE) AS date
+FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 5 = 0)""")
+oracle("decode_starts", "SELECT * FROM starts", "starts")
+oracle("land_events", "SELECT * FROM starts", "starts")
+oracle("event_date", """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderdate AS DATE) AS date FROM orders
+WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+oracle("decode_props", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events")
+cte("raw", """SELECT *, CASE event_type WHEN 'signup' THEN 'started' WHEN 'click' THEN 'created' WHEN 'error' THEN 'resign'
+  WHEN 'purchase' THEN 'draw' END AS st FROM events WHERE event_id % 97 <> 0 AND event_id % 89 <> 0""")
+oracle("route_starts", """SELECT concat('g', event_id) AS game_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
+  'blitz' AS speed, event_id % 2 = 0 AS rated, 'standard' AS variant,
+  concat(CASE event_id % 4 WHEN 0 THEN 'u' WHEN 1 THEN 'n' ELSE 'i' END, user_id) AS white_id,
+  CAST(1000 + event_id % 900 AS INT) AS white_rating, CASE WHEN event_id % 5 = 0 THEN 'GM' ELSE 'IM' END AS white_title,
+  concat(CASE event_id % 4 WHEN 2 THEN 'u' WHEN 1 THEN 'n' ELSE 'i' END, user_id) AS black_id,
+  CAST(1000 + event_id % 900 AS INT) AS black_rating, CASE WHEN event_id % 5 = 0 THEN 'GM' ELSE 'IM' END AS black_title,
+  'pool' AS source, CASE WHEN event_id % 10 = 0 THEN 't1' END AS tournament_id
+FROM raw WHERE st = 'started'""", "raw")
+oracle("route_ends", """SELECT concat('g', event_id) AS game_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
+  CASE WHEN event_id % 2 = 0 THEN 'white' END AS winner, st AS status
+FROM raw WHERE st NOT IN ('started', 'created')""", "raw")
+cte("tok", """SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+    l_shipdate, l_extendedprice, l_quantity) AS INT) AS move_number FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+cte("exp", """SELECT CAST(o_orderkey AS VARCHAR) AS game_id, move_number, CAST(l_suppkey % 10 AS VARCHAR) AS move,
+  CAST(NULL AS VARCHAR) AS fen, CASE WHEN move_number % 2 = 1 THEN 'white' ELSE 'black' END AS whose_moved,
+  CAST(CASE WHEN move_number <= 5 THEN l_quantity * 100 END AS INT) AS clock_remaining,
+  CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN concat('C', substr(o_orderpriority, 1, 1), '0') END AS opening_eco,
+  CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN substr(o_orderpriority, 3) END AS opening_name,
+  CAST(300 AS INT) AS clock_initial, CAST(o_orderkey % 3 AS INT) AS clock_increment,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'blitz' ELSE 'rapid' END AS speed, o_orderkey, o_orderstatus,
+  CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM tok""", "tok")
+oracle("explode_moves", """SELECT game_id, move_number, move, whose_moved, clock_remaining, opening_eco, clock_increment
+FROM exp""", "exp")
+BUILT = """SELECT e.game_id, move_number, move, fen, whose_moved, clock_remaining, opening_eco, opening_name, clock_initial,
+  clock_increment, e.speed, e.speed AS perf, 'standard' AS variant, white_id, white_rating, white_title, black_id,
+  black_rating, black_title, tournament_id,
+  CASE WHEN o_orderstatus = 'F' THEN 'white' WHEN o_orderstatus = 'O' THEN 'black' END AS winner,
+  CASE WHEN o_orderstatus = 'P' THEN 'draw' ELSE 'mate' END AS end_status, e.date
+FROM exp e JOIN (SELECT DISTINCT * FROM starts) s ON s.game_id = e.game_id"""
+oracle("build_move_events", BUILT + " WHERE o_orderkey % 3 <> 0", "exp", "starts")
+oracle("build_move_events_midnight", BUILT, "exp", "starts")
+oracle("scan_partition", "SELECT date, count(*) AS starts, count(DISTINCT game_id) AS games FROM starts GROUP BY date", "starts")
+oracle("publish_roundtrip", "SELECT * EXCLUDE (gid) FROM ev", "ev")
+oracle("export_requests", """SELECT CAST(o_orderkey AS VARCHAR) AS game_id, TRUE AS fits FROM orders
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+cte("seen", "SELECT DISTINCT white_id AS player_id FROM starts UNION SELECT DISTINCT black_id FROM starts", "starts")
+oracle("new_players", "SELECT player_id FROM seen WHERE player_id NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)",
+       "seen")
+oracle("discover_players", "SELECT player_id FROM seen", "seen")
+oracle("replay", """SELECT CAST(gid AS VARCHAR) AS game_id, ply + 1 AS move_number,
+  CASE ply % 4 WHEN 0 THEN 'g1' || out_to || '3' WHEN 1 THEN 'g8' || out_to || '6' WHEN 2 THEN w || '3g1' ELSE b || '6g8' END AS move,
+  concat('rnbqkb', CASE WHEN ply % 4 IN (2, 3) THEN '1r' ELSE 'nr' END, '/pppppppp/',
+    CASE WHEN ply % 4 NOT IN (2, 3) THEN '8' WHEN b = 'f' THEN '5n2' ELSE '7n' END, '/8/8/',
+    CASE WHEN ply % 4 NOT IN (1, 2) THEN '8' WHEN w = 'f' THEN '5N2' ELSE '7N' END, '/PPPPPPPP/RNBQKB',
+    CASE WHEN ply % 4 IN (1, 2) THEN '1R' ELSE 'NR' END, CASE WHEN ply % 2 = 0 THEN ' w' ELSE ' b' END,
+    ' KQkq - ', ply, ' ', ply // 2 + 1) AS fen,
+  CASE WHEN ply % 2 = 0 THEN 'white' ELSE 'black' END AS whose_moved, FALSE AS is_check, FALSE AS is_capture,
+  gid % 7 = 0 AND plies > 8 AS truncated
+FROM (SELECT *, CASE ply % 4 WHEN 1 THEN lag(out_to, 1) OVER g WHEN 2 THEN lag(out_to, 2) OVER g ELSE NULL END AS w,
+             CASE ply % 4 WHEN 2 THEN lag(out_to, 1) OVER g WHEN 3 THEN lag(out_to, 2) OVER g ELSE NULL END AS b
+      FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'f' ELSE 'h' END AS out_to,
+                   CAST(row_number() OVER (PARTITION BY gid ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                        l_shipdate, l_extendedprice, l_quantity) - 1 AS INT) AS ply, count(*) OVER (PARTITION BY gid) AS plies
+            FROM (SELECT *, CAST(floor(l_orderkey / 10) AS BIGINT) AS gid FROM lineitem))
+      WINDOW g AS (PARTITION BY gid ORDER BY ply))
+WHERE NOT (gid % 7 = 0 AND ply >= 8)""")
+
+# ---------------------------------------------------------------------------- streams
+
+cte("live", """SELECT CAST(user_id AS VARCHAR) AS game_id, event_id, ts, CAST(event_id % 80 + 1 AS INT) AS ply,
+  CAST(floor(value) AS INT) AS white_clock, CAST(floor(value / 2) AS INT) AS black_clock,
+  CASE WHEN event_id % 2 = 0 THEN 'white' ELSE 'black' END AS whose_moved FROM events""")
+LIVE = """SELECT game_id, event_id, ts, ply, CAST(ply // 2 + 1 AS INT) AS move_number,
+  CASE WHEN ply <= 20 THEN 'opening' WHEN ply <= 60 THEN 'middlegame' ELSE 'endgame' END AS game_phase, whose_moved,
+  white_clock, black_clock, white_clock < 10 OR black_clock < 10 AS time_pressure,
+  CASE WHEN whose_moved = 'white' THEN nullif(pw, 0) - white_clock ELSE nullif(pb, 0) - black_clock END AS time_spent_s
+FROM (SELECT *, lag(white_clock) OVER g AS pw, lag(black_clock) OVER g AS pb FROM live
+      WINDOW g AS (PARTITION BY game_id ORDER BY ts, event_id))"""
+oracle("time_spent", LIVE, "live")
+oracle("live_features", LIVE, "live")
+oracle("new_games", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS game_id FROM events")
+oracle("time_spent_fact", """SELECT game_id, move_number, whose_moved, clock_remaining,
+  lag(clock_remaining, 2) OVER (PARTITION BY game_id ORDER BY move_number) - clock_remaining + clock_increment * 100 AS time_spent_cs
+FROM ev""", "ev")
