@@ -123,7 +123,7 @@ def start_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.unionAll(orders.where("o_orderkey % 5 = 0")).selectExpr(
         "to_json(named_struct("
         "'game_id', cast(o_orderkey as string),"
-        "'timestamp', concat(cast(cast(o_orderdate as date) as string), 'T23:59:30Z'),"
+        "'timestamp', concat(cast(cast(date_trunc('month', o_orderdate) as date) as string), 'T23:59:30Z'),"
         "'speed', case when o_orderkey % 2 = 0 then 'blitz' else 'rapid' end,"
         "'rated', o_orderkey % 3 = 0, 'variant', 'standard',"
         "'white_id', cast(o_custkey % 50 as string),"
@@ -140,8 +140,8 @@ def end_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "to_json(named_struct("
         "'game_id', cast(o_orderkey as string),"
         "'timestamp', case when o_orderkey % 3 = 0 "
-        "then concat(cast(date_add(cast(o_orderdate as date), 1) as string), 'T00:10:00Z') "
-        "else concat(cast(cast(o_orderdate as date) as string), 'T23:59:50Z') end,"
+        "then concat(cast(date_add(cast(date_trunc('month', o_orderdate) as date), 1) as string), 'T00:10:00Z') "
+        "else concat(cast(cast(date_trunc('month', o_orderdate) as date) as string), 'T23:59:50Z') end,"
         "'winner', case when o_orderstatus = 'F' then 'white' when o_orderstatus = 'O' then 'black' end,"
         "'status', case when o_orderstatus = 'P' then 'draw' else 'mate' end)) as value"
     )
@@ -162,7 +162,13 @@ def export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'id', cast(o_orderkey as string), 'rated', o_orderkey % 3 = 0, 'variant', 'standard',"
         "'speed', case when o_orderkey % 2 = 0 then 'blitz' else 'rapid' end,"
         "'perf', case when o_orderkey % 2 = 0 then 'blitz' else 'rapid' end,"
-        "'createdAt', unix_millis(cast(cast(o_orderdate as date) as timestamp)) + 86370000,"
+        "'createdAt', unix_millis(cast(date_trunc('month', o_orderdate) as timestamp)) + 86370000,"
+        "'status', case when o_orderstatus = 'P' then 'draw' else 'mate' end,"
+        "'winner', case when o_orderstatus = 'F' then 'white' when o_orderstatus = 'O' then 'black' end,"
+        "'players', named_struct('white', named_struct('user', named_struct('id', cast(o_custkey % 50 as string)),"
+        "'rating', cast(1200 + cast(floor(o_totalprice) as bigint) % 800 as int),"
+        "'ratingDiff', cast(o_orderkey % 21 - 10 as int)), 'black', named_struct("
+        "'user', named_struct('id', cast((o_custkey * 7 + o_orderkey) % 50 as string)))),"
         "'moves', concat_ws(' ', transform(lines, x -> cast(x.l_suppkey % 10 as string))),"
         "'clocks', transform(slice(lines, 1, 5), x -> cast(x.l_quantity * 100 as int)),"
         "'clock', named_struct('initial', 300, 'increment', cast(o_orderkey % 3 as int)),"
@@ -195,3 +201,49 @@ def knight_games(spark: SparkSession, sf_dir: str) -> DataFrame:
         "when i % 4 = 1 then if(x.l_suppkey % 2 = 0, 'Nf6', 'Nh6') "
         "when i % 4 = 2 then 'Ng1' else 'Ng8' end)) as moves",
     )
+
+
+def opening_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book line per part: the digits of its key are the moves."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "trim(regexp_replace(cast(p_partkey as string), '(.)', '$1 ')) as prefix",
+        "length(cast(p_partkey as string)) as ply",
+        "concat('B', lpad(cast(p_partkey % 100 as string), 2, '0')) as eco",
+        "p_name as name",
+    )
+
+
+def pgn_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One PGN record per order with line items: tags, clocks, a glyph, a comment and a variation."""
+    games = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey")
+        .agg(F.array_sort(F.collect_list(F.struct(
+            "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"
+        ))).alias("lines"))
+    )
+    result = "case o_orderstatus when 'F' then '1-0' when 'O' then '0-1' else '1/2-1/2' end"
+    return table(spark, sf_dir, "orders").join(games, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr(
+        "concat('[Event \"Rated game\"]\n[Site \"https://example.org/g', o_orderkey, '\"]\n[White \"Player', o_custkey % 50,"
+        "'\"]\n[Black \"Player', (o_custkey * 7 + o_orderkey) % 50, '\"]\n[Result \"', " + result + ","
+        "'\"]\n[UTCDate \"', date_format(o_orderdate, 'yyyy.MM.dd'), '\"]\n[WhiteElo \"',"
+        "1200 + cast(floor(o_totalprice) as bigint) % 800, '\"]\n[BlackElo \"?\"]\n[WhiteRatingDiff \"',"
+        "if(o_orderkey % 21 >= 10, '+', ''), o_orderkey % 21 - 10, '\"]\n',"
+        "if(o_orderkey % 9 = 0, '[BlackTitle \"IM\"]\n', ''),"
+        "if(o_orderpriority <> '4-NOT SPECIFIED', concat('[ECO \"C', substr(o_orderpriority, 1, 1), '0\"]\n[Opening \"',"
+        "substr(o_orderpriority, 3), '\"]\n'), ''),"
+        "'[TimeControl \"60+', o_orderkey % 12, '\"]\n[Termination \"Normal\"]\n\n',"
+        "array_join(transform(lines, (x, i) -> concat(cast(floor(i / 2) + 1 as string), if(i % 2 = 0, '. ', '... '),"
+        "'Nf', x.l_suppkey % 10, if(i = 0, '!? $1 ', ' '), '{ [%clk 0:00:', lpad(cast(cast(x.l_quantity as int) as string), 2, '0'),"
+        "'] }', if(i = 1, ' (2. Nf3 (2. e4) Nf6)', ''))), ' '), ' ', " + result + ", '\n') as value"
+    )
+
+
+def eval_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation-dump lines; every position has lines of several depths."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "to_json(named_struct('fen', cast(p_partkey % 1000 as string), 'evals', array("
+        "named_struct('pvs', array(named_struct('cp', p_size, 'line', 'e2e4 e7e5')), 'knodes', p_partkey, 'depth', p_partkey % 30),"
+        "named_struct('pvs', array(named_struct('cp', -p_size, 'line', 'd2d4 d7d5')), 'knodes', p_partkey * 2, 'depth', cast(15 as bigint))"
+        "))) as value"
+    )

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plylake import fixtures as fx
 from plylake.functions import columns as col_fn
-from plylake.operators import evals as ev, events, expand, patterns, replay as replay_job, stats
+from plylake.operators import evals as ev, events, expand, openings, patterns, players, replay as replay_job, stats
 from plylake.operators.games import games_from_events, perspective
+from plylake.plans import tools
 from plylake.session import scratch_path
-from plylake.sources import landing, sinks
+from plylake.sources import dumps, landing, sinks
 from plylake.streaming import discover, land, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -278,7 +279,7 @@ def scan_partition(spark, sf_dir):
 @query
 def publish_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "fact")
-    fact = fx.move_events(spark, sf_dir)
+    fact = fx.move_events(spark, sf_dir).withColumn("date", F.concat(F.substring("date", 1, 7), F.lit("-01")))
     sinks.publish(fact, path)
     sinks.publish(fact, path)
     return landing.read_fact(spark, path)
@@ -293,7 +294,7 @@ def export_requests(spark, sf_dir):
 
 @query
 def new_players(spark, sf_dir):
-    known = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("player_id"))
+    known = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("player_id"))
     return discover.new_players(discover.players_of(_starts(spark, sf_dir)), known)
 
 
@@ -359,3 +360,181 @@ def time_spent_fact(spark, sf_dir):
     return patterns.time_spent_from_fact(fx.move_events(spark, sf_dir)).select(
         "game_id", "move_number", "whose_moved", "clock_remaining", "time_spent_cs"
     )
+
+
+@query
+def run_sql(spark, sf_dir):
+    fx.move_events(spark, sf_dir).createOrReplaceTempView("move_events")
+    return tools.run_sql(spark)
+
+
+# ---------------------------------------------------------------------------- documented analytics
+
+
+@query
+def dim_players(spark, sf_dir):
+    starts, _ = events.route_events(events.parse_status_events(fx.status_messages(spark, sf_dir)))
+    return players.dim_players(starts)
+
+
+@query
+def dim_games(spark, sf_dir):
+    return players.dim_games(_starts(spark, sf_dir), _ends(spark, sf_dir), _exports(spark, sf_dir)).select(
+        "game_id", "white_id", "black_id", "speed", "rated", "winner", "status", "opening_eco", "opening_name",
+        "total_moves", "started_at", "ended_at",
+    )
+
+
+@query
+def fact_moves(spark, sf_dir):
+    return patterns.fact_moves(fx.move_events(spark, sf_dir))
+
+
+@query
+def opening_lookup(spark, sf_dir):
+    games = _exports(spark, sf_dir).select(F.col("id").alias("game_id"), "moves")
+    return openings.opening_lookup(games, fx.opening_book(spark, sf_dir))
+
+
+@query
+def eco_rollup(spark, sf_dir):
+    return openings.eco_rollup(_games(spark, sf_dir))
+
+
+@query
+def opening_by_band(spark, sf_dir):
+    return openings.opening_by_band(_games(spark, sf_dir))
+
+
+@query
+def next_moves(spark, sf_dir):
+    return openings.next_moves(fx.move_events(spark, sf_dir))
+
+
+@query
+def stat_chunks(spark, sf_dir):
+    return openings.stat_chunks(
+        openings.opening_by_band(_games(spark, sf_dir)), openings.next_moves(fx.move_events(spark, sf_dir))
+    )
+
+
+@query
+def error_profile(spark, sf_dir):
+    return patterns.error_profile(_judged(spark, sf_dir))
+
+
+@query
+def similar_players(spark, sf_dir):
+    return players.similar_players(_games(spark, sf_dir))
+
+
+@query
+def win_by_clock_phase(spark, sf_dir):
+    return patterns.win_by_clock_phase(fx.move_events(spark, sf_dir))
+
+
+@query
+def weakness_ranking(spark, sf_dir):
+    return patterns.weakness_ranking(_games(spark, sf_dir), fx.move_events(spark, sf_dir))
+
+
+@query
+def drill_positions(spark, sf_dir):
+    return patterns.drill_positions(_judged(spark, sf_dir))
+
+
+@query
+def drill_summary(spark, sf_dir):
+    drills = patterns.drill_positions(_judged(spark, sf_dir))
+    attempts = drills.selectExpr(
+        "concat('s', player_id) as session_id", "player_id", "game_id", "move_number",
+        "case when move_number % 4 = 0 then null when move_number % 4 = 1 then 'x' else best_move end as answer",
+        "cast(move_number % 16 as double) as seconds",
+    )
+    return patterns.drill_summary(attempts, drills)
+
+
+@query
+def repeat_errors(spark, sf_dir):
+    return patterns.repeat_errors(_judged(spark, sf_dir))
+
+
+@query
+def tilt(spark, sf_dir):
+    return patterns.tilt(_games(spark, sf_dir), fx.move_events(spark, sf_dir))
+
+
+@query
+def book_exit(spark, sf_dir):
+    return patterns.book_exit(fx.move_events(spark, sf_dir))
+
+
+@query
+def pressure_threshold(spark, sf_dir):
+    return patterns.pressure_threshold(_judged(spark, sf_dir))
+
+
+@query
+def similar_positions(spark, sf_dir):
+    vectors = fx.table(spark, sf_dir, "embeddings")
+    pasted = vectors.orderBy("vec_id").first()["embedding"]  # stands for the position a user pastes
+    return players.similar_positions(vectors, pasted)
+
+
+@query
+def claim_accuracy(spark, sf_dir):
+    totals = stats.player_totals(_games(spark, sf_dir))
+    facts = totals.selectExpr("player_id as key", "stack(2, 'games', cast(total_games as double), 'win_pct', win_pct) as (metric, value)")
+    claims = fx.table(spark, sf_dir, "customer").selectExpr(
+        "cast(c_custkey % 60 as string) as key", "if(c_custkey % 2 = 0, 'games', 'win_pct') as metric",
+        "cast(20 + c_custkey % 45 as double) as value",
+    )
+    return players.claim_accuracy(claims, facts, tolerance=5.0)
+
+
+@query
+def detection_quality(spark, sf_dir):
+    evaluated = _evaluated(spark, sf_dir)
+    keys = ["game_id", "move_number"]
+    blunder = F.col("classification") == "blunder"
+    said = ev.judge_moves(evaluated, stats.REFERENCE).select(*keys, blunder.alias("predicted"))
+    true = ev.judge_moves(evaluated, stats.CORRECTED).select(*keys, blunder.alias("actual"))
+    return players.detection_quality(said.join(true, keys))
+
+
+@query
+def rating_change(spark, sf_dir):
+    return players.rating_change(_games(spark, sf_dir))
+
+
+@query
+def backfill_union(spark, sf_dir):
+    history = dumps.backfill_games(_exports(spark, sf_dir))
+    return dumps.backfill_union(_built(spark, sf_dir, 0), history, expand.token_plies).select(
+        "game_id", "move_number", "move", "white_id", "white_rating", "winner", "date", "opening_ply",
+        "white_rating_diff",
+    )
+
+
+@query
+def read_pgn(spark, sf_dir):
+    path = scratch_path(spark, "pgn")
+    fx.pgn_records(spark, sf_dir).write.text(path)
+    return dumps.read_pgn(spark, path).drop("opening_ply", "tournament_id")
+
+
+@query
+def best_evals(spark, sf_dir):
+    return dumps.best_evals(fx.eval_lines(spark, sf_dir))
+
+
+@query
+def scope_filter(spark, sf_dir):
+    return players.scope_filter(_games(spark, sf_dir), ("bullet", "blitz"), 1300, 1700).select(
+        "game_id", "player_id", "speed", "my_rating", "result"
+    )
+
+
+@query
+def rating_trend(spark, sf_dir):
+    return players.rating_trend(_games(spark, sf_dir))
