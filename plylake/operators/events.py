@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from plylake.functions.columns import blank_to_null, event_timestamp
 from plylake.schemas import STATUS_EVENT, TOPICS
@@ -14,36 +16,50 @@ def id_column(topic: str) -> str:
     return "id" if topic == "moves" else "game_id"
 
 
-def with_event_date(df: DataFrame, topic: str) -> DataFrame:
-    """Add ``date``: from ``createdAt`` (ms) for exports, from the ISO ``timestamp`` otherwise."""
-    moment = F.timestamp_millis("createdAt") if topic == "moves" else event_timestamp(F.col("timestamp"))
-    return df.withColumn("date", F.to_date(moment))
+def parsed_rows(raw: DataFrame, schema: StructType | str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Columns of the JSON text in ``value``; with ``keep``, only of the messages it is true for.
 
+    Each text is parsed once: a filter on the parsed columns would be pushed below the projection and
+    parse again for every column it names, so the test is made inside the generator.
+    """
+    message = F.array(F.from_json(F.col("value").cast("string"), schema))
+    return raw.select(F.inline(F.filter(message, keep) if keep else message))
+
+
+def event_moment(row: Callable[[str], Column], topic: str) -> Column:
+    """Time of a message: ``createdAt`` (ms) for exports, the ISO ``timestamp`` otherwise."""
+    return F.timestamp_millis(row("createdAt")) if topic == "moves" else event_timestamp(row("timestamp"))
 
-def _parsed(raw: DataFrame, topic: str) -> DataFrame:
-    message = F.from_json(F.col("value").cast("string"), TOPICS[topic])
-    rows = raw.select(F.col("value").cast("string").alias("_raw"), message.alias("d")).select("_raw", "d.*")
-    return with_event_date(rows.withColumn("ingested_at", F.current_timestamp()), topic)
 
+def with_event_date(df: DataFrame, topic: str) -> DataFrame:
+    return df.withColumn("date", F.to_date(event_moment(F.col, topic)))
+
+
+def _usable(topic: str) -> Callable[[Column], Column]:
+    def test(message: Column) -> Column:
+        has_id = blank_to_null(message.getField(id_column(topic))).isNotNull()
+        return F.coalesce(has_id & event_moment(message.getField, topic).isNotNull(), F.lit(False))
 
-def _usable(topic: str) -> Column:
-    return blank_to_null(F.col(id_column(topic))).isNotNull() & F.col("date").isNotNull()
+    return test
 
 
 def decode(raw: DataFrame, topic: str) -> DataFrame:
     """Typed rows of the messages in ``value``, with ``ingested_at`` and ``date``."""
-    return _parsed(raw, topic).where(_usable(topic)).drop("_raw")
+    rows = parsed_rows(raw, TOPICS[topic], _usable(topic))
+    return with_event_date(rows.withColumn("ingested_at", F.current_timestamp()), topic)
 
 
 def undecodable(raw: DataFrame, topic: str) -> DataFrame:
     """The messages ``decode`` leaves out (no JSON, no id, no usable time), for a quarantine table."""
-    return _parsed(raw, topic).where(~F.coalesce(_usable(topic), F.lit(False))).select(
-        F.col("_raw").alias("value"), "ingested_at"
-    )
+    text = F.col("value").cast("string")
+    usable = _usable(topic)
+    both = F.array(F.struct(text.alias("value"), F.from_json(text, TOPICS[topic]).alias("d")))
+    bad = F.transform(F.filter(both, lambda x: ~usable(x["d"])), lambda x: x["value"])
+    return raw.select(F.explode(bad).alias("value"), F.current_timestamp().alias("ingested_at"))
 
 
 def parse_status_events(raw: DataFrame) -> DataFrame:
-    return raw.select(F.from_json(F.col("value").cast("string"), STATUS_EVENT).alias("e")).select("e.*")
+    return parsed_rows(raw, STATUS_EVENT)
 
 
 def _object_or_text(column: str, path: str) -> Column:

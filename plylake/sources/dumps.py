@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plylake.functions.columns import blank_to_null, position_key
+from plylake.operators.events import parsed_rows
 from plylake.operators.expand import latest, replayed_plies
 from plylake.schemas import MOVE_EVENTS
 
@@ -59,17 +60,19 @@ def backfill_union(events: DataFrame, games: DataFrame, expand: Callable[[DataFr
 
 
 def _tag(name: str) -> Column:
-    text = F.regexp_extract("record", rf'(?m)^\[{name} "((?:[^"\\]|\\.)*)"\]', 1)
+    start = f'[{name} "'
+    line = F.rtrim(F.get(F.filter("tags", lambda t: t.startswith(start)), F.lit(0)))
+    text = F.replace(line.substr(F.lit(len(start) + 1), F.length(line) - len(start) - 2), F.lit('\\"'), F.lit('"'))
     return F.when(~text.isin("", "?", "-"), text)
 
 
 def _strip_annotations(movetext: Column) -> Column:
-    out = F.regexp_replace(movetext, r"\{[^}]*\}|;[^\n]*", " ")
-    for _ in range(4):  # variations, innermost first
-        out = F.regexp_replace(out, r"\([^()]*\)", " ")
-    out = F.regexp_replace(out, r"\$\d+|[!?]+|\b\d+\.(?:\.\.)?", " ")
-    out = F.regexp_replace(out, r"(?:^|\s)(?:1-0|0-1|1/2-1/2|\*)(?=\s|$)", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Movetext without comments, NAGs, glyphs, move numbers, variations and the result."""
+    out = F.regexp_replace(movetext, r"\{[^}]*\}|;[^\n]*|\$\d+|[!?]+|\b\d+\.(?:\.\.)?", " ")
+    for _ in range(4):  # innermost variations first
+        out = F.when(F.contains(out, F.lit("(")), F.regexp_replace(out, r"\([^()]*\)", " ")).otherwise(out)
+    words = F.filter(F.split(out, r"\s+"), lambda t: ~t.isin("", "1-0", "0-1", "1/2-1/2", "*"))
+    return F.array_join(words, " ")
 
 
 def _clocks(movetext: Column) -> Column:
@@ -94,16 +97,21 @@ def parse_pgn(records: DataFrame) -> DataFrame:
     initial, increment = (
         F.regexp_extract(_tag("TimeControl"), r"^(\d+)\+(\d+)$", i).try_cast("int") for i in (1, 2)
     )
-    movetext = F.regexp_extract("record", r"(?s)\n\s*\n(.*)$", 1)
     result = _tag("Result")
+    gap = F.instr("record", "\n\n")
+    # one generator row per record, so that the split is made once and not for every tag
+    parts = F.array(F.struct(
+        F.split(F.substring("record", F.lit(1), gap - 1), "\n").alias("tags"),
+        F.col("record").substr(gap + 2, F.length("record")).alias("movetext"),
+    ))
 
     def number(name: str) -> Column:
         return _tag(name).try_cast("int")
 
     speed = _speed(initial, increment)
-    return records.select(
+    return records.where(gap > 0).select(F.inline(parts)).select(
         F.regexp_extract(_tag("Site"), r"([^/]+)$", 1).alias("game_id"),
-        _strip_annotations(movetext).alias("moves"), _clocks(movetext).alias("clocks"),
+        _strip_annotations(F.col("movetext")).alias("moves"), _clocks(F.col("movetext")).alias("clocks"),
         _tag("ECO").alias("opening_eco"), _tag("Opening").alias("opening_name"),
         F.lit(None).cast("int").alias("opening_ply"),
         initial.alias("clock_initial"), increment.alias("clock_increment"),
@@ -139,10 +147,10 @@ def best_evals(lines: DataFrame) -> DataFrame:
 
     The deepest evaluation wins, then the one with more nodes; of its lines the first counts.
     """
-    parsed = lines.select(F.from_json("value", EVAL_LINE).alias("e")).where(F.col("e.fen").isNotNull())
-    ranked = F.array_max(F.transform("e.evals", lambda x: F.struct(x["depth"], x["knodes"], F.get(x["pvs"], F.lit(0)).alias("pv"))))
+    parsed = parsed_rows(lines, EVAL_LINE, lambda e: e["fen"].isNotNull())
+    ranked = F.array_max(F.transform("evals", lambda x: F.struct(x["depth"], x["knodes"], F.get(x["pvs"], F.lit(0)).alias("pv"))))
     return (
-        parsed.select(position_key(F.col("e.fen")).alias("fen"), ranked.alias("best"))
+        parsed.select(position_key(F.col("fen")).alias("fen"), ranked.alias("best"))
         .groupBy("fen")
         .agg(F.max("best").alias("b"))
         .select("fen", F.col("b.pv.cp").alias("cp"), F.col("b.pv.mate").alias("mate"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from plylake.schemas import EVALS, GAME_EXPORT, LANDED, MOVE_EVENTS
@@ -58,10 +58,14 @@ def read_evals(spark: SparkSession, path: str) -> DataFrame:
 def read_exports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Newline-JSON exports: the good rows, and the lines that do not parse or lack an id."""
     schema = StructType([*GAME_EXPORT.fields, StructField("_bad", StringType())])
-    rows = spark.read.text(path).where(F.trim("value") != "")
-    parsed = rows.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("g"))
-    good = F.col("g._bad").isNull() & F.col("g.id").isNotNull()
+    text = spark.read.text(path).where(F.trim("value") != "")
+    game = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"})
+    both = F.array(F.struct("value", game.alias("g")))
+
+    def good(x: Column) -> Column:
+        return F.coalesce(x["g"]["_bad"].isNull() & x["g"]["id"].isNotNull(), F.lit(False))
+
     return (
-        parsed.where(good).select("g.*").drop("_bad"),
-        parsed.where(~F.coalesce(good, F.lit(False))).select("value"),
+        text.select(F.inline(F.transform(F.filter(both, good), lambda x: x["g"]))).drop("_bad"),
+        text.select(F.explode(F.transform(F.filter(both, lambda x: ~good(x)), lambda x: x["value"])).alias("value")),
     )

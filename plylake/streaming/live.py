@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -59,17 +60,16 @@ def _advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Ite
     if state.hasTimedOut:
         state.remove()
         return
-    batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], ignore_index=True)
-    start = pd.DataFrame([state.get if state.exists else (None, None)], columns=["w", "b"])
-    clocks = batch[["white_clock", "black_clock"]].set_axis(["w", "b"], axis=1).astype("float64")
-    before = pd.concat([start.astype("float64"), clocks.iloc[:-1]], ignore_index=True)
-    white = batch["whose_moved"] == "white"
-    now = clocks["w"].where(white, clocks["b"])
-    then = before["w"].where(white, before["b"])
-    batch["time_spent_s"] = (then.mask(then == 0) - now).astype("Int32")
-    state.update((int(clocks["w"].iloc[-1]), int(clocks["b"].iloc[-1])))
+    batch = pd.concat(list(rows))
+    batch = batch.iloc[np.lexsort((batch["event_id"].to_numpy(), batch["ts"].to_numpy()))]
+    white, black = (batch[c].to_numpy(dtype="float64") for c in ("white_clock", "black_clock"))
+    last = state.get if state.exists else (np.nan, np.nan)
+    whites_turn = (batch["whose_moved"] == "white").to_numpy()
+    then = np.where(whites_turn, np.append(last[0], white[:-1]), np.append(last[1], black[:-1]))
+    spent = np.where(then == 0, np.nan, then) - np.where(whites_turn, white, black)
+    state.update((int(white[-1]), int(black[-1])))
     state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 86_400_000)
-    yield batch[FEATURES]
+    yield batch.assign(time_spent_s=pd.array(spent, dtype="Float64").astype("Int32"))[FEATURES]
 
 
 def live_features(states: DataFrame, delay: str = "1 hour") -> DataFrame:
