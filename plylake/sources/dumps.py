@@ -59,20 +59,30 @@ def backfill_union(events: DataFrame, games: DataFrame, expand: Callable[[DataFr
     return events.unionByName(history_events(missing, expand), allowMissingColumns=True)
 
 
+# The tags that are read.
+TAGS = (
+    "Site", "White", "Black", "Result", "UTCDate", "Date", "WhiteElo", "BlackElo", "WhiteRatingDiff", "BlackRatingDiff",
+    "WhiteTitle", "BlackTitle", "ECO", "Opening", "TimeControl", "Termination", "Variant",
+)
+
+
 def _tag(name: str) -> Column:
     start = f'[{name} "'
-    line = F.rtrim(F.get(F.filter("tags", lambda t: t.startswith(start)), F.lit(0)))
-    text = F.replace(line.substr(F.lit(len(start) + 1), F.length(line) - len(start) - 2), F.lit('\\"'), F.lit('"'))
-    return F.when(~text.isin("", "?", "-"), text)
+    line = F.filter("tags", lambda t: t.startswith(start))
+    text = F.transform(line, lambda t: F.replace(
+        F.rtrim(t).substr(F.lit(len(start) + 1), F.length(F.rtrim(t)) - len(start) - 2), F.lit('\\"'), F.lit('"')))
+    return F.get(F.filter(text, lambda t: ~t.isin("", "?", "-")), F.lit(0)).alias(f"t_{name}")
 
 
 def _strip_annotations(movetext: Column) -> Column:
     """Movetext without comments, NAGs, glyphs, move numbers, variations and the result."""
-    out = F.regexp_replace(movetext, r"\{[^}]*\}|;[^\n]*|\$\d+|[!?]+|\b\d+\.(?:\.\.)?", " ")
+    # held in an array of one, because a lambda argument is evaluated once however often it is named
+    text = F.array(F.regexp_replace(movetext, r"\{[^}]*\}|;[^\n]*|\$\d+|[!?]+|\b\d+\.(?:\.\.)?", " "))
     for _ in range(4):  # innermost variations first
-        out = F.when(F.contains(out, F.lit("(")), F.regexp_replace(out, r"\([^()]*\)", " ")).otherwise(out)
-    words = F.filter(F.split(out, r"\s+"), lambda t: ~t.isin("", "1-0", "0-1", "1/2-1/2", "*"))
-    return F.array_join(words, " ")
+        text = F.transform(text, lambda t: F.when(
+            F.contains(t, F.lit("(")), F.regexp_replace(t, r"\([^()]*\)", " ")).otherwise(t))
+    words = F.split(F.get(text, F.lit(0)), r"\s+")
+    return F.array_join(F.filter(words, lambda t: ~t.isin("", "1-0", "0-1", "1/2-1/2", "*")), " ")
 
 
 def _clocks(movetext: Column) -> Column:
@@ -94,37 +104,38 @@ def _speed(initial: Column, increment: Column) -> Column:
 
 def parse_pgn(records: DataFrame) -> DataFrame:
     """PGN records in ``record`` as history games; only built-in text functions, no Python."""
-    initial, increment = (
-        F.regexp_extract(_tag("TimeControl"), r"^(\d+)\+(\d+)$", i).try_cast("int") for i in (1, 2)
-    )
-    result = _tag("Result")
     gap = F.instr("record", "\n\n")
     # one generator row per record, so that the split is made once and not for every tag
     parts = F.array(F.struct(
         F.split(F.substring("record", F.lit(1), gap - 1), "\n").alias("tags"),
         F.col("record").substr(gap + 2, F.length("record")).alias("movetext"),
     ))
+    tagged = records.where(gap > 0).select(F.inline(parts)).select("movetext", *[_tag(name) for name in TAGS])
+    control = F.split("t_TimeControl", r"\+")
+    timed = tagged.select(
+        "*", *[F.get(control, F.lit(i)).try_cast("int").alias(c) for i, c in enumerate(("initial", "increment"))]
+    ).withColumn("speed", _speed(F.col("initial"), F.col("increment")))
 
-    def number(name: str) -> Column:
-        return _tag(name).try_cast("int")
+    def side(color: str) -> list[Column]:
+        tag = f"t_{color}"
+        return [
+            F.lower(tag).alias(f"{color.lower()}_id"), F.col(f"{tag}Elo").try_cast("int").alias(f"{color.lower()}_rating"),
+            F.col(f"{tag}Title").alias(f"{color.lower()}_title"),
+            F.col(f"{tag}RatingDiff").try_cast("int").alias(f"{color.lower()}_rating_diff"),
+        ]
 
-    speed = _speed(initial, increment)
-    return records.where(gap > 0).select(F.inline(parts)).select(
-        F.regexp_extract(_tag("Site"), r"([^/]+)$", 1).alias("game_id"),
+    return timed.select(
+        F.substring_index("t_Site", "/", -1).alias("game_id"),
         _strip_annotations(F.col("movetext")).alias("moves"), _clocks(F.col("movetext")).alias("clocks"),
-        _tag("ECO").alias("opening_eco"), _tag("Opening").alias("opening_name"),
+        F.col("t_ECO").alias("opening_eco"), F.col("t_Opening").alias("opening_name"),
         F.lit(None).cast("int").alias("opening_ply"),
-        initial.alias("clock_initial"), increment.alias("clock_increment"),
-        speed.alias("speed"), speed.alias("perf"),
-        F.lower(F.coalesce(_tag("Variant"), F.lit("standard"))).alias("variant"),
-        F.lower(_tag("White")).alias("white_id"), number("WhiteElo").alias("white_rating"),
-        _tag("WhiteTitle").alias("white_title"), number("WhiteRatingDiff").alias("white_rating_diff"),
-        F.lower(_tag("Black")).alias("black_id"), number("BlackElo").alias("black_rating"),
-        _tag("BlackTitle").alias("black_title"), number("BlackRatingDiff").alias("black_rating_diff"),
+        F.col("initial").alias("clock_initial"), F.col("increment").alias("clock_increment"),
+        "speed", F.col("speed").alias("perf"),
+        F.lower(F.coalesce("t_Variant", F.lit("standard"))).alias("variant"), *side("White"), *side("Black"),
         F.lit(None).cast("string").alias("tournament_id"),
-        F.when(result == "1-0", "white").when(result == "0-1", "black").alias("winner"),
-        F.lower(_tag("Termination")).alias("end_status"),
-        F.translate(F.coalesce(_tag("UTCDate"), _tag("Date")), ".", "-").alias("date"),
+        F.when(F.col("t_Result") == "1-0", "white").when(F.col("t_Result") == "0-1", "black").alias("winner"),
+        F.lower("t_Termination").alias("end_status"),
+        F.translate(F.coalesce("t_UTCDate", "t_Date"), ".", "-").alias("date"),
     ).where(blank_to_null(F.col("game_id")).isNotNull())
 
 
