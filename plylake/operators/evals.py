@@ -16,15 +16,23 @@ def in_game() -> WindowSpec:
     return Window.partitionBy("game_id").orderBy("move_number")
 
 
-def frequent_positions(events: DataFrame, k: int = 1000) -> DataFrame:
-    """Up to ``k`` of the most frequent positions, from one mergeable sketch of fixed size.
+def frequent_positions(events: DataFrame, k: int = 1000, buckets: int = 64) -> DataFrame:
+    """Up to ``k`` of the most frequent positions, from mergeable sketches of fixed size.
 
-    The sketch may miss one or rank one wrongly; it only decides which join a position takes.
+    Positions are hashed to ``buckets``, so the sketches of all map tasks meet in that many tasks and
+    not in one.  A sketch may miss a position or rank it wrongly; it only decides which join a
+    position takes.
     """
-    top = events.select(position_key(F.col("fen")).alias("position")).agg(
-        F.expr(f"approx_top_k(position, {int(k)}, {max(10 * int(k), 1000)})").alias("top")
+    per_bucket = -(-2 * k // buckets)
+    tops = (
+        events.select(position_key(F.col("fen")).alias("position"))
+        .where(F.col("position").isNotNull())
+        .groupBy(F.pmod(F.xxhash64("position"), F.lit(buckets)).alias("bucket"))
+        .agg(F.expr(f"approx_top_k(position, {per_bucket}, {4 * per_bucket})").alias("top"))
+    )
+    return (
+        tops.select(F.inline("top")).orderBy(F.desc("count"), "item").limit(k).select(F.col("item").alias("hot_position"))
     )
-    return top.select(F.explode("top.item").alias("position")).where(F.col("position").isNotNull())
 
 
 def attach_evals(events: DataFrame, evals: DataFrame, hot_keys: int = 1000) -> DataFrame:
@@ -34,6 +42,7 @@ def attach_evals(events: DataFrame, evals: DataFrame, hot_keys: int = 1000) -> D
     The evaluations of the ``hot_keys`` most frequent positions are broadcast (their number is the
     bound), and only the other plies are shuffled.  ``evals`` holds one row per position.
     """
+    columns = ["cp", "mate", "best_move", "evaluated"]
     keyed = events.withColumn("position", position_key(F.col("fen")))
     known = evals.select(
         position_key(F.col("fen")).alias("position"), "cp", "mate", "best_move", F.lit(True).alias("evaluated")
@@ -41,11 +50,18 @@ def attach_evals(events: DataFrame, evals: DataFrame, hot_keys: int = 1000) -> D
     if not hot_keys:
         return keyed.join(known, "position", "left").drop("position")
     hot = frequent_positions(events, hot_keys)
-    hot_evals = F.broadcast(hot.join(known, "position", "left").withColumn("hot", F.lit(True)))
-    tagged = keyed.join(hot_evals, "position", "left")
-    done = tagged.where(F.col("hot").isNotNull()).drop("hot", "position")
-    rest = tagged.where(F.col("hot").isNull()).drop("hot", "cp", "mate", "best_move", "evaluated")
-    return done.unionByName(rest.join(known, "position", "left").drop("position"))
+    hot_evals = F.broadcast(
+        hot.join(known, hot.hot_position == known.position, "left").select(
+            "hot_position", *[F.col(c).alias(f"hot_{c}") for c in columns]
+        )
+    )
+    tagged = keyed.join(hot_evals, keyed.position == hot_evals.hot_position, "left")
+    from_hot = [F.col(f"hot_{c}").alias(c) for c in columns]
+    done = tagged.where(F.col("hot_position").isNotNull()).select(*events.columns, *from_hot)
+    # naming the hot columns here too keeps both branches on the same broadcast
+    either = [F.coalesce(f"hot_{c}", c).alias(c) for c in columns]
+    rest = tagged.where(F.col("hot_position").isNull()).join(known, "position", "left")
+    return done.unionByName(rest.select(*events.columns, *either))
 
 
 def positions_to_eval(events: DataFrame, evals: DataFrame) -> DataFrame:
