@@ -8,35 +8,38 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from plylake.operators import evals as ev, stats
-from plylake.operators.games import games_from_events
+from plylake.operators.games import games_from_events, games_of
 
 Tool = Callable[..., DataFrame]
 
 
 def tools(events: DataFrame, evals: DataFrame) -> dict[str, Tool]:
     """The reports a caller may run by name, bound to a fact table and its evaluations."""
-    games = games_from_events(events)
+
+    def games(player_id: str) -> DataFrame:
+        # cut to the player before repeats are removed, so that the filter reaches the scan
+        return games_from_events(games_of(events, player_id))
 
     def get_player_overview(player_id: str) -> DataFrame:
-        return stats.player_overview(games, player_id).orderBy("total_games", "speed", ascending=[False, True])
+        return stats.player_overview(games(player_id), player_id).orderBy("total_games", "speed", ascending=[False, True])
 
     def get_time_pressure_stats(player_id: str, semantics: str = stats.REFERENCE) -> DataFrame:
         return stats.time_pressure(events, player_id, semantics)
 
     def get_opening_stats(player_id: str, top_n: int = 10, min_games: int = 2) -> DataFrame:
-        return stats.opening_stats(games, player_id, top_n, min_games).orderBy("rank")
+        return stats.opening_stats(games(player_id), player_id, top_n, min_games).orderBy("rank")
 
     def get_clock_usage_by_phase(player_id: str, semantics: str = stats.REFERENCE) -> DataFrame:
         return stats.clock_by_phase(events, player_id, semantics).orderBy("phase")
 
     def get_performance_by_color(player_id: str) -> DataFrame:
-        return stats.by_color(games, player_id)
+        return stats.by_color(games(player_id), player_id)
 
     def get_performance_vs_rating(player_id: str, margin: int = 100) -> DataFrame:
-        return stats.vs_rating(games, player_id, margin)
+        return stats.vs_rating(games(player_id), player_id, margin)
 
     def get_recent_games(player_id: str, limit: int = 10) -> DataFrame:
-        return stats.recent_games(games, player_id, limit).orderBy("rank")
+        return stats.recent_games(games(player_id), player_id, limit).orderBy("rank")
 
     def analyze_game(game_id: str, semantics: str = stats.REFERENCE) -> DataFrame:
         one_game = events.where(events.game_id == game_id)
