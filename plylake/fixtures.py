@@ -193,13 +193,20 @@ def knight_games(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"
         ))).alias("lines")
     )
+    out = "if(lines[i - {back}].l_suppkey % 2 = 0, 'f', 'h')"
+    now, before = out.format(back=0), out.format(back=2)
+    san = (
+        "case when gid % 7 = 0 and i = 8 then 'Qa9' when i % 4 = 2 then 'Ng1' when i % 4 = 3 then 'Ng8' "
+        f"when i % 4 = 0 then concat('N', {now}, '3') else concat('N', {now}, '6') end"
+    )
+    uci = (
+        f"case i % 4 when 0 then concat('g1', {now}, '3') when 1 then concat('g8', {now}, '6') "
+        f"when 2 then concat({before}, '3g1') else concat({before}, '6g8') end"
+    )
     return lines.selectExpr(
         "cast(gid as string) as game_id",
-        "concat_ws(' ', transform(lines, (x, i) -> case "
-        "when gid % 7 = 0 and i = 8 then 'Qa9' "
-        "when i % 4 = 0 then if(x.l_suppkey % 2 = 0, 'Nf3', 'Nh3') "
-        "when i % 4 = 1 then if(x.l_suppkey % 2 = 0, 'Nf6', 'Nh6') "
-        "when i % 4 = 2 then 'Ng1' else 'Ng8' end)) as moves",
+        f"concat_ws(' ', transform(lines, (x, i) -> {san})) as moves",
+        f"concat_ws(' ', transform(lines, (x, i) -> {uci})) as live_moves",
     )
 
 

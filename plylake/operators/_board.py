@@ -15,6 +15,8 @@ LETTERS = "?PNBRQK"
 BACK_RANK = [ROOK, KNIGHT, BISHOP, QUEEN, KING, BISHOP, KNIGHT, ROOK]
 TOKEN = re.compile(r"([NBRQK])?([a-h])?([1-8])?[-x]?([a-h])([1-8])(?:=?([NBRQnbrq]))?[+#]?")
 CASTLE = re.compile(r"([O0])-\1(-\1)?[+#]?")
+COORDINATES = re.compile(r"([a-h])([1-8])([a-h])([1-8])([nbrq])?")
+ANY = 7  # the man on the named square, whatever it is
 
 _square = np.arange(64)
 FILE, RANK = _square % 8, _square // 8
@@ -68,6 +70,30 @@ def parse_token(token: str) -> tuple[int, int, int, int, int, int]:
     )
 
 
+def parse_coordinates(token: str) -> tuple[int, int, int, int, int, int]:
+    """The same for coordinate text such as ``g1f3`` or ``e7e8q``."""
+    m = COORDINATES.fullmatch(token)
+    if not m:
+        return 0, 0, -1, -1, 0, 0
+    file, rank, to_file, to_rank, promo = m.groups()
+    to = "abcdefgh".index(to_file) + 8 * (int(to_rank) - 1)
+    return ANY, to, "abcdefgh".index(file), int(rank) - 1, LETTERS.index(promo.upper()) if promo else 0, 0
+
+
+def name_piece(board: np.ndarray, side: int, code: np.ndarray) -> np.ndarray:
+    """Fill in the piece of coordinate moves; a king that steps two files or onto its own rook castles."""
+    code = code.copy()
+    rows = np.nonzero(code[:, 0] == ANY)[0]
+    source, to = code[rows, 3] * 8 + code[rows, 2], code[rows, 1]
+    man = np.maximum(board[rows, source] * side, 0)
+    code[rows, 0] = man
+    home = 4 if side == 1 else 60
+    onto_rook = board[rows, to] == side * ROOK
+    castles = (man == KING) & (source == home) & (RANK[to] == RANK[home]) & ((np.abs(to - source) == 2) | onto_rook)
+    code[rows[castles], 5] = np.where(to[castles] > home, 1, 2)
+    return code
+
+
 def _bits(mask: np.ndarray) -> np.ndarray:
     return np.packbits(mask, axis=1, bitorder="little").view("<u8").ravel()
 
@@ -204,7 +230,8 @@ def replay(codes: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
     """Replay games given as move codes (``int[sum(lengths), 6]``) from the start position.
 
     A game stops at its first move that is not legal.  Gives flat per-ply arrays ordered by game and
-    ply, with the position before each move, and ``played``, the number of plies per game.
+    ply, with the position before each move; ``played``, the number of plies per game; and the last
+    position of each game under ``final``.
     """
     games = len(lengths)
     first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
@@ -217,7 +244,7 @@ def replay(codes: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
     ply = 0
     while len(alive):
         side = 1 if ply % 2 == 0 else -1
-        code = codes[first[alive] + ply]
+        code = name_piece(board[alive], side, codes[first[alive] + ply])
         source = find_source(board[alive], rights[alive], ep[alive], side, code)
         legal = source >= 0
         alive, code, source = alive[legal], code[legal], source[legal]
@@ -235,12 +262,13 @@ def replay(codes: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
         played[alive] = ply
         alive = alive[lengths[alive] > ply]
     names = ("game", "ply", "board", "rights", "ep", "half", "source", "to", "promo", "check", "capture")
+    ends = {"played": played, "final": (board, rights, shown, half)}
     if not out:
         empty = {name: np.zeros((0, 64) if name == "board" else 0, np.int64) for name in names}
-        return {**empty, "played": played}
+        return {**empty, **ends}
     flat = {name: np.concatenate(part) for name, part in zip(names, zip(*out))}
     order = np.lexsort((flat["ply"], flat["game"]))
-    return {**{name: value[order] for name, value in flat.items()}, "played": played}
+    return {**{name: value[order] for name, value in flat.items()}, **ends}
 
 
 def packed_text(chars: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, bytes]:

@@ -9,75 +9,86 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plylake.functions.columns import fullmove_number
 
+POSITION = [
+    T.StructField("placement", T.StringType()),
+    T.StructField("rights", T.IntegerType()),
+    T.StructField("ep", T.IntegerType()),
+    T.StructField("halfmove", T.IntegerType()),
+]
 PLY = T.StructType(
     [
+        *POSITION,
         T.StructField("uci", T.StringType()),
-        T.StructField("placement", T.StringType()),
-        T.StructField("rights", T.IntegerType()),
-        T.StructField("ep", T.IntegerType()),
-        T.StructField("halfmove", T.IntegerType()),
         T.StructField("is_check", T.BooleanType()),
         T.StructField("is_capture", T.BooleanType()),
     ]
 )
+ADDED = [
+    T.StructField("plies", T.ArrayType(PLY)),
+    T.StructField("final", T.StructType(POSITION)),
+    T.StructField("truncated", T.BooleanType()),
+]
 
 GAMES_PER_STEP = 2000
 
 Replayer = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def replay_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add ``plies`` (one entry per legal half-move) and ``truncated`` to games with ``moves``."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, GAMES_PER_STEP):
-            yield _replay_slice(batch.slice(start, GAMES_PER_STEP))
+def replay_batches(notation: str) -> Replayer:
+    """Adds to games with ``moves``: ``plies`` (one per legal half-move), ``final`` position, ``truncated``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, GAMES_PER_STEP):
+                yield _replay_slice(batch.slice(start, GAMES_PER_STEP), notation)
 
-def _replay_slice(games: pa.RecordBatch) -> pa.RecordBatch:
+    return run
+
+
+def _replay_slice(games: pa.RecordBatch, notation: str = "san") -> pa.RecordBatch:
     import numpy as np
     import pyarrow.compute as pc
 
     from plylake.operators import _board
 
+    parse = _board.parse_token if notation == "san" else _board.parse_coordinates
     text = pc.utf8_trim_whitespace(pc.fill_null(games.column("moves").cast(pa.string()), ""))
     tokens = pc.utf8_split_whitespace(text)
     lengths = np.where(pc.equal(text, "").to_numpy(zero_copy_only=False), 0,
                        pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
     flat = pc.list_flatten(tokens)
     flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
-    parsed = np.array([_board.parse_token(t) for t in flat.dictionary.to_pylist()] or [(0, 0, -1, -1, 0, 0)])
+    parsed = np.array([parse(t) for t in flat.dictionary.to_pylist()] or [parse("")])
     done = _board.replay(parsed[flat.indices.to_numpy()], lengths)
 
     def text_column(packed) -> pa.Array:
         offsets, data = packed
         return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
 
-    def ints(name: str) -> pa.Array:
-        return pa.array(done[name].astype(np.int32))
+    def position(board, rights, ep, half) -> list[pa.Array]:
+        return [text_column(_board.placement_text(board)), *(pa.array(x.astype(np.int32)) for x in (rights, ep, half))]
 
     entries = pa.StructArray.from_arrays(
         [
+            *position(*(done[k] for k in ("board", "rights", "ep", "half"))),
             text_column(_board.move_text(done["source"], done["to"], done["promo"])),
-            text_column(_board.placement_text(done["board"])),
-            ints("rights"), ints("ep"), ints("half"),
             pa.array(done["check"].astype(bool)), pa.array(done["capture"].astype(bool)),
         ],
         names=PLY.fieldNames(),
     )
+    final = pa.StructArray.from_arrays(position(*done["final"]), names=[f.name for f in POSITION])
     offsets = pa.array(np.concatenate([[0], np.cumsum(done["played"])]).astype(np.int32))
     return pa.RecordBatch.from_arrays(
-        [*games.columns, pa.ListArray.from_arrays(offsets, entries), pa.array(done["played"] < lengths)],
-        names=[*games.schema.names, "plies", "truncated"],
+        [*games.columns, pa.ListArray.from_arrays(offsets, entries), final, pa.array(done["played"] < lengths)],
+        names=[*games.schema.names, *(f.name for f in ADDED)],
     )
 
 
-def replay_games(games: DataFrame, replayer: Replayer | None = None) -> DataFrame:
-    """Games with ``moves`` plus their replayed ``plies`` and whether an illegal move cut them short."""
-    schema = T.StructType(
-        games.schema.fields
-        + [T.StructField("plies", T.ArrayType(PLY)), T.StructField("truncated", T.BooleanType())]
-    )
-    return games.mapInArrow(replayer or replay_batches, schema)
+def replay_games(games: DataFrame, notation: str = "san", replayer: Replayer | None = None) -> DataFrame:
+    """Games with ``moves`` (``san`` or ``uci`` text) plus the replayed columns; batch or stream."""
+    if notation not in ("san", "uci"):
+        raise ValueError(f"notation must be 'san' or 'uci', not {notation!r}")
+    return games.mapInArrow(replayer or replay_batches(notation), T.StructType(games.schema.fields + ADDED))
 
 
 def castling_field(rights: Column) -> Column:
@@ -91,24 +102,44 @@ def square_name(square: Column) -> Column:
     )
 
 
-def explode_replayed(replayed: DataFrame) -> DataFrame:
-    """One row per legal half-move: ``move``, ``fen`` before it, check and capture flags."""
-    rows = replayed.select("*", F.posexplode("plies").alias("pos", "ply")).drop("plies", "moves")
-    fen = F.concat_ws(
+def fen_text(position: str, ply: Column) -> Column:
+    """FEN of a position column after ``ply`` half-moves."""
+    ep = F.col(f"{position}.ep")
+    return F.concat_ws(
         " ",
-        F.col("ply.placement"),
-        F.when(F.col("pos") % 2 == 0, "w").otherwise("b"),
-        castling_field(F.col("ply.rights")),
-        F.when(F.col("ply.ep") >= 0, square_name(F.col("ply.ep"))).otherwise("-"),
-        F.col("ply.halfmove").cast("string"),
-        fullmove_number(F.col("pos")).cast("string"),
+        F.col(f"{position}.placement"),
+        F.when(ply % 2 == 0, "w").otherwise("b"),
+        castling_field(F.col(f"{position}.rights")),
+        F.when(ep >= 0, square_name(ep)).otherwise("-"),
+        F.col(f"{position}.halfmove").cast("string"),
+        fullmove_number(ply).cast("string"),
     )
+
+
+def explode_replayed(replayed: DataFrame) -> DataFrame:
+    """One row per legal half-move: ``move``, ``fen`` before it, check and capture flags."""
+    rows = replayed.select("*", F.posexplode("plies").alias("pos", "ply")).drop("plies", "moves", "final")
     return (
         rows.withColumn("move_number", F.col("pos") + 1)
         .withColumn("move", F.col("ply.uci"))
-        .withColumn("fen", fen)
+        .withColumn("fen", fen_text("ply", F.col("pos")))
         .withColumn("whose_moved", F.when(F.col("pos") % 2 == 0, "white").otherwise("black"))
         .withColumn("is_check", F.col("ply.is_check"))
         .withColumn("is_capture", F.col("ply.is_capture"))
         .drop("pos", "ply")
     )
+
+
+def live_board(states: DataFrame) -> DataFrame:
+    """Board columns of live states whose ``moves`` is the cumulative coordinate list.
+
+    Adds the last move, the position after it and whether it gives check; batch or stream.
+    """
+    done = replay_games(states, "uci")
+    last = F.get("plies", F.size("plies") - 1)
+    return (
+        done.withColumn("move", last["uci"])
+        .withColumn("fen", fen_text("final", F.size("plies")))
+        .withColumn("is_check", F.coalesce(last["is_check"], F.lit(False)))
+        .drop("plies", "final", "moves", "truncated")
+    )

@@ -291,6 +291,19 @@ FROM (SELECT *, CASE ply % 4 WHEN 1 THEN lag(out_to, 1) OVER g WHEN 2 THEN lag(o
       WINDOW g AS (PARTITION BY gid ORDER BY ply))
 WHERE NOT (gid % 7 = 0 AND ply >= 8)""")
 
+oracle("live_board", """SELECT CAST(gid AS VARCHAR) AS game_id,
+  CASE n % 4 WHEN 1 THEN 'g1' || outs[n] || '3' WHEN 2 THEN 'g8' || outs[n] || '6' WHEN 3 THEN outs[n - 2] || '3g1'
+    ELSE outs[n - 2] || '6g8' END AS move,
+  concat('rnbqkb', CASE WHEN n % 4 IN (2, 3) THEN '1r' ELSE 'nr' END, '/pppppppp/',
+    CASE n % 4 WHEN 2 THEN black_out[outs[n]] WHEN 3 THEN black_out[outs[n - 1]] ELSE '8' END, '/8/8/',
+    CASE n % 4 WHEN 1 THEN upper(black_out[outs[n]]) WHEN 2 THEN upper(black_out[outs[n - 1]]) ELSE '8' END,
+    '/PPPPPPPP/RNBQKB', CASE WHEN n % 4 IN (1, 2) THEN '1R' ELSE 'NR' END, CASE WHEN n % 2 = 0 THEN ' w' ELSE ' b' END,
+    ' KQkq - ', n, ' ', n // 2 + 1) AS fen, FALSE AS is_check
+FROM (SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS gid, count(*) AS n,
+        list(CASE WHEN l_suppkey % 2 = 0 THEN 'f' ELSE 'h' END ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+             l_shipdate, l_extendedprice, l_quantity) AS outs, MAP {'f': '5n2', 'h': '7n'} AS black_out
+      FROM lineitem GROUP BY gid)""")
+
 # ---------------------------------------------------------------------------- streams
 
 cte("live", """SELECT CAST(user_id AS VARCHAR) AS game_id, event_id, ts, CAST(event_id % 80 + 1 AS INT) AS ply,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plylake.operators import events as e, expand
-from plylake.operators.replay import explode_replayed, replay_games
+from plylake.operators.replay import explode_replayed, live_board, replay_games
 from plylake.sources import dumps, landing, sinks
 from plylake.streaming.land import land_all
 
@@ -202,6 +202,21 @@ def test_replay_details(spark):
     assert [r.is_check for r in got if r.game_id == "pinned" and r.move_number == 6] == [True]
 
 
+def test_live_board_reads_coordinates(spark):
+    states = spark.createDataFrame(
+        [("start", ""), ("none", None), ("castled", "e2e4 e7e5 g1f3 g8f6 f1e2 f8e7 e1g1"), ("onto_rook", "e2e4 e7e5 g1f3 g8f6 f1e2 f8e7 e1h1"),
+         ("mate", "f2f3 e7e5 g2g4 d8h4"), ("promo", "h2h4 g7g5 h4g5 h7h6 g5h6 g8f6 h6h7 f6g8 h7g8q"), ("odd", "e2e4 e4e5")],
+        "game_id string, moves string")
+    got = {r.game_id: (r.move, r.fen, r.is_check) for r in live_board(states).collect()}
+    first = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+    castled = ("e1g1", "rnbqk2r/ppppbppp/5n2/4p3/4P3/5N2/PPPPBPPP/RNBQ1RK1 b kq - 5 4", False)
+    assert got["start"] == got["none"] == (None, first, False)
+    assert got["castled"] == got["onto_rook"] == castled
+    assert got["mate"] == ("d8h4", "rnb1kbnr/pppp1ppp/8/4p3/6Pq/5P2/PPPPP2P/RNBQKBNR w KQkq - 1 3", True)
+    assert got["promo"] == ("h7g8q", "rnbqkbQr/pppppp2/8/8/8/8/PPPPPPP1/RNBQKBNR b KQkq - 0 5", False)
+    assert got["odd"][0] == "e2e4"
+
+
 def test_pgn_reader(spark, tmp_path):
     text = (
         '[Event "Rated Blitz game"]\n[Site "https://example.org/abcd1234"]\n[White "Ann"]\n[Black "Bob \\"B\\""]\n'

@@ -30,7 +30,7 @@ def fact(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - RUNS_A_JOB))
 def test_only_replay_runs_python(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
-    assert [p for p in PYTHON if p in text] == (["MapInArrow"] if name == "replay" else [])
+    assert [p for p in PYTHON if p in text] == (["MapInArrow"] if name in ("replay", "live_board") else [])
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
