@@ -10,6 +10,8 @@ import json
 import os
 import time
 
+import pyarrow.parquet as pq
+
 from plylake.plans.catalog import QUERIES
 from plylake.session import local_session
 
@@ -34,9 +36,17 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
+    # every line item is one half-move of the replayed games, every order with lines one PGN record
+    half_moves = pq.read_metadata(f"{sf_dir}/lineitem.parquet").num_rows
+    orders = pq.read_metadata(f"{sf_dir}/orders.parquet").num_rows
+    rates = {}
+    if "replay" in seconds:
+        rates["replay_half_moves_per_sec"] = round(half_moves / seconds["replay"])
+    if "read_pgn" in seconds:
+        rates["pgn_write_and_parse_orders_per_sec"] = round(orders / seconds["read_pgn"])
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "queries": seconds, "rates": rates, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
 
 

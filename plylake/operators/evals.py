@@ -35,18 +35,28 @@ def frequent_positions(events: DataFrame, k: int = 1000, buckets: int = 64) -> D
     )
 
 
-def attach_evals(events: DataFrame, evals: DataFrame, hot_keys: int = 1000) -> DataFrame:
-    """Left join of plies to evaluations on the position.
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate is within the session's broadcast threshold."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size.toString()) <= limit
+
+
+def attach_evals(events: DataFrame, evals: DataFrame, hot_keys: int | None = None) -> DataFrame:
+    """Left join of plies to evaluations on the position; ``evals`` holds one row per position.
 
     Early positions occur in most games, so a shuffle on the position would send them to one task.
-    The evaluations of the ``hot_keys`` most frequent positions are broadcast (their number is the
-    bound), and only the other plies are shuffled.  ``evals`` holds one row per position.
+    An ``evals`` table of broadcast size is never shuffled against.  Beyond that the evaluations of the
+    ``hot_keys`` (default 1000) most frequent positions are broadcast, their number being the bound,
+    and only the other plies are shuffled.  0 leaves it all to the optimizer.
     """
     columns = ["cp", "mate", "best_move", "evaluated"]
     keyed = events.withColumn("position", position_key(F.col("fen")))
     known = evals.select(
         position_key(F.col("fen")).alias("position"), "cp", "mate", "best_move", F.lit(True).alias("evaluated")
     )
+    if hot_keys is None:
+        hot_keys = 0 if fits_broadcast(known) else 1000
     if not hot_keys:
         return keyed.join(known, "position", "left").drop("position")
     hot = frequent_positions(events, hot_keys)

@@ -270,7 +270,7 @@ def build_move_events_midnight(spark, sf_dir):
 def scan_partition(spark, sf_dir):
     """Landing write and the read of every date back, by games per date."""
     root = scratch_path(spark, "landing")
-    _starts(spark, sf_dir).write.partitionBy("date").parquet(f"{root}/game_start")
+    _starts(spark, sf_dir).hint("rebalance", "date").write.partitionBy("date").parquet(f"{root}/game_start")
     return landing.read_landing(spark, root, "game_start").groupBy("date").agg(
         F.count("*").alias("starts"), F.countDistinct("game_id").alias("games")
     )
@@ -359,7 +359,7 @@ def discover_players(spark, sf_dir):
     source = landing.TopicSource("text", f"{root}/in", {"maxFilesPerTrigger": "1"})
     starts = events.decode(landing.read_topic(spark, source, "game_start"), "game_start")
     discover.discover_players(starts, f"{root}/known", f"{root}/checkpoint", availableNow=True).awaitTermination()
-    return spark.read.schema(discover.KNOWN_PLAYERS).parquet(f"{root}/known").select("player_id")
+    return discover.read_known(spark, f"{root}/known").select("player_id")
 
 
 @query

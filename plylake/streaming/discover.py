@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 KNOWN_PLAYERS = "player_id string, first_seen timestamp, last_seen timestamp"
@@ -18,6 +19,16 @@ def new_players(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.select("player_id").distinct().join(known.select("player_id"), "player_id", "left_anti")
 
 
+def read_known(spark: SparkSession, path: str) -> DataFrame:
+    """The tracked players; none before the first batch has written the table."""
+    try:
+        return spark.read.schema(KNOWN_PLAYERS).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], KNOWN_PLAYERS)
+
+
 def discover_players(starts: DataFrame, known_path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append unseen players of a stream of starts to the table at ``known_path``.
 
@@ -25,13 +36,12 @@ def discover_players(starts: DataFrame, known_path: str, checkpoint: str, **trig
     """
 
     def flush(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        # an empty append creates the table, so that the first batch can read it
-        spark.createDataFrame([], KNOWN_PLAYERS).write.mode("append").parquet(known_path)
-        known = spark.read.schema(KNOWN_PLAYERS).parquet(known_path)
         now = F.current_timestamp()
-        fresh = new_players(batch, known).select("player_id", now.alias("first_seen"), now.alias("last_seen"))
-        fresh.write.mode("append").parquet(known_path)
+        fresh = new_players(batch, read_known(batch.sparkSession, known_path)).select(
+            "player_id", now.alias("first_seen"), now.alias("last_seen")
+        )
+        if not fresh.isEmpty():
+            fresh.hint("rebalance").write.mode("append").parquet(known_path)
 
     return (
         players_of(starts)

@@ -40,7 +40,7 @@ def test_curve_and_swings(spark):
         (1, 0.4, "blue"), (2, 30.0, "red"), (4, -30.0, "red"), (5, 0.0, "red")]
 
 
-@pytest.mark.parametrize("hot_keys", [0, 2, 1000])
+@pytest.mark.parametrize("hot_keys", [None, 0, 2, 1000])
 def test_hot_position_gives_the_same_rows(spark, hot_keys):
     """One position holds most plies; the join strategy must not show in the result."""
     events = spark.range(3000).select(
@@ -55,6 +55,22 @@ def test_hot_position_gives_the_same_rows(spark, hot_keys):
     assert got.where("evaluated").count() == 2001
 
 
+def test_size_check_picks_the_join(spark):
+    events = spark.range(10).selectExpr("concat('g', id) as game_id", "1 as move_number", "concat('p', id) as fen")
+    small = spark.createDataFrame([("p1", 1, None, "m")], "fen string, cp int, mate int, best_move string")
+
+    def sketched():
+        return "approx_top_k" in ev.attach_evals(events, small)._jdf.queryExecution().optimizedPlan().toString()
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert not sketched()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert sketched()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_positions_to_eval_is_distinct_and_anti(spark):
     events = facts(spark, {"fen": "a w - - 0 1"}, {"move_number": 2, "fen": "a w - - 5 9"}, {"move_number": 3, "fen": "b w - -"})
     table = evals(spark, ("b w - -", 1, None, "m"))
