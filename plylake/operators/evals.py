@@ -39,7 +39,7 @@ def fits_broadcast(df: DataFrame) -> bool:
     """Whether the optimizer's size estimate is within the session's broadcast threshold."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit
+    return int(str(size)) <= limit
 
 
 def attach_evals(events: DataFrame, evals: DataFrame, hot_keys: int | None = None) -> DataFrame:
