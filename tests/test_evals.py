@@ -57,7 +57,7 @@ def test_hot_position_gives_the_same_rows(spark, hot_keys):
 
 def test_size_check_picks_the_join(spark):
     events = spark.range(10).selectExpr("concat('g', id) as game_id", "1 as move_number", "concat('p', id) as fen")
-    small = spark.createDataFrame([("p1", 1, None, "m")], "fen string, cp int, mate int, best_move string")
+    small = spark.range(10).selectExpr("concat('p', id) as fen", "1 as cp", "null as mate", "'m' as best_move")
 
     def sketched():
         return "approx_top_k" in ev.attach_evals(events, small)._jdf.queryExecution().optimizedPlan().toString()
