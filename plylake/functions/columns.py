@@ -66,7 +66,7 @@ def win_probability(cp: Column, mate: Column, slope: float = 0.00368208) -> Colu
 
 
 def eval_label(cp: Column, edge: int = 300) -> Column:
-    # format_number rounds the exact binary value; format_string would round its decimal text half up
+    # The label texts. format_number rounds the exact binary value; format_string would round its decimal text half up
     pawns = F.call_function("format_number", cp / 100.0, F.lit("0.0"))
     signed = F.when(cp >= 0, F.concat(F.lit("+"), pawns)).otherwise(pawns)
     return (

@@ -189,6 +189,7 @@ def winning_not_won(evaluated: DataFrame, edge: int = 200) -> DataFrame:
 
 def game_digest(evaluated: DataFrame) -> DataFrame:
     """One text per game: header, result and a line per ply with its evaluation."""
+    # The wording and number formats below are the format of the digest.
     score = (
         F.when(F.col("mate").isNotNull(), F.format_string("Mate in %d", F.abs("mate")))
         .when(F.col("cp").isNotNull(), F.format_string("%+.2f", F.col("cp") / 100.0))

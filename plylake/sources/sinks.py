@@ -32,7 +32,10 @@ def ensure_table(spark: SparkSession, name: str, using: str = "parquet") -> None
     columns = ", ".join(
         f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in MOVE_EVENTS.fields
     )
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {using} PARTITIONED BY (date)")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {using} "
+        "OPTIONS (compression 'zstd') PARTITIONED BY (date)"
+    )
 
 
 def refresh(spark: SparkSession, name: str) -> None:
