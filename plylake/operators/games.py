@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -9,9 +11,19 @@ def result_of(winner: Column, color: Column) -> Column:
     return F.when(winner.isNull(), "draw").when(winner == color, "win").otherwise("loss")
 
 
-def games_from_events(events: DataFrame) -> DataFrame:
-    """One row per game, taken from its first ply; repeated rows of a game do not count twice."""
-    return events.where(F.col("move_number") == 1).dropDuplicates(["game_id"])
+def games_from_events(
+    events: DataFrame, unique: bool = False, statuses_excluded: Sequence[str] = ()
+) -> DataFrame:
+    """One row per game, taken from its first ply; repeated rows of a game do not count twice.
+
+    ``unique=True`` saves the shuffle by game where the fact is known to hold every ply once, as
+    ``publish`` leaves it.  ``statuses_excluded`` drops games such as aborted ones, which would
+    otherwise count as drawn.
+    """
+    first = events.where(F.col("move_number") == 1)
+    if statuses_excluded:
+        first = first.where(~F.coalesce(F.col("end_status").isin(*statuses_excluded), F.lit(False)))
+    return first if unique else first.dropDuplicates(["game_id"])
 
 
 def perspective(games: DataFrame) -> DataFrame:

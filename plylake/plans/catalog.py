@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plylake import fixtures as fx
 from plylake.functions import columns as col_fn
 from plylake.operators import evals as ev, events, expand, openings, patterns, players, replay as replay_job, stats
-from plylake.operators.games import games_from_events, perspective
+from plylake.operators.games import games_from_events, perspective as sides_of
 from plylake.plans import tools
 from plylake.session import scratch_path
 from plylake.sources import dumps, landing, sinks
@@ -39,8 +39,8 @@ def games(spark, sf_dir):
 
 
 @query
-def player_games(spark, sf_dir):
-    return perspective(_games(spark, sf_dir)).select(
+def perspective(spark, sf_dir):
+    return sides_of(_games(spark, sf_dir)).select(
         "game_id", "player_id", "color", "opponent_id", "my_rating", "opp_rating", "result", "speed", "date"
     )
 
@@ -501,12 +501,10 @@ def claim_accuracy(spark, sf_dir):
 
 @query
 def detection_quality(spark, sf_dir):
-    evaluated = _evaluated(spark, sf_dir)
-    keys = ["game_id", "move_number"]
+    """Blunders by the reference form against those by the corrected form, judged in one pass."""
     blunder = F.col("classification") == "blunder"
-    said = ev.judge_moves(evaluated, stats.REFERENCE).select(*keys, blunder.alias("predicted"))
-    true = ev.judge_moves(evaluated, stats.CORRECTED).select(*keys, blunder.alias("actual"))
-    return players.detection_quality(said.join(true, keys))
+    said = ev.judge_moves(_evaluated(spark, sf_dir), stats.REFERENCE).withColumn("predicted", blunder)
+    return players.detection_quality(ev.judge_moves(said, stats.CORRECTED).withColumn("actual", blunder))
 
 
 @query

@@ -86,7 +86,7 @@ RATE = f"round(CAST({WINS} AS DOUBLE) * 100.0 / CAST(count(*) AS DOUBLE), 1)"
 
 oracle("move_events", "SELECT * EXCLUDE (gid) FROM ev", "ev")
 oracle("games", "SELECT * EXCLUDE (gid, fen, move) FROM g", "g")
-oracle("player_games", """SELECT game_id, player_id, color, opponent_id, my_rating, opp_rating, result, speed, date
+oracle("perspective", """SELECT game_id, player_id, color, opponent_id, my_rating, opp_rating, result, speed, date
 FROM p""", "p")
 
 OVERVIEW = f"""SELECT player_id, speed, count(*) AS total_games, {WINS} AS wins, {LOSSES} AS losses,

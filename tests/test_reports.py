@@ -28,6 +28,13 @@ def test_results_add_up_and_duplicates_change_nothing(spark):
     assert one(twice, player_id="w") == got
 
 
+def test_unique_fact_and_excluded_statuses(spark):
+    events = facts(spark, {}, {"game_id": "g2", "winner": None, "end_status": "aborted"}, {"game_id": "g3", "end_status": None})
+    assert games_from_events(events, unique=True).count() == 3
+    kept = games_from_events(events, statuses_excluded=["aborted", "noStart"])
+    assert sorted(r.game_id for r in kept.collect()) == ["g1", "g3"]
+
+
 def test_self_play_counts_once_as_white(spark):
     games = games_from_events(facts(spark, {"black_id": "w"}))
     assert [(r.player_id, r.color, r.result) for r in perspective(games).collect()] == [("w", "white", "win")]
