@@ -457,12 +457,12 @@ oracle("similar_positions", """SELECT vec_id, label, round(list_cosine_similarit
 FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 5""")
 oracle("claim_accuracy", """SELECT metric, count(*) AS claims, count(fact) AS grounded,
   count(*) FILTER (abs(value - fact) <= 5.0) AS accurate, round(count(fact) / count(*), 6) AS grounded_share,
-  round(count(*) FILTER (abs(value - fact) <= 5.0) / count(fact), 6) AS accurate_share
+  round(count(*) FILTER (abs(value - fact) <= 5.0) / nullif(count(fact), 0), 6) AS accurate_share
 FROM (SELECT c_custkey % 60 AS k, CASE WHEN c_custkey % 2 = 0 THEN 'games' ELSE 'win_pct' END AS metric,
         20 + c_custkey % 45 AS value,
         CASE WHEN c_custkey % 2 = 0 THEN CAST(total_games AS DOUBLE) ELSE win_pct END AS fact
       FROM customer LEFT JOIN pt ON player_id = CAST(c_custkey % 60 AS VARCHAR)) GROUP BY metric""", "pt")
-oracle("detection_quality", """SELECT hits, said, present, round(hits / said, 6) AS precision, round(hits / present, 6) AS recall
+oracle("detection_quality", """SELECT hits, said, present, round(hits / nullif(said, 0), 6) AS precision, round(hits / nullif(present, 0), 6) AS recall
 FROM (SELECT count(*) FILTER (a.classification = 'blunder' AND b.classification = 'blunder') AS hits,
         count(*) FILTER (a.classification = 'blunder') AS said, count(*) FILTER (b.classification = 'blunder') AS present
       FROM jr a JOIN jc b ON a.game_id = b.game_id AND a.move_number = b.move_number)""", "jr", "jc")
