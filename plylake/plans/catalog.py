@@ -316,8 +316,9 @@ def live_board(spark, sf_dir):
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fx.table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return fx.live_events(source)
+    # one file per trigger bounds what a trigger holds of a single game
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1)
+    return fx.live_events(reader.parquet(sf_dir))
 
 
 def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -343,7 +344,7 @@ def time_spent(spark, sf_dir):
 
 @query
 def live_features(spark, sf_dir):
-    return _drained(spark, live.live_features(_event_stream(spark, sf_dir)), "live")
+    return _drained(spark, live.live_features(_event_stream(spark, sf_dir), "60 days"), "live")
 
 
 @query

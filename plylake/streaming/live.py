@@ -76,8 +76,9 @@ def live_features(states: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Streaming form of ``time_spent``; the state of a game is its two last clocks.
 
     Rows of one micro-batch are put in time order; across micro-batches the previous state is the one
-    handled last.  A game's state is dropped a day after the watermark passed its last batch.  Bound
-    the rows of a trigger with the source's rate option.
+    handled last, and rows later than ``delay`` are dropped.  A game's state is dropped a day after
+    the watermark passed its last batch.  A task holds one game's rows of one trigger: give the source
+    its rate option (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``), which is the bound on them.
     """
     return (
         live_columns(states.withWatermark("ts", delay))

@@ -35,6 +35,18 @@ def test_live_features_equal_batch(spark, split_events, tmp_path, rows):
     assert rows(got, *live.FEATURES) == rows(want, *live.FEATURES)
 
 
+def test_long_game_spans_arrow_batches(spark, tmp_path, rows):
+    """A game with more rows in a trigger than an Arrow batch holds."""
+    states = spark.range(25000).selectExpr(
+        "if(id % 50 = 0, 'other', 'long') as game_id", "id as event_id", "timestamp_seconds(1700000000 + id * 7919 % 25013) as ts",
+        "cast(id % 90 + 1 as int) as ply", "cast(id * 31 % 700 as int) as wc", "cast(id * 17 % 600 as int) as bc")
+    states.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = live.live_features(spark.readStream.schema(states.schema).parquet(str(tmp_path / "in")), "30 days")
+    append_files(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    assert rows(got, *live.FEATURES) == rows(live.time_spent(states), *live.FEATURES)
+
+
 def test_time_spent_rules(spark):
     states = spark.createDataFrame(
         [("g", 1, 1, 100, 90), ("g", 2, 2, 100, 0), ("g", 3, 3, 95, 0), ("g", 4, 4, 95, 5), ("h", 5, 1, 9, 50)],
