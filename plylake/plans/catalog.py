@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +12,7 @@ from plylake.functions import columns as col_fn
 from plylake.operators import evals as ev, events, expand, openings, patterns, players, replay as replay_job, stats
 from plylake.operators.games import games_from_events, perspective as sides_of
 from plylake.plans import tools
-from plylake.session import scratch_path
+from plylake.session import scratch_path, ship_package
 from plylake.sources import dumps, landing, sinks
 from plylake.streaming import discover, land, live
 
@@ -20,8 +21,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def _games(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(app: str = "plylake", cores: str = "8", partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
@@ -26,6 +30,24 @@ def local_session(app: str = "plylake", cores: str = "8", partitions: int = 8) -
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per Spark application.
+
+    The replay job and the state function run there; without it they find the package only where the
+    workers' own path has it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="plylake-py-")) / "plylake.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
