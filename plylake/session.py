@@ -51,11 +51,13 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests) a folder of
-    this machine is taken, and remembered for the rest of the session.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a session on this machine alone takes a
+    folder of this machine and remembers it; any other session is refused, as its executors would not share one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="plylake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
