@@ -15,6 +15,7 @@ documents of their own, in any order; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -117,56 +118,60 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
+_ASCII_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<")
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space, lower-cases, and parts letters from ``.`` and ``,``.
+    """Encodes texts with a tokenizer that drops white space, lower-cases, and parts letters, digits and other marks.
 
-    Each part between white space is encoded once by the library and remembered, in bounded memory.  ASCII parts are
-    looked up in lower case and without a final stop or comma, which the tokenizer treats by itself.  New words of
-    letters only are encoded in one call, and told apart by the tokens that end a word.
+    Each part between white space is remembered, in bounded memory.  New parts are cut into the tokenizer's pieces where
+    those are plain: ASCII without apostrophes and ``<``, or letters with marks behind them.  New pieces of letters only are
+    encoded in one call of the library and told apart by the tokens that end a word; all else is encoded by itself.
     """
 
     def __init__(self, definition: str, word_end: str = "</w>") -> None:
         self.tokenizer = Tokenizer.from_str(definition)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(word_end) for i in range(size)])
-        self.cores = Generations(self._library)
-        self.parts = Generations(self._part)
+        self.pieces = Generations(lambda piece: self._ids(piece).tobytes())
+        self.parts = Generations(lambda part: b"".join(map(self.pieces.__getitem__, self._cut(part))), 400_000)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _library(self, part: str) -> bytes:
-        return self._ids(part).tobytes()
-
     @staticmethod
-    def _core(part: str) -> tuple[str, str]:
-        """What the tokenizer makes the same of, and a final stop or comma."""
-        if part.isascii() and "<" not in part:
-            part = part.lower()
-        alone = part[-1:] in (".", ",") and part[-2:-1].isalpha() and part[-2:-1].isascii()
-        return (part[:-1], part[-1]) if alone else (part, "")
-
-    def _part(self, part: str) -> bytes:
-        core, tail = self._core(part)
-        return self.cores[core] + self.cores[tail] if tail else self.cores[core]
-
-    def _learn(self, parts: list[str]) -> None:
-        words = [w for w in {self._core(p)[0] for p in parts} if w not in self.cores and w not in self.cores.older and w.lower().isalpha()]
-        if len(words) < 2:
-            return
-        ids = self._ids(" ".join(words))
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(words):
-            data = ids.tobytes()
-            for word, a, b in zip(words, [0, *(4 * ends[:-1]).tolist()], (4 * ends).tolist()):
-                self.cores.put(word, data[a:b])
-
-    def packed(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").replace("\t", " ").split(" ")
-        new = [p for p in set(parts) if p not in self.parts]
-        if new:
-            self._learn(new)
-        return b"".join(map(self.parts.__getitem__, parts))
+    def _cut(part: str) -> list[str]:
+        """Pieces that the tokenizer encodes apart from each other."""
+        if part.isascii():
+            return [part] if "'" in part or "<" in part else _ASCII_PIECES(part.lower())
+        word = part.rstrip(_MARKS)
+        return [word, part[len(word):]] if len(word) < len(part) and word.isalpha() else [part]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodes new words together."""
+        words = [w for w in pieces if w not in self.pieces and w not in self.pieces.older and w.isalpha() and w.lower().isalpha()]
+        for at in range(0, len(words), 2000):
+            some = words[at:at + 2000]
+            ids = self._ids(" ".join(some))
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) == len(some) + 1:
+                data = ids.tobytes()
+                for word, a, b in zip(some, cuts, cuts[1:]):
+                    self.pieces.put(word, data[a:b])
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), 256):
+            parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts[at:at + 256]]
+            known = self.parts
+            cuts = {p: self._cut(p) for p in set().union(*parts) if p not in known and p not in known.older}
+            self._learn(set().union(*cuts.values()))
+            for part, cut in cuts.items():
+                known.put(part, self.pieces[cut[0]] if len(cut) == 1 else b"".join(map(self.pieces.__getitem__, cut)))
+            out += [b"".join(map(known.__getitem__, p)) for p in parts]
+        return out
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -206,8 +211,8 @@ def write_shards(
         lengths: list[int] = []
         ids: list[bytes] = []
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids.append(own.packed(text.as_py()) + end)
+            for name, packed in zip(batch.column("doc_id").to_pylist(), own.packed(batch.column("text").to_pylist())):
+                ids.append(packed + end)
                 names.append(name)
                 lengths.append(len(ids[-1]) // 4)
                 held += lengths[-1]
