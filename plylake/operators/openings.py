@@ -8,14 +8,16 @@ from plylake.functions.columns import percent
 from plylake.operators.expand import tokens
 
 
-def opening_lookup(games: DataFrame, book: DataFrame, max_ply: int = 36) -> DataFrame:
+def opening_lookup(games: DataFrame, book: DataFrame) -> DataFrame:
     """Opening of each game: the book line with the most plies that its moves begin with.
 
-    ``games``: game_id, moves.  ``book``: prefix (tokens joined by blanks), ply, eco, name.  A book small
-    enough is broadcast by the optimizer; then the group by game has its map-side part before any shuffle.
+    ``games``: game_id, moves.  ``book``: prefix (tokens joined by blanks), ply, eco, name.  A game is looked
+    up under the lengths that book lines have, so no length is fixed here.  A book small enough is broadcast
+    by the optimizer; then the group by game has its map-side part before any shuffle.
     """
-    line = F.slice(tokens(F.col("moves")), 1, max_ply)
-    lengths = F.when(F.size(line) > 0, F.sequence(F.lit(1), F.size(line)))
+    held = [r[0] for r in book.select(F.size(F.split("prefix", " "))).distinct().collect()]  # one row per length
+    line = tokens(F.col("moves"))
+    lengths = F.filter(F.array(*[F.lit(n) for n in sorted(held)]).cast("array<int>"), lambda n: n <= F.size(line))
     prefixes = games.select("game_id", line.alias("line"), F.explode_outer(lengths).alias("n")).select(
         "game_id", F.array_join(F.slice("line", 1, F.col("n")), " ").alias("prefix")
     )

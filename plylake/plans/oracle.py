@@ -323,7 +323,7 @@ oracle("time_spent_fact", """SELECT game_id, move_number, whose_moved, clock_rem
 FROM ev""", "ev")
 
 oracle("run_sql", """SELECT date, count(DISTINCT game_id) AS games, count(*) AS moves FROM ev
-GROUP BY date ORDER BY date DESC LIMIT 500""", "ev")
+GROUP BY date""", "ev")
 
 # ---------------------------------------------------------------------------- documented analytics
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from plylake.operators import evals as ev, stats
@@ -72,13 +73,13 @@ def run_tool(registry: Mapping[str, Tool], name: str, **args) -> DataFrame:
     return registry[name](**args)
 
 
-DEFAULT_SQL = """SELECT date, COUNT(DISTINCT game_id) AS games, COUNT(*) AS moves
-FROM move_events GROUP BY date ORDER BY date DESC"""
+def run_sql(spark: SparkSession, text: str, cap: int | None = None, args: Mapping | None = None) -> DataFrame:
+    """The rows of a query over the registered views; values go in as named ``args``.
 
-
-def run_sql(spark: SparkSession, text: str = DEFAULT_SQL, cap: int = 500, args: Mapping | None = None) -> DataFrame:
-    """A SELECT over the registered views, at most ``cap`` rows; values go in as named ``args``."""
-    words = text.strip().rstrip(";").split(None, 1)
-    if not words or words[0].upper() not in ("SELECT", "WITH"):
-        raise ValueError("only SELECT queries are allowed")
-    return spark.sql(text.strip().rstrip(";"), args=dict(args or {})).limit(cap)
+    The text is read as a subquery, which can hold nothing that writes.  With ``cap`` at most that many rows come.
+    """
+    try:
+        rows = spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)", args=dict(args or {}))
+    except ParseException as error:
+        raise ValueError("only SELECT queries are allowed") from error
+    return rows if cap is None else rows.limit(cap)

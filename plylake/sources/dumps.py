@@ -66,6 +66,9 @@ TAGS = (
 )
 
 
+_TAG_LINE = r'(?m)^\[\w+ ".*"\][ \t]*$'
+
+
 def _tag(name: str) -> Column:
     start = f'[{name} "'
     line = F.filter("tags", lambda t: t.startswith(start))
@@ -74,24 +77,46 @@ def _tag(name: str) -> Column:
     return F.get(F.filter(text, lambda t: ~t.isin("", "?", "-")), F.lit(0)).alias(f"t_{name}")
 
 
-def _strip_annotations(movetext: Column) -> Column:
-    """Movetext without comments, NAGs, glyphs, move numbers, variations and the result."""
-    # held in an array of one, because a lambda argument is evaluated once however often it is named
-    text = F.array(F.regexp_replace(movetext, r"\{[^}]*\}|;[^\n]*|\$\d+|[!?]+|\b\d+\.(?:\.\.)?", " "))
-    for _ in range(4):  # innermost variations first
-        text = F.transform(text, lambda t: F.when(
-            F.contains(t, F.lit("(")), F.regexp_replace(t, r"\([^()]*\)", " ")).otherwise(t))
-    words = F.split(F.get(text, F.lit(0)), r"\s+")
-    return F.array_join(F.filter(words, lambda t: ~t.isin("", "1-0", "0-1", "1/2-1/2", "*")), " ")
+def _main_line(movetext: Column) -> Column:
+    """Tokens of the main line: moves, each with ``@h:mm:ss`` behind it where it has a clock.
+
+    Comments, NAGs, glyphs, move numbers and the result are left out, and variations however deep they are nested.
+    """
+    text = F.regexp_replace(movetext, r"\{[^}]*?\[%clk (\d+:\d{1,2}:\d{1,2}(?:\.\d+)?)\][^}]*\}", " @$1 ")
+    text = F.regexp_replace(text, r"\{[^}]*\}|;[^\n]*|\$\d+|[!?]+", " ")
+    text = F.regexp_replace(text, r"([()])", " $1 ")
+    words = F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"^\d+\.+", ""))
+    words = F.filter(words, lambda t: ~t.isin("", "1-0", "0-1", "1/2-1/2", "*"))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, t: Column) -> Column:
+        depth = state["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)
+        keep = (state["depth"] <= 0) & ~t.isin("(", ")")
+        return F.struct(
+            F.greatest(depth, F.lit(0)).alias("depth"),
+            F.when(keep, F.array_append(state["kept"], t)).otherwise(state["kept"]).alias("kept"),
+        )
+
+    nested = F.contains(text, F.lit("("))
+    return F.when(nested, F.aggregate(words, start, step, lambda state: state["kept"])).otherwise(
+        F.filter(words, lambda t: t != ")")
+    )
+
+
+def _moves(line: Column) -> Column:
+    return F.array_join(F.filter(line, lambda t: ~t.startswith("@")), " ")
 
 
-def _clocks(movetext: Column) -> Column:
+def _clocks(line: Column) -> Column:
+    """Clock of every move in hundredths, up to the last that has one; NULL for a move without one."""
     def centis(text: Column) -> Column:
-        h, m, s = (F.split(text, ":")[i].cast("double") for i in range(3))
+        h, m, s = (F.split(F.substr(text, F.lit(2)), ":")[i].cast("double") for i in range(3))
         return F.round((h * 3600 + m * 60 + s) * 100).cast("int")
 
-    found = F.regexp_extract_all(movetext, F.lit(r"\[%clk (\d+:\d{1,2}:\d{1,2}(?:\.\d+)?)\]"), 1)
-    return F.transform(found, centis)
+    pairs = F.filter(F.arrays_zip(line.alias("t"), F.slice(line, 2, F.size(line)).alias("n")), lambda p: ~p["t"].startswith("@"))
+    found = F.transform(pairs, lambda p: F.when(p["n"].startswith("@"), centis(p["n"])))
+    last = F.array_max(F.transform(found, lambda c, i: F.when(c.isNotNull(), i + 1)))
+    return F.slice(found, 1, F.coalesce(last, F.lit(0)))
 
 
 def _speed(initial: Column, increment: Column) -> Column:
@@ -103,14 +128,20 @@ def _speed(initial: Column, increment: Column) -> Column:
 
 
 def parse_pgn(records: DataFrame) -> DataFrame:
-    """PGN records in ``record`` as history games; only built-in text functions, no Python."""
-    gap = F.instr("record", "\n\n")
+    """PGN records in ``record`` as history games; only built-in text functions, no Python.
+
+    A record without a site gets an id from its text; only text without any tag is no record.
+    """
+    record = F.replace("record", F.lit("\r\n"), F.lit("\n"))
     # one generator row per record, so that the split is made once and not for every tag
     parts = F.array(F.struct(
-        F.split(F.substring("record", F.lit(1), gap - 1), "\n").alias("tags"),
-        F.col("record").substr(gap + 2, F.length("record")).alias("movetext"),
+        F.regexp_extract_all(record, F.lit(_TAG_LINE), F.lit(0)).alias("tags"),
+        F.regexp_replace(record, _TAG_LINE, " ").alias("movetext"), record.alias("record"),
     ))
-    tagged = records.where(gap > 0).select(F.inline(parts)).select("movetext", *[_tag(name) for name in TAGS])
+    tagged = records.select(F.inline(parts)).where(F.size("tags") > 0).select(
+        F.explode(F.array(F.struct(_main_line(F.col("movetext")).alias("line"), F.sha2("record", 256).alias("digest")))).alias("_m"),
+        *[_tag(name) for name in TAGS],
+    ).select("_m.line", "_m.digest", *[f"t_{name}" for name in TAGS])
     control = F.split("t_TimeControl", r"\+")
     timed = tagged.select(
         "*", *[F.get(control, F.lit(i)).try_cast("int").alias(c) for i, c in enumerate(("initial", "increment"))]
@@ -125,8 +156,10 @@ def parse_pgn(records: DataFrame) -> DataFrame:
         ]
 
     return timed.select(
-        F.substring_index("t_Site", "/", -1).alias("game_id"),
-        _strip_annotations(F.col("movetext")).alias("moves"), _clocks(F.col("movetext")).alias("clocks"),
+        F.coalesce(
+            blank_to_null(F.substring_index("t_Site", "/", -1)), F.concat(F.lit("pgn-"), F.substring("digest", 1, 16))
+        ).alias("game_id"),
+        _moves(F.col("line")).alias("moves"), _clocks(F.col("line")).alias("clocks"),
         F.col("t_ECO").alias("opening_eco"), F.col("t_Opening").alias("opening_name"),
         F.lit(None).cast("int").alias("opening_ply"),
         F.col("initial").alias("clock_initial"), F.col("increment").alias("clock_increment"),
@@ -136,7 +169,7 @@ def parse_pgn(records: DataFrame) -> DataFrame:
         F.when(F.col("t_Result") == "1-0", "white").when(F.col("t_Result") == "0-1", "black").alias("winner"),
         F.lower("t_Termination").alias("end_status"),
         F.translate(F.coalesce("t_UTCDate", "t_Date"), ".", "-").alias("date"),
-    ).where(blank_to_null(F.col("game_id")).isNotNull())
+    )
 
 
 def read_pgn(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -145,7 +178,7 @@ def read_pgn(spark: SparkSession, path: str, partitions: int | None = None) -> D
     Plain files split by bytes.  A compressed file is one stream, so name ``partitions`` to spread its
     records before they are parsed.
     """
-    separator = "\n\n[Event "
+    separator = "\n[Event "
     rows = spark.read.option("lineSep", separator).text(path)
     if partitions:
         rows = rows.repartition(partitions)

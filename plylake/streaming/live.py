@@ -57,9 +57,6 @@ def time_spent(states: DataFrame) -> DataFrame:
 
 
 def _advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     batch = pd.concat(list(rows))
     batch = batch.iloc[np.lexsort((batch["event_id"].to_numpy(), batch["ts"].to_numpy()))]
     white, black = (batch[c].to_numpy(dtype="float64") for c in ("white_clock", "black_clock"))
@@ -68,27 +65,30 @@ def _advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Ite
     then = np.where(whites_turn, np.append(last[0], white[:-1]), np.append(last[1], black[:-1]))
     spent = np.where(then == 0, np.nan, then) - np.where(whites_turn, white, black)
     state.update((int(white[-1]), int(black[-1])))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 86_400_000)
     yield batch.assign(time_spent_s=pd.array(spent, dtype="Float64").astype("Int32"))[FEATURES]
 
 
-def live_features(states: DataFrame, delay: str = "1 hour") -> DataFrame:
+def live_features(states: DataFrame) -> DataFrame:
     """Streaming form of ``time_spent``; the state of a game is its two last clocks.
 
     Rows of one micro-batch are put in time order; across micro-batches the previous state is the one
-    handled last, and rows later than ``delay`` are dropped.  A game's state is dropped a day after
-    the watermark passed its last batch.  A task holds one game's rows of one trigger: give the source
+    handled last.  Nothing is dropped: a late row counts when it comes, and a game's two clocks are kept
+    however long its next move takes.  A task holds one game's rows of one trigger: give the source
     its rate option (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``), which is the bound on them.
     """
     return (
-        live_columns(states.withWatermark("ts", delay))
+        live_columns(states)
         .groupBy("game_id")
-        .applyInPandasWithState(
-            _advance, _SCHEMA, "w int, b int", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .applyInPandasWithState(_advance, _SCHEMA, "w int, b int", "append", GroupStateTimeout.NoTimeout)
     )
 
 
-def new_games(states: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First sight of each game id; an id is remembered for ``delay`` after it was seen."""
-    return states.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["game_id"])
+def new_games(states: DataFrame, remember: str | None = None) -> DataFrame:
+    """First sight of each game id.
+
+    Every id is remembered, as one key of state each.  With ``remember`` (longer than any game lasts) an id is
+    forgotten that long after it was seen.
+    """
+    if remember is None:
+        return states.dropDuplicates(["game_id"])
+    return states.withWatermark("ts", remember).dropDuplicatesWithinWatermark(["game_id"])

@@ -246,3 +246,18 @@ def test_eval_dump(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nbroken\n")
     got = dumps.read_eval_dump(spark, str(tmp_path / "e.jsonl")).collect()
     assert [tuple(r) for r in got] == [("a w - -", 9, None, "c2c4")]
+
+
+def test_pgn_nesting_line_ends_and_clocks(spark, tmp_path):
+    """Six nested variations with clocks of their own, CRLF, no blank line, no site, a move without a clock."""
+    nested = "( d4 " * 6 + "{ [%clk 0:00:01] } " + ") " * 6
+    first = f'[Event "x"]\n[Site "https://e.org/g1"]\n\n1. e4 {{ [%clk 0:01:00.5] }} {nested}1... e5 2. Nf3 {{ [%eval 0.2] [%clk 0:00:58] }} 1-0\n'
+    second = '[Event "y"]\n[White "ann"]\n1. d4 d5 *\n'
+    (tmp_path / "a.pgn").write_bytes((first + "\n" + second).replace("\n", "\r\n").encode())
+    (tmp_path / "b.pgn").write_text(first.replace("g1", "g2"))
+    got = {r.game_id: r for r in dumps.read_pgn(spark, str(tmp_path)).collect()}
+    assert len(got) == 3
+    for name in ("g1", "g2"):
+        assert (got[name].moves, got[name].clocks) == ("e4 e5 Nf3", [6050, None, 5800])
+    other = next(r for n, r in got.items() if n.startswith("pgn-"))
+    assert (other.moves, other.clocks, other.white_id) == ("d4 d5", [], "ann")

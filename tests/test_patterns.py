@@ -140,3 +140,12 @@ def test_claims(spark):
     claims = spark.createDataFrame([("win", "a", 50.4), ("win", "b", 41.0), ("win", "c", 1.0)], "metric string, key string, value double")
     got = players.claim_accuracy(claims, facts_).first()
     assert (got.claims, got.grounded, got.accurate, got.grounded_share) == (3, 2, 1, 0.666667)
+
+
+def test_opening_lookup_has_no_longest_line(spark):
+    line = [f"m{i}" for i in range(44)]
+    games = spark.createDataFrame([("g", " ".join(line))], "game_id string, moves string")
+    book = spark.createDataFrame(
+        [(" ".join(line[:n]), n, f"A{n}", "x") for n in (10, 40)], "prefix string, ply int, eco string, name string"
+    )
+    assert openings.opening_lookup(games, book).first().opening_ply == 40

@@ -41,7 +41,7 @@ def test_long_game_spans_arrow_batches(spark, tmp_path, rows):
         "if(id % 50 = 0, 'other', 'long') as game_id", "id as event_id", "timestamp_seconds(1700000000 + id * 7919 % 25013) as ts",
         "cast(id % 90 + 1 as int) as ply", "cast(id * 31 % 700 as int) as wc", "cast(id * 17 % 600 as int) as bc")
     states.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = live.live_features(spark.readStream.schema(states.schema).parquet(str(tmp_path / "in")), "30 days")
+    stream = live.live_features(spark.readStream.schema(states.schema).parquet(str(tmp_path / "in")))
     append_files(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
     assert rows(got, *live.FEATURES) == rows(live.time_spent(states), *live.FEATURES)
@@ -62,7 +62,7 @@ def test_ply_of_cumulative_moves(spark):
 
 
 def test_new_games_equal_distinct(spark, split_events, tmp_path):
-    stream = live.new_games(stream_of(spark, split_events), "60 days").select("game_id")
+    stream = live.new_games(stream_of(spark, split_events)).select("game_id")
     append_files(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = [r.game_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert len(got) == len(set(got)) == fx.table(spark, SF_DIR, "events").select("user_id").distinct().count()
@@ -99,11 +99,30 @@ def test_tools(spark):
 
 def test_sql_surface(spark):
     fx.move_events(spark, SF_DIR).createOrReplaceTempView("move_events")
-    assert tools.run_sql(spark).count() > 0
-    assert tools.run_sql(spark, "select game_id as limit_name from move_events;").count() == 500
+    every = fx.move_events(spark, SF_DIR).count()
+    assert tools.run_sql(spark, "select game_id as limit_name from move_events;").count() == every > 500
+    assert tools.run_sql(spark, "select game_id from move_events -- all", cap=500).count() == 500
     capped = tools.run_sql(spark, "WITH x AS (SELECT * FROM move_events LIMIT 3) SELECT * FROM x WHERE white_id <> :who",
                            args={"who": "x' OR '1'='1"})
     assert capped.count() == 3
-    for bad in ("DROP TABLE move_events", "  ", "insert into x select 1"):
+    spark.range(3).createOrReplaceTempView("written")
+    hidden = "WITH c AS (SELECT 1 AS id) INSERT INTO written SELECT id FROM c"
+    for bad in ("DROP TABLE move_events", "  ", "insert into x select 1", hidden, "select 1) ; drop view written --"):
         with pytest.raises(ValueError):
             tools.run_sql(spark, bad)
+
+
+def test_nothing_is_forgotten_between_far_events(spark, tmp_path, rows):
+    """A game with days between its two states, other games' events in between, one file a trigger."""
+    schema = "game_id string, event_id bigint, ts timestamp, ply int, wc int, bc int"
+    source = str(tmp_path / "in")
+    for day, game in enumerate(("slow", "b", "c", "d", "slow")):
+        spark.createDataFrame([(game, day, day, 1 + day % 2, 600 - day, 500 - day)], schema.replace("timestamp", "int")).selectExpr(
+            "game_id", "event_id", "timestamp_seconds(1700000000 + ts * 90000L) AS ts", "ply", "wc", "bc"
+        ).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    append_files(live.live_features(stream), str(tmp_path / "f"), str(tmp_path / "fc")).awaitTermination()
+    got = spark.read.schema(live.live_features(stream).schema).parquet(str(tmp_path / "f"))
+    assert rows(got, *live.FEATURES) == rows(live.time_spent(spark.read.parquet(source)), *live.FEATURES)
+    append_files(live.new_games(stream).select("game_id"), str(tmp_path / "n"), str(tmp_path / "nc")).awaitTermination()
+    assert sorted(r.game_id for r in spark.read.parquet(str(tmp_path / "n")).collect()) == ["b", "c", "d", "slow"]
