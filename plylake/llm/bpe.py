@@ -100,7 +100,7 @@ class Merges:
 class Transducer:
     """Encodes one piece at a time."""
 
-    def __init__(self, tokens: list[bytes], max_steps: int = 500_000) -> None:
+    def __init__(self, tokens: list[bytes], max_steps: int = 900_000) -> None:
         self.merges = Merges(tokens)
         self.max_steps = max_steps
         self._reset()
@@ -157,7 +157,7 @@ class Transducer:
 class Generations(dict):
     """Memo of ``make`` in two generations of at most ``limit`` entries each; keys over ``longest`` are not kept."""
 
-    def __init__(self, make: Callable[[str], bytes], limit: int = 250_000, longest: int = 64) -> None:
+    def __init__(self, make: Callable[[str], bytes], limit: int = 500_000, longest: int = 64) -> None:
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
         self.older: dict[str, bytes] = {}

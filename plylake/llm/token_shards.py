@@ -134,7 +134,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(word_end) for i in range(size)])
-        self.pieces = Generations(lambda piece: self._ids(piece).tobytes())
+        self.pieces = Generations(lambda piece: self._ids(piece).tobytes(), 250_000)
         self.parts = Generations(lambda part: b"".join(map(self.pieces.__getitem__, self._cut(part))), 400_000)
 
     def _ids(self, text: str) -> np.ndarray:
