@@ -64,34 +64,28 @@ def running_totals(df: DataFrame, order: Sequence[Column], value: Column, name:
     )
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every id of ``links`` (a above b) has one link upwards at most, and none if others link to it."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    seen = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 OR (up = 1 AND down = 1)").count() == 0
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, root) for every id in ``edges`` (a, b): root is the smallest id that it can reach.
 
-    Alternates large-star and small-star steps until the edges stop changing; each step joins every edge with its
-    end's smallest neighbour, so a hub is a skewed join side and never a collected group.
+    Links point from the larger id to the smaller.  A round first lifts each link's end to the least id above it, then
+    hangs all that an id links to on the least of them; neither adds a row.  It ends when only stars are left.  A hub
+    is a skewed join side and never a collected group.
     """
-    now = stored(edges.select("a", "b").where("a <> b").distinct(), name)
-    before = None
-    while True:
-        for larger in (True, False):
-            both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            if not larger:
-                both = both.where("b < a")
-            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            joined = both.join(least, "a")
-            if larger:
-                now = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            else:
-                now = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-                    least.select("a", F.col("m").alias("b"))
-                )
-            now = now.where("a <> b").distinct()
-        now = stored(now, name)
-        mark = tuple(
-            now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        )
-        if mark == before:
-            break
-        before = mark
-    stars = now.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root"))
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    while not _all_stars(now):
+        above = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        lifted = now.join(above, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        least = lifted.groupBy("a").agg(F.min("b").alias("m"))
+        hung = lifted.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        now = stored(hung.distinct(), name)
+    stars = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("id"), "root").distinct())

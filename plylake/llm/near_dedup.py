@@ -9,8 +9,7 @@ probability 5e-8.  What follows confirms without ever listing a bucket's or a gr
    compared with all other members of the bucket, in blocks of at most about a thousand rows.  A pair passes at an
    estimate of 0.62 (a pair of 0.8 fails that with probability 1e-6) and sizes in ratio.  Only what connects is emitted.
 3. The connected items, a coarse cluster, get their full sets from the texts.  A cluster is cut into chunks, to each of
-   which three of its items are added; a chunk's sets are intersected exactly through postings, skipping pairs that are
-   already connected.  Items outside the cluster's largest component are then compared with all its chunks.
+   which three of its items are added; a chunk's sets are intersected exactly through postings.  Items outside the cluster's largest component are then compared with all its chunks.
 4. Components over the confirmed links.
 
 Defined results: a null text is the empty text; a text without words has an empty set, links with nothing and is its own
@@ -241,14 +240,18 @@ def coarse_clusters(items: DataFrame, least: int, ratio: float, name: str) -> Da
 
 
 def links_in_block(ids: list[int], sets: list[np.ndarray], labels: list, rest: list[bool], threshold: float) -> list[tuple[int, int]]:
-    """Links that connect rows of a block: exact intersections through postings, no pair that is connected already."""
+    """Links from each row of a block to the smallest id that it is connected with; one row stands for each label.
+
+    Intersections are exact and go through postings.
+    """
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     values, dense, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(dense, kind="stable")
     posted, begins = owner[order], np.concatenate(([0], np.cumsum(counts)))
     ends = np.cumsum(sizes)
-    forest, found = Forest(labels), []
+    forest = Forest(labels)
+    given = {forest.root(i) for i in range(len(ids))}
     for i in (i for i, r in enumerate(rest) if r):
         mine = dense[ends[i] - sizes[i]:ends[i]]
         mine = mine[counts[mine] > 1]
@@ -260,9 +263,12 @@ def links_in_block(ids: list[int], sets: list[np.ndarray], labels: list, rest: l
         near = common >= threshold * (sizes + sizes[i] - common) - 1e-9
         near[i] = False
         for j in np.flatnonzero(near).tolist():
-            if forest.join(i, j):
-                found.append((ids[i], ids[j]))
-    return found
+            forest.join(i, j)
+    least: dict[int, int] = {}
+    for i in given:
+        root = forest.root(i)
+        least[root] = min(ids[i], least.get(root, ids[i]))
+    return [(ids[i], least[forest.root(i)]) for i in given if ids[i] != least[forest.root(i)]]
 
 
 def _confirm(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -300,7 +306,8 @@ def confirmed_components(members: DataFrame, threshold: float, name: str) -> Dat
     main = large.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     rest = large.join(main, "cluster").withColumn("rest", F.col("label") != F.col("main"))
     far = confirm(_blocks(rest.select("cluster", "id", "label", "rest", "set"), "cluster"))
-    return stored(components(near.unionByName(far), f"{name}-all"), f"{name}-components")
+    known = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    return stored(components(known.unionByName(far), f"{name}-all"), f"{name}-components")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
