@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from plylake.llm.common import id_and_text
+from plylake.llm.common import id_and_text, kept_in_worker
 
 #: A space beside other white space; such texts are split by the pattern alone.
 _RUNS = re.compile(r"\s | \s").search
@@ -85,7 +85,7 @@ class Merges:
         key = (first, second)
         found = self._stable.get(key)
         if found is None:
-            if len(self._stable) > 500_000:
+            if len(self._stable) > 300_000:
                 self._stable.clear()
             found = True
             for a, a_ends in self.edge(first, True):
@@ -100,7 +100,7 @@ class Merges:
 class Transducer:
     """Encodes one piece at a time."""
 
-    def __init__(self, tokens: list[bytes], max_steps: int = 900_000) -> None:
+    def __init__(self, tokens: list[bytes], max_steps: int = 450_000) -> None:
         self.merges = Merges(tokens)
         self.max_steps = max_steps
         self._reset()
@@ -157,7 +157,7 @@ class Transducer:
 class Generations(dict):
     """Memo of ``make`` in two generations of at most ``limit`` entries each; keys over ``longest`` are not kept."""
 
-    def __init__(self, make: Callable[[str], bytes], limit: int = 500_000, longest: int = 64) -> None:
+    def __init__(self, make: Callable[[str], bytes], limit: int = 150_000, longest: int = 64) -> None:
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
         self.older: dict[str, bytes] = {}
@@ -246,16 +246,10 @@ class Codec:
         return len(packed) // 4, hashlib.sha256(packed).hexdigest(), back.hexdigest()
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
 def codec(tokens: list[bytes], pattern: str) -> Codec:
-    """The worker's codec, kept between tasks; one at a time."""
-    key = (hash(tuple(tokens[-256:])) ^ len(tokens), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(tokens, pattern)
-    return _codecs[key]
+    """The worker's codec, kept between tasks."""
+    key = ("bpe", hash(tuple(tokens[-256:])) ^ len(tokens), pattern)
+    return kept_in_worker(key, lambda: Codec(tokens, pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,8 @@ lineage and survives lost executors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gc
+from collections.abc import Callable, Hashable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[Hashable, object] = {}
+
+
+def kept_in_worker(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this Python worker between tasks; what another key left there goes first."""
+    if key not in _kept:
+        drop_kept()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def drop_kept() -> None:
+    """Frees what earlier tasks kept: workers are reused, and a stage need not run beside the tables of the one before."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     ship_package(spark)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plylake.llm.common import drop_kept
+
 BUCKETS = 1 << 15
 WIDTH = 16
 OUT = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -127,6 +129,7 @@ def train(docs: DataFrame, per_lang: int = 250, id_col: str = "doc_id", text_col
     picked = rows.join(F.broadcast(last), "lang").where("dice <= last").select("lang", "dice", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
             out: list[tuple] = []
             for lang, dice, text in zip(*(batch.column(n).to_pylist() for n in ("lang", "dice", "text"))):
@@ -153,6 +156,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         own = shared.value
         for batch in batches:
             langs, scores, gone = [], [], []
@@ -184,6 +188,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         own = shared.value
         for batch in batches:
             found = (judge(own, t.as_py()) for t in batch.column(text_col))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plylake.llm.common import components, id_and_text, stored
+from plylake.llm.common import components, drop_kept, id_and_text, stored
 
 U = np.uint64
 NO_ID = (1 << 63) - 1
@@ -107,6 +107,7 @@ class MinMax:
 def item_sketches(docs: DataFrame, k: int) -> DataFrame:
     """(id, n, ha, hb, bands, sig) of every row, stored; ha and hb are a 128-bit hash of the set."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         maker = MinMax()
         for batch in batches:
             out: list[tuple] = []
@@ -272,6 +273,7 @@ def links_in_block(ids: list[int], sets: list[np.ndarray], labels: list, rest: l
 
 
 def _confirm(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    drop_kept()
     found: list[tuple[int, int]] = []
     for group in _groups(batches, "block"):
         ids, labels, rest = (group.column(c).to_pylist() for c in ("id", "label", "rest"))

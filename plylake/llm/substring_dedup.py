@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plylake.llm.common import id_and_text, stored
+from plylake.llm.common import drop_kept, id_and_text, stored
 from plylake.llm.near_dedup import LOWER, MinMax, U, coarse_clusters, confirmed_components, mix, odd_numbers, shingle_hashes, word_hashes
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 16, 4
@@ -62,6 +62,7 @@ def windows_of(hashes: np.ndarray, window: int, stride: int) -> tuple[np.ndarray
 
 def _units(batches: Iterable[pa.RecordBatch], window: int, stride: int, paragraph: int) -> Iterator[pa.RecordBatch]:
     """(kind, doc_id, line, start, words, key, bands, sig): windows (kind 0) and paragraphs (kind 1)."""
+    drop_kept()
     maker = MinMax(PERMUTATIONS, ROWS)
     for batch in batches:
         ids, firsts, keys = [], [], []

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plylake.llm.bpe import Generations
-from plylake.llm.common import id_and_text
+from plylake.llm.common import id_and_text, kept_in_worker
 from plylake.session import scratch_path
 
 #: Fixed values of Simple-8b: ids in a word by selector; each takes 60 // ids bits.
@@ -174,15 +174,8 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[int, WordEncoder] = {}
-
-
 def _encoder(definition: str) -> WordEncoder:
-    key = hash(definition)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(definition)
-    return _encoders[key]
+    return kept_in_worker(("words", hash(definition)), lambda: WordEncoder(definition))
 
 
 def _segment(shard: int, number: int, first: int, docs: list, lengths: list[int], ids: list[bytes]) -> pa.RecordBatch:
