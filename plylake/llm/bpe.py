@@ -50,7 +50,7 @@ class Merges:
     def __init__(self, tokens: list[bytes]) -> None:
         self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens) if t}
-        self.inner = {t[:n] for t in self.rank for n in range(1, len(t))}  # what a longer token begins with
+        self.inner = {b: b for b in {t[:n] for t in self.rank for n in range(1, len(t))}}  # what a longer token begins with
         self._left: dict[int, list[tuple[int, int]]] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._stable: dict[tuple[int, int], bool] = {}
@@ -85,7 +85,7 @@ class Merges:
         key = (first, second)
         found = self._stable.get(key)
         if found is None:
-            if len(self._stable) > 300_000:
+            if len(self._stable) > 150_000:
                 self._stable.clear()
             found = True
             for a, a_ends in self.edge(first, True):
@@ -121,8 +121,9 @@ class Transducer:
                 before = held[-1] if held else last
                 if before is None or merges.stable(before, token):
                     after.append((last, (*held, token), b""))
-            if grown in merges.inner:
-                after.append((last, held, grown))
+            kept = merges.inner.get(grown)  # one copy for all states
+            if kept is not None:
+                after.append((last, held, kept))
         agreed = after[0][1]
         n = len(agreed)
         for _, held, _ in after:
@@ -219,11 +220,11 @@ class Codec:
     characters) texts are first cut there; a cut-off part is encoded once and remembered.
     """
 
-    def __init__(self, tokens: list[bytes], pattern: str, by_space: bool = True) -> None:
+    def __init__(self, tokens: list[bytes], pattern: str, by_space: bool = True, tables: int = 150_000) -> None:
         self.tokens, self.split, self.by_space = tokens, regex.compile(pattern).findall, by_space
-        self.transducer = Transducer(tokens)
-        self.pieces = Generations(lambda p: np.array(self.transducer.encode(p.encode()), dtype="<u4").tobytes())
-        self.parts = Generations(lambda part: self._split(" " + part))
+        self.transducer = Transducer(tokens, 3 * tables)
+        self.pieces = Generations(lambda p: np.array(self.transducer.encode(p.encode()), dtype="<u4").tobytes(), tables)
+        self.parts = Generations(lambda part: self._split(" " + part), tables)
 
     def _split(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
@@ -246,21 +247,24 @@ class Codec:
         return len(packed) // 4, hashlib.sha256(packed).hexdigest(), back.hexdigest()
 
 
-def codec(tokens: list[bytes], pattern: str) -> Codec:
+def codec(tokens: list[bytes], pattern: str, tables: int = 150_000) -> Codec:
     """The worker's codec, kept between tasks."""
-    key = ("bpe", hash(tuple(tokens[-256:])) ^ len(tokens), pattern)
-    return kept_in_worker(key, lambda: Codec(tokens, pattern))
+    key = ("bpe", hash(tuple(tokens[-256:])) ^ len(tokens), pattern, tables)
+    return kept_in_worker(key, lambda: Codec(tokens, pattern, tables=tables))
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", tables: int = 150_000,
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    The rank file is read once on the driver and sent to the workers; its size does not depend on the data.
+    The rank file is read once on the driver and sent to the workers; its size does not depend on the data.  ``tables``
+    bounds what a worker remembers (its memory and speed, never the result).
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shared.value, pattern)
+        own = codec(shared.value, pattern, tables)
         for batch in batches:
             found = [own.digests(t.as_py()) for t in batch.column("text")]
             columns = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.string(), pa.string())))]
