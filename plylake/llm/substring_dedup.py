@@ -3,7 +3,7 @@
 Two kinds of units are looked at, both over whole texts:
 
 * Paragraphs: lines of ``paragraph`` words or more.  Min-max signatures of their shingles are banded for high recall (a
-  pair of similarity 0.8 is missed with probability 3e-4); colliding paragraphs are confirmed by exact Jaccard similarity
+  pair of similarity 0.8 is missed by all 16 bands with probability 2.2e-4); colliding paragraphs are confirmed by exact Jaccard similarity
   (see ``near_dedup``).
 * Windows of ``window`` words that start at anchors chosen by content: the least shingle hash of each ``stride`` places in a
   row.  A passage of ``window + stride`` words or more always holds an anchored window, wherever it stands in a paragraph.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from plylake.llm.common import drop_kept, id_and_text, stored
 from plylake.llm.near_dedup import LOWER, MinMax, U, coarse_clusters, confirmed_components, mix, odd_numbers, shingle_hashes, word_hashes
 
-SHINGLE, PERMUTATIONS, ROWS = 5, 16, 4
+#: 32 permutations have 64 min-max values, which are 16 bands of four.
+SHINGLE, PERMUTATIONS, ROWS = 5, 32, 4
 
 
 def line_words(text: str) -> list[list[bytes]]:

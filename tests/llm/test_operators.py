@@ -227,6 +227,21 @@ def test_repeats_equals_windows_by_brute_force(docs):
     assert got == want
 
 
+def test_repeats_recall_of_paragraphs_at_the_threshold(spark):
+    """Paragraph pairs of similarity 0.80 to 0.82 by plain sets, without the help of windows."""
+    dice, rows = random.Random(8), []
+    for i in range(1500):
+        one = words(dice, 50)
+        other = one[:25] + ["changed"] + one[26:]
+        a, b = ({tuple(t[k:k + 5]) for k in range(46)} for t in (one, other))
+        assert 0.80 <= len(a & b) / len(a | b) <= 0.82
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {(r["keep_doc_id"], r["doc_id"]) for r in substring_dedup.repeats(table, window=10**6).collect()}
+    assert found <= {(2 * i, 2 * i + 1) for i in range(1500)}
+    assert 1500 - len(found) <= 3
+
+
 # --- 6, secrets
 
 
