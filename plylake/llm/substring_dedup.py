@@ -7,7 +7,8 @@ Two kinds of units are looked at, both over whole texts:
   (see ``near_dedup``).
 * Windows of ``window`` words that start at anchors chosen by content: the least shingle hash of each ``stride`` places in a
   row.  A passage of ``window + stride`` words or more always holds an anchored window, wherever it stands in a paragraph.
-  Windows repeat when their words are the same.
+  Windows repeat when their words are the same.  ``whole_repeats`` extends each repeated stretch word by word to the ends
+  of its match, so such a passage is reported whole.
 
 Units that repeat form components; of each component the occurrence in the document with the smallest id, then the
 earliest, stays.  The others' spans are merged per document: that is what to remove.
@@ -130,11 +131,23 @@ def _paragraph_components(paragraphs: DataFrame, texts: DataFrame, threshold: fl
 
 
 def repeats(docs: DataFrame, window: int = 30, stride: int = 20, paragraph: int = 50, threshold: float = 0.8) -> DataFrame:
-    """The spans to remove: doc_id, start_word, end_word (exclusive), n_words, keep_doc_id.
+    """The spans of repeated paragraphs and anchored windows, as they are: a passage's ends may stay (see ``whole_repeats``).
 
-    ``keep_doc_id`` is the document in which the passage (the first of several that were merged) stays; it may be the
-    same document.
+    Columns: doc_id, start_word, end_word (exclusive), n_words, keep_doc_id.  ``keep_doc_id`` is the document in which the
+    passage (the first of several that were merged) stays; it may be the same document.
     """
+    return merged(_spans(docs, window, stride, paragraph, threshold)[2])
+
+
+def whole_repeats(docs: DataFrame, window: int = 30, stride: int = 20, paragraph: int = 50, threshold: float = 0.8) -> DataFrame:
+    """The spans to remove, in the columns of ``repeats``, with every passage extended to its whole match."""
+    texts, units, spans = _spans(docs, window, stride, paragraph, threshold)
+    spans = stored(spans, "repeat-spans")
+    return merged(spans.drop("kind", "key").unionByName(_ends(texts, units.where("kind = 0"), spans.where("kind = 0"), window, stride)))
+
+
+def _spans(docs: DataFrame, window: int, stride: int, paragraph: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts, the units, and the spans (kind, key, doc_id, a, b, keep) of units that repeat an earlier one."""
     texts = id_and_text(docs).where("doc_id IS NOT NULL AND text <> ''")
     schema = "kind int, doc_id long, line int, start int, words int, key long, bands array<long>, sig binary"
     units = stored(texts.mapInArrow(lambda batches: _units(batches, window, stride, paragraph), schema), "repeat-units")
@@ -146,9 +159,65 @@ def repeats(docs: DataFrame, window: int = 30, stride: int = 20, paragraph: int
     )
     keepers = named.groupBy("kind", "root").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.count("*").alias("n")).where("n > 1")
     spans = named.join(keepers, ["kind", "root"]).where("doc_id <> keep.doc_id OR start <> keep.start").select(
-        "doc_id", F.col("start").alias("a"), (F.col("start") + F.col("words")).alias("b"), F.col("keep.doc_id").alias("keep")
+        "kind", F.col("root").alias("key"), "doc_id", F.col("start").alias("a"), (F.col("start") + F.col("words")).alias("b"), F.col("keep.doc_id").alias("keep")
+    )
+    return texts, units, spans
+
+
+def _stretches(hashes: np.ndarray, at: np.ndarray, key: np.ndarray, window: int, most: int, side: int) -> tuple[np.ndarray, ...]:
+    """(place in ``at``, words, key) of every window with the 1, 2, ... ``most`` words after it (side 1) or before it (side 0)."""
+    step = np.arange(most)
+    place = at[:, None] + (window + step if side else -1 - step)
+    there = (place >= 0) & (place < len(hashes))
+    words = np.where(there, hashes[np.clip(place, 0, len(hashes) - 1)], U(0))
+    grown = mix(key[:, None] + np.cumsum(words * odd_numbers(most, 41 + side), axis=1, dtype=U) + odd_numbers(most, 51 + side))
+    i, j = np.nonzero(there)
+    return i, j + 1, grown[i, j]
+
+
+def _ends(texts: DataFrame, windows: DataFrame, spans: DataFrame, window: int, stride: int) -> DataFrame:
+    """Spans (doc_id, a, b, keep) that reach from the outermost windows of each repeated stretch to the ends of its match.
+
+    Beyond its outermost anchored windows a match has fewer than ``stride`` words at either end.  Every occurrence of such
+    a window gives a key for the window with 1, 2, ... of the words next to it; the longest of them that an earlier
+    occurrence has too is the match's end.  All earlier occurrences count, not only the one that stays.
+    """
+    order = Window.partitionBy("doc_id").orderBy("a")
+    apart = spans.select("doc_id", "a", "key").distinct()
+    far = F.lag("a").over(order), F.lead("a").over(order)
+    outer = apart.select(
+        "key", F.coalesce(F.col("a") - far[0] > window, F.lit(True)).alias("left"), F.coalesce(far[1] - F.col("a") > window, F.lit(True)).alias("right")
+    ).groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left OR right")
+    wanted = windows.select("key", "doc_id", "start").distinct().join(outer, "key").groupBy("doc_id").agg(
+        F.collect_list(F.struct("start", "key", "left", "right")).alias("at")
+    )
+
+    def grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["key", "doc_id", "start", "side", "more"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        for batch in batches:
+            for name, text, rows in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("at")):
+                hashes = word_hashes(text.as_py().encode().translate(LOWER).split())
+                own = dict(zip(*(x.tolist() for x in windows_of(hashes, window, stride))))
+                rows = [r for r in rows.as_py() if own.get(r["start"]) == r["key"] % (1 << 64)]  # rows that share an id have several texts
+                for side, part in enumerate(([r for r in rows if r["left"]], [r for r in rows if r["right"]])):
+                    at, key = np.array([r["start"] for r in part], np.int64), np.array([r["key"] for r in part], np.int64).view(U)
+                    if len(at):
+                        i, more, grown = _stretches(hashes, at, key, window, stride - 1, side)
+                        columns = (grown.view(np.int64), np.full(len(i), name), at[i], np.full(len(i), side), more)
+                        yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds)], names=names)
+
+    if stride < 2:
+        return spans.limit(0).select("doc_id", "a", "b", "keep")
+    rows = texts.join(wanted, "doc_id").select("doc_id", "text", "at").mapInArrow(grow, "key long, doc_id long, start int, side int, more int")
+    rows = stored(rows, "repeat-ends")
+    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.count("*").alias("n")).where("n > 1")
+    longer = rows.join(first, "key").where("doc_id <> keep.doc_id OR start <> keep.start")
+    best = longer.groupBy("doc_id", "start", "side").agg(F.max(F.struct("more", "keep")).alias("best"))
+    more = F.col("best.more")
+    return best.select(
+        "doc_id", F.when(F.col("side") == 0, F.col("start") - more).otherwise(F.col("start")).alias("a"),
+        F.when(F.col("side") == 1, F.col("start") + window + more).otherwise(F.col("start") + window).alias("b"), F.col("best.keep.doc_id").alias("keep"),
     )
-    return merged(spans)
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -242,6 +242,36 @@ def test_repeats_recall_of_paragraphs_at_the_threshold(spark):
     assert 1500 - len(found) <= 3
 
 
+def test_whole_repeats_reach_the_ends_of_every_match(spark, docs):
+    """Against windows at all places, in a run without paragraphs; the passages' ends are in no anchored window."""
+    dice = random.Random(12)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i in range(10**6, 10**6 + 60, 3):  # the last one shares more with the second than with the first
+        passage, side = words(dice, 51), words(dice, 19)
+        texts[i] = " ".join(words(dice, 40) + passage + words(dice, 40))
+        texts[i + 1] = " ".join(words(dice, 30) + side + passage + side + words(dice, 30))
+        texts[i + 2] = " ".join(words(dice, 20) + side + passage + side)
+    table = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
+    out = substring_dedup.whole_repeats(table, paragraph=10**9).collect()
+    got = {(r["doc_id"], w) for r in out for w in range(r["start_word"], r["end_word"])}
+
+    def repeated(n):
+        seen, found = set(), set()
+        for name, text in sorted(texts.items()):
+            parts = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+            for a in range(len(parts) - n + 1):
+                key = tuple(parts[a:a + n])
+                if len(set(key)) > 3:  # runs of one word are left out by definition
+                    found |= {(name, w) for w in range(a, a + n)} if key in seen else set()
+                    seen.add(key)
+        return found
+
+    assert repeated(50) <= got <= repeated(30)
+    for i in range(10**6, 10**6 + 60, 3):
+        assert {w for name, w in got if name == i + 1} == set(range(49, 100))
+        assert {w for name, w in got if name == i + 2} == set(range(20, 109))
+
+
 # --- 6, secrets
 
 
