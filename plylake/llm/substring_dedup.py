@@ -2,9 +2,10 @@
 
 Two kinds of units are looked at, both over whole texts:
 
-* Paragraphs: lines of ``paragraph`` words or more.  Min-max signatures of their shingles are banded for high recall (a
+* Paragraphs: lines of ``paragraph`` words or more and, in ``whole_repeats``, runs of shorter lines that no empty line
+  parts, joined up to ``paragraph`` words.  Min-max signatures of their shingles are banded for high recall (a
   pair of similarity 0.8 is missed by all 16 bands with probability 2.2e-4); colliding paragraphs are confirmed by exact Jaccard similarity
-  (see ``near_dedup``).
+  (see ``near_dedup``).  Lines and runs under ``paragraph`` words repeat, in ``whole_repeats``, when their words are the same.
 * Windows of ``window`` words that start at anchors chosen by content: the least shingle hash of each ``stride`` places in a
   row.  A passage of ``window + stride`` words or more always holds an anchored window, wherever it stands in a paragraph.
   Windows repeat when their words are the same.  ``whole_repeats`` extends each repeated stretch word by word to the ends
@@ -39,6 +40,41 @@ def line_words(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.encode().translate(LOWER).split(b"\n")]
 
 
+def joined_lines(lines: list[list[bytes]], paragraph: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(start, words) of the paragraphs, and of the lines and runs of lines that are shorter than one.
+
+    A run of short lines ends at a longer or an empty line.  It is cut after a line with which ``paragraph`` words are
+    reached; what is left behind the last cut belongs to the paragraph before it.  No two paragraphs share a word.
+    """
+    whole: list[tuple[int, int]] = []
+    short: list[tuple[int, int]] = []
+    start = begin = cuts = held = 0  # of the run: its first word, paragraphs and lines so far
+    place = 0  # where the open paragraph starts
+
+    def close() -> None:
+        if cuts and start > place:
+            whole[-1] = (whole[-1][0], start - whole[-1][0])
+        elif not cuts and held > 1:
+            short.append((begin, start - begin))
+
+    for line in lines:
+        n = len(line)
+        if not 0 < n < paragraph:
+            close()
+            if n:
+                whole.append((start, n))
+            start += n
+            begin, place, cuts, held = start, start, 0, 0
+            continue
+        short.append((start, n))
+        start, held = start + n, held + 1
+        if start - place >= paragraph:
+            whole.append((place, start - place))
+            place, cuts = start, cuts + 1
+    close()
+    return whole, short
+
+
 def anchors(hashes: np.ndarray, window: int, stride: int) -> np.ndarray:
     """Word places at which a window starts: the least (then first) shingle hash of each ``stride`` places."""
     n = len(hashes) - max(window, SHINGLE) + 1
@@ -62,13 +98,22 @@ def windows_of(hashes: np.ndarray, window: int, stride: int) -> tuple[np.ndarray
     return at[varied], mix((words[varied] * odd_numbers(window, 21)).sum(axis=1, dtype=U))
 
 
-def _units(batches: Iterable[pa.RecordBatch], window: int, stride: int, paragraph: int) -> Iterator[pa.RecordBatch]:
-    """(kind, doc_id, line, start, words, key, bands, sig): windows (kind 0) and paragraphs (kind 1)."""
+def _run_keys(hashes: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
+    """Keys of runs (start, words) of words: equal for equal words in equal order."""
+    starts, sizes = np.array(runs, np.int64).T
+    ends = np.cumsum(sizes)
+    places = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    order = odd_numbers(int(sizes.max()), 61)
+    return mix(np.add.reduceat(mix(hashes[np.repeat(starts, sizes) + places]) * order[places], ends - sizes) + sizes.astype(U))
+
+
+def _units(batches: Iterable[pa.RecordBatch], window: int, stride: int, paragraph: int, joined_too: bool) -> Iterator[pa.RecordBatch]:
+    """(kind, doc_id, start, words, key, bands, sig): windows (kind 0), paragraphs (kind 1) and, on demand, shorter ones (kind 2)."""
     drop_kept()
     maker = MinMax(PERMUTATIONS, ROWS)
     for batch in batches:
-        ids, firsts, keys = [], [], []
-        rows: list[tuple[int, int, int, int]] = []
+        ids, firsts, keys, kind, sizes_of = [], [], [], [], []
+        rows: list[tuple[int, int, int]] = []
         shingles: list[np.ndarray] = []
         for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             lines = line_words(text.as_py())
@@ -77,19 +122,31 @@ def _units(batches: Iterable[pa.RecordBatch], window: int, stride: int, paragrap
             ids.append(np.full(len(at), name, np.int64))
             firsts.append(at)
             keys.append(key)
-            start = 0
-            for number, line in enumerate(lines):
-                if len(line) >= paragraph and len(set(line)) > 3:
-                    rows.append((name, number, start, len(line)))
-                    shingles.append(shingle_hashes(hashes[start:start + len(line)], SHINGLE))
-                start += len(line)
-        names = ["kind", "doc_id", "line", "start", "words", "key", "bands", "sig"]
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            kind.append(np.zeros(len(at), np.int32))
+            sizes_of.append(np.full(len(at), window))
+            if joined_too:
+                whole, short = joined_lines(lines, paragraph)
+                short = [(a, k) for a, k in short if len(set(hashes[a:a + k].tolist())) > 3]
+            else:
+                ends = np.cumsum([len(line) for line in lines]).tolist()
+                whole, short = [(b - len(line), len(line)) for line, b in zip(lines, ends) if len(line) >= paragraph], []
+            for start, k in whole:
+                if len(set(hashes[start:start + k].tolist())) > 3:
+                    rows.append((name, start, k))
+                    shingles.append(shingle_hashes(hashes[start:start + k], SHINGLE))
+            if short:
+                ids.append(np.full(len(short), name, np.int64))
+                firsts.append(np.array([a for a, _ in short]))
+                keys.append(_run_keys(hashes, short))
+                kind.append(np.full(len(short), 2, np.int32))
+                sizes_of.append(np.array([k for _, k in short]))
+        names = ["kind", "doc_id", "start", "words", "key", "bands", "sig"]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
         n = sum(map(len, ids))
         if n:
-            plain = (np.zeros(n, np.int32), np.concatenate(ids), np.zeros(n, np.int32), np.concatenate(firsts), np.full(n, window), np.concatenate(keys).view(np.int64))
+            plain = (np.concatenate(kind), np.concatenate(ids), np.concatenate(firsts), np.concatenate(sizes_of), np.concatenate(keys).view(np.int64))
             columns = [pa.array(c).cast(k) for c, k in zip(plain, kinds)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, kinds[6]), pa.nulls(n, kinds[7])], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names=names)
         if rows:
             sizes = np.array([len(s) for s in shingles])
             joined = np.concatenate(shingles)
@@ -99,8 +156,8 @@ def _units(batches: Iterable[pa.RecordBatch], window: int, stride: int, paragrap
             places = np.arange(len(joined)) - np.repeat(starts, sizes)
             key = mix(np.add.reduceat(mix(joined) * order[places], starts)).view(np.int64)
             columns = [
-                pa.array([1] * len(rows), kinds[0]), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds[1:5])), pa.array(key),
-                pa.array(maker.bands(sig).tolist(), kinds[6]), pa.array([s.tobytes() for s in maker.short(sig)], kinds[7]),
+                pa.array([1] * len(rows), kinds[0]), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds[1:4])), pa.array(key),
+                pa.array(maker.bands(sig).tolist(), kinds[5]), pa.array([s.tobytes() for s in maker.short(sig)], kinds[6]),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -108,25 +165,25 @@ def _units(batches: Iterable[pa.RecordBatch], window: int, stride: int, paragrap
 def _paragraph_components(paragraphs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(key, root): a component for every class of equal paragraphs that resembles another."""
     classes = paragraphs.groupBy(F.col("key").alias("id")).agg(
-        F.min(F.struct("doc_id", "line", F.col("words").cast("long").alias("n"), "bands", "sig")).alias("first")
+        F.min(F.struct("doc_id", "start", F.col("words").cast("long").alias("n"), "bands", "sig")).alias("first")
     ).select("id", "first.*")
     classes = stored(classes, "repeat-classes")
     clusters = coarse_clusters(classes.select("id", "n", "bands", "sig"), int(2 * PERMUTATIONS * 0.45), 0.0, "repeat")
-    wanted = classes.join(clusters, "id").groupBy("doc_id").agg(F.collect_list(F.struct("line", "id", "root")).alias("lines"))
+    wanted = classes.join(clusters, "id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "id", "root")).alias("parts"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, lines in zip(batch.column("text"), batch.column("lines").to_pylist()):
-                words = line_words(text.as_py())
-                for line in lines:
-                    if line["line"] < len(words):
-                        found = np.unique(shingle_hashes(word_hashes(words[line["line"]]), SHINGLE))
-                        out.append((line["root"], line["id"], found.tobytes()))
+            for text, parts in zip(batch.column("text"), batch.column("parts").to_pylist()):
+                hashes = word_hashes(text.as_py().encode().translate(LOWER).split())
+                for part in parts:
+                    if part["start"] < len(hashes):
+                        found = np.unique(shingle_hashes(hashes[part["start"]:part["start"] + part["n"]], SHINGLE))
+                        out.append((part["root"], part["id"], found.tobytes()))
             columns = list(zip(*out)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["cluster", "id", "set"])
 
-    rows = texts.join(wanted, "doc_id").select("text", "lines").mapInArrow(sets, "cluster long, id long, set binary")
+    rows = texts.join(wanted, "doc_id").select("text", "parts").mapInArrow(sets, "cluster long, id long, set binary")
     return confirmed_components(stored(rows, "repeat-sets"), threshold, "repeat").withColumnRenamed("id", "key")
 
 
@@ -136,25 +193,25 @@ def repeats(docs: DataFrame, window: int = 30, stride: int = 20, paragraph: int
     Columns: doc_id, start_word, end_word (exclusive), n_words, keep_doc_id.  ``keep_doc_id`` is the document in which the
     passage (the first of several that were merged) stays; it may be the same document.
     """
-    return merged(_spans(docs, window, stride, paragraph, threshold)[2])
+    return merged(_spans(docs, window, stride, paragraph, threshold, False)[2])
 
 
 def whole_repeats(docs: DataFrame, window: int = 30, stride: int = 20, paragraph: int = 50, threshold: float = 0.8) -> DataFrame:
-    """The spans to remove, in the columns of ``repeats``, with every passage extended to its whole match."""
-    texts, units, spans = _spans(docs, window, stride, paragraph, threshold)
+    """The spans to remove, in the columns of ``repeats``, with every passage extended to its whole match and short lines looked at too."""
+    texts, units, spans = _spans(docs, window, stride, paragraph, threshold, True)
     spans = stored(spans, "repeat-spans")
     return merged(spans.drop("kind", "key").unionByName(_ends(texts, units.where("kind = 0"), spans.where("kind = 0"), window, stride)))
 
 
-def _spans(docs: DataFrame, window: int, stride: int, paragraph: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _spans(docs: DataFrame, window: int, stride: int, paragraph: int, threshold: float, joined_too: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The texts, the units, and the spans (kind, key, doc_id, a, b, keep) of units that repeat an earlier one."""
     texts = id_and_text(docs).where("doc_id IS NOT NULL AND text <> ''")
-    schema = "kind int, doc_id long, line int, start int, words int, key long, bands array<long>, sig binary"
-    units = stored(texts.mapInArrow(lambda batches: _units(batches, window, stride, paragraph), schema), "repeat-units")
+    schema = "kind int, doc_id long, start int, words int, key long, bands array<long>, sig binary"
+    units = stored(texts.mapInArrow(lambda batches: _units(batches, window, stride, paragraph, joined_too), schema), "repeat-units")
     paragraphs = units.where("kind = 1")
     roots = _paragraph_components(paragraphs, texts, threshold)
     near = paragraphs.select("key", "doc_id", "start", "words").join(roots, "key", "left")
-    named = units.where("kind = 0").select(F.lit(0).alias("kind"), F.col("key").alias("root"), "doc_id", "start", "words").unionByName(
+    named = units.where("kind <> 1").select("kind", F.col("key").alias("root"), "doc_id", "start", "words").unionByName(
         near.select(F.lit(1).alias("kind"), F.coalesce("root", "key").alias("root"), "doc_id", "start", "words")
     )
     keepers = named.groupBy("kind", "root").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.count("*").alias("n")).where("n > 1")

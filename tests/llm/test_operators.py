@@ -266,12 +266,52 @@ def test_whole_repeats_reach_the_ends_of_every_match(spark, docs):
                     seen.add(key)
         return found
 
-    assert repeated(50) <= got <= repeated(30)
+    lines, seen = set(), set()  # lines and runs of lines count as short here, and repeat as a whole
+    for name, text in sorted(texts.items()):
+        parts = [WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in line)) for line in text.split("\n")]
+        starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+        for start, part in [*zip(starts, parts), (0, sum(parts, []))]:
+            if len(set(part)) > 3:
+                lines |= {(name, start + w) for w in range(len(part))} if tuple(part) in seen else set()
+                seen.add(tuple(part))
+    assert repeated(50) <= got <= repeated(30) | lines
     for i in range(10**6, 10**6 + 60, 3):
         assert {w for name, w in got if name == i + 1} == set(range(49, 100))
         assert {w for name, w in got if name == i + 2} == set(range(20, 109))
 
 
+def test_whole_repeats_in_short_lines(spark):
+    """A wrapped near copy without an equal 30-word window, and equal lines of under 50 words."""
+    dice = random.Random(21)
+
+    def wrapped(text, n):
+        return "\n".join(" ".join(text[i:i + n]) for i in range(0, len(text), n))
+
+    one, short = words(dice, 59), words(dice, 12)
+    other = one[:29] + ["changed"] + one[30:]
+    texts = {
+        1: " ".join(words(dice, 70)) + "\n\n" + wrapped(one, 12) + "\n\n" + " ".join(words(dice, 9)),
+        2: " ".join(words(dice, 33)) + "\n\n" + wrapped(other, 12),
+        3: " ".join(words(dice, 60)) + "\n" + " ".join(short) + "\n" + " ".join(words(dice, 61)),
+        4: " ".join(words(dice, 20)) + "\n" + " ".join(short).upper() + "\n" + " ".join(words(dice, 8)),
+        5: "same same same same same\n" * 2,
+    }
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {tuple(r) for r in substring_dedup.whole_repeats(table).collect()}
+    assert out == {(2, 33, 92, 59, 1), (4, 20, 32, 12, 3)}
+
+
+def test_every_word_of_a_long_run_is_in_one_paragraph():
+    dice = random.Random(3)
+    for _ in range(300):
+        lines = [[b"w"] * dice.choice((0, 3, 9, 20, 49, 50, 80)) for _ in range(dice.randint(0, 25))]
+        whole, short = substring_dedup.joined_lines(lines, 50)
+        held = [w for a, n in whole for w in range(a, a + n)]
+        assert len(held) == len(set(held)) and all(n >= 50 for _, n in whole)
+        assert set(held) | {w for a, n in short for w in range(a, a + n)} == set(range(sum(map(len, lines))))
+        assert all(n < 50 for _, n in short)
+
+
 # --- 6, secrets
 
 
