@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plylake.llm import (
-    bpe, exact_dedup, imatch, language_id, mixing, near_dedup, secret_scan, substring_dedup, token_shards, url_rules,
+    bpe, collocations, exact_dedup, imatch, language_id, mixing, near_dedup, secret_scan, substring_dedup, token_shards,
+    url_rules,
 )
 from plylake.llm.common import table
 
@@ -65,11 +66,15 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_exact_dedup, op3_mix, op4_url_rules, op5_substring_dedup, op6_secret_scan, op7_near_dedup,
-        op8_token_shards, op9_language_id, op10_imatch,
+        op8_token_shards, op9_language_id, op10_imatch, op11_collocations,
     )
 }
 
@@ -119,4 +124,32 @@ m AS (
   SELECT page_id, arg_max(h || r.p, length(h || r.p)) AS rule, arg_max(v, length(h || r.p)) AS verdict
   FROM p, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+grams AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, k, count(*) AS f
+  FROM spots, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM grams WHERE k > 1 AND f >= 100),
+parts AS (
+  SELECT lang, phrase, f, unnest(range(1, k)) AS cut, ws FROM cand),
+cuts AS (
+  SELECT p.lang, p.phrase, p.f AS a, cut, l.f AS l, r.f AS r, n,
+         ((1000::HUGEINT * p.f * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM parts p
+  JOIN grams l ON l.lang = p.lang AND l.phrase = array_to_string(p.ws[1:cut], ' ')
+  JOIN grams r ON r.lang = p.lang AND r.phrase = array_to_string(p.ws[cut + 1:], ' ')
+  JOIN totals t ON t.lang = p.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (
+  SELECT c.lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(f) AS around
+  FROM cand c, (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(2, 5)) AS m)
+  WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ USING (lang, phrase) WHERE around IS NULL OR around < a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }
