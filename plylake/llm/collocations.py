@@ -4,15 +4,16 @@
    on: a phrase can only be frequent where its first and its last words are).  A shard that holds the share s of all bytes
    reports what it holds at least ceil(support * s) times.  The shares sum to one, so a phrase with ``support`` or more
    occurrences is reported by at least one shard.
-2. The union of the reports is a bit map of 2^27 hash positions (16 MB at any size of the corpus), made by Spark's
-   bitmap aggregate.
-3. A second pass counts every phrase whose position is set, in each shard by its words and not by a hash; the counts are
-   summed by (language, phrase).  A false position costs a count and never a result.
+2. The union of the reports is a bit map of 2^27 hash positions (16 MB at any size of the corpus); each task gives its own
+   map, and Spark's bitmap aggregate joins them.
+3. Every reported phrase is counted in all shards.  First by 64-bit hashes, ten bytes a phrase and shard: words and pairs,
+   then longer phrases of which all pairs have the support.  Hashes that meet can only add to a count, so this loses
+   nothing.  What has the support by hashes is then counted by its words, which makes the counts exact.
 4. Scores, cuts and absorption are joins over the frequent phrases.
 
 A shard's memory is bounded by its words, and one text is cut into pieces of a megabyte before it is split into words.
-Where the share of a shard times the support is at most one, the shard reports all its phrases and the second pass counts
-them all: right, but then nothing is pruned.  Raise ``support`` with the corpus, or ``shard_words``.
+Where the share of a shard times the support is at most one, the shard reports all its phrases, and only the frequent pairs
+of step 3 prune; raise ``support`` with the corpus, or ``shard_words`` with the workers' memory.
 
 Defined results: a null text is the empty text; a null language is ``und``; rows with equal texts all count; a null id
 does not matter, as ids are not read; other columns are not read; an empty table gives no rows.  Words may be of any
@@ -37,6 +38,7 @@ U = np.uint64
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 LONGEST = 5
 BITS = 27
+STRETCH = 4096
 PIECE = 1 << 20
 
 
@@ -98,90 +100,156 @@ def shards(batches: Iterable[pa.RecordBatch], most_words: int) -> Iterator[Shard
 Test = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places, every key's number and the counts of the distinct keys."""
+    order = np.argsort(keys, kind="stable").astype(np.int32)
+    keys = keys[order]
+    new = np.empty(len(keys), bool)
+    new[0] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    del keys
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    starts = np.flatnonzero(new)
+    return order[starts], number, np.diff(starts, append=len(order))
+
+
 def levels(ids: np.ndarray, size: int, test: Test) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, first places, counts) of the phrases of k words that pass ``test`` (k, first places, counts).
 
     A phrase is looked at only where both its parts of k - 1 words have passed.  Phrases are told apart by the number of
     their first part and their last word, so no two different ones meet.
     """
-    at = np.flatnonzero(ids > 1)
+    at = np.flatnonzero(ids > 1).astype(np.int32)
     keys = ids[at].astype(np.int64)
     for k in range(1, LONGEST + 1):
         if not len(at):
             return
-        _, first, number, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        first, number, counts = numbered(keys)
         good = test(k, at[first], counts)
         yield k, at[first[good]], counts[good]
+        del first, counts
         passed = good[number]
         at, number = at[passed], number[passed]
         alive = np.zeros(len(ids) + 1, bool)
         alive[at] = True
         follows = alive[at + 1]
         at, number = at[follows], number[follows]
-        keys = number * np.int64(size) + ids[np.minimum(at + k, len(ids) - 1)]
+        keys = number.astype(np.int64) * size + ids[np.minimum(at + k, len(ids) - 1)]
 
 
 def phrase_hashes(lang: str, ids: np.ndarray, at: np.ndarray, k: int, hashes: np.ndarray) -> np.ndarray:
-    """Hash positions of the phrases of ``k`` words at the places ``at``."""
+    """Hashes of the phrases of ``k`` words at the places ``at``."""
     total = np.full(len(at), xxhash.xxh3_64_intdigest(lang.encode(), k), U)
     for i, factor in enumerate(odd_numbers(k, 17)):
         total += hashes[ids[at + i]] * factor
-    return mix(total) >> U(64 - BITS)
-
+    return mix(total)
 
-def locally_frequent(shard: Shard, least: int) -> Iterator[np.ndarray]:
-    """Hash positions of all phrases that the shard holds ``least`` times."""
-    hashes = word_hashes(list(shard.words))
-    for lang, ids in shard.languages():
-        for k, at, _ in levels(ids, len(shard.words), lambda k, at, counts: counts >= least):
-            yield np.unique(phrase_hashes(lang, ids, at, k, hashes))
 
+class BitMap:
+    """A set of hashes by their highest ``BITS`` bits: all that were put in are in it, and a few more."""
 
-def candidate_counts(shard: Shard, bits: np.ndarray) -> Iterator[tuple[str, list[str], list[int]]]:
-    """(language, phrases, counts) of the shard's phrases with set positions; the empty phrase counts all words."""
-    hashes, spelled = word_hashes(list(shard.words)), list(shard.words)
-    for lang, ids in shard.languages():
-        def reported(k: int, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-            place = phrase_hashes(lang, ids, at, k, hashes)
-            return (bits[place >> U(3)] >> (place & U(7)).astype(np.uint8) & 1).astype(bool)
-
-        yield lang, [""], [int((ids > 1).sum())]
-        for k, at, counts in levels(ids, len(spelled), reported):
-            for a in range(0, len(at), 50_000):
-                some = at[a:a + 50_000]
-                rows = zip(*(ids[some + i].tolist() for i in range(k)))
-                yield lang, [b" ".join([spelled[i] for i in row]).decode() for row in rows], counts[a:a + 50_000].tolist()
+    def __init__(self) -> None:
+        self.bits = np.zeros(1 << (BITS - 3), np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        place = hashes >> U(64 - BITS)
+        np.bitwise_or.at(self.bits, place >> U(3), np.left_shift(1, (place & U(7)).astype(np.uint8), dtype=np.uint8))
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> U(64 - BITS)
+        return (self.bits[place >> U(3)] >> (place & U(7)).astype(np.uint8) & 1).astype(bool)
+
+    def rows(self) -> pa.RecordBatch:
+        """(bucket, bits): the stretches of 4 kB that are not empty."""
+        cut = self.bits.reshape(-1, STRETCH)
+        full = np.flatnonzero(cut.any(axis=1))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(full.astype(np.int32)), pa.array([cut[i].tobytes() for i in full], pa.binary())], names=["bucket", "bits"]
+        )
+
+
+def joined(maps: DataFrame) -> BitMap:
+    """The union of the tasks' maps: at most 2^12 rows of 4 kB reach the driver."""
+    whole = BitMap()
+    for row in maps.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")).toLocalIterator():
+        whole.bits[row["bucket"] * STRETCH:(row["bucket"] + 1) * STRETCH] = np.frombuffer(row["bits"], np.uint8)
+    return whole
+
+
+def mine(batches: Iterable[pa.RecordBatch], support: int, all_bytes: int, shard_words: int) -> Iterator[pa.RecordBatch]:
+    """The map of all phrases that some shard of this task holds with its proportional support."""
+    drop_kept()
+    found = BitMap()
+    for shard in shards(batches, shard_words):
+        least, hashes = max(1, -(-support * shard.n_bytes // all_bytes)), word_hashes(list(shard.words))
+        for lang, ids in shard.languages():
+            for k, at, _ in levels(ids, len(shard.words), lambda k, at, counts: counts >= least):
+                found.add(phrase_hashes(lang, ids, at, k, hashes))
+    yield found.rows()
+
+
+def hash_counts(batches: Iterable[pa.RecordBatch], held: Callable[[int], list[BitMap]], wanted: range, shard_words: int) -> Iterator[pa.RecordBatch]:
+    """(hash, f) by shard of the phrases of ``wanted`` lengths; ``held`` names the maps that a phrase of k words must be in."""
+    drop_kept()
+    for shard in shards(batches, shard_words):
+        hashes = word_hashes(list(shard.words))
+        for lang, ids in shard.languages():
+            def test(k: int, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+                if k > wanted[-1]:
+                    return np.zeros(len(at), bool)
+                h = phrase_hashes(lang, ids, at, k, hashes)
+                return np.logical_and.reduce([m.holds(h) for m in held(k)])
+
+            for k, at, counts in levels(ids, len(shard.words), test):
+                if k in wanted:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(phrase_hashes(lang, ids, at, k, hashes).view(np.int64)), pa.array(counts.astype(np.int64))], names=["hash", "f"]
+                    )
+
+
+def exact_counts(batches: Iterable[pa.RecordBatch], frequent: BitMap, shard_words: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) by shard of the phrases in ``frequent``; the empty phrase counts all words."""
+    drop_kept()
+    for shard in shards(batches, shard_words):
+        hashes, spelled = word_hashes(list(shard.words)), list(shard.words)
+        for lang, ids in shard.languages():
+            yield _counted(lang, [""], np.array([(ids > 1).sum()]))
+            for k, at, counts in levels(ids, len(spelled), lambda k, at, counts: frequent.holds(phrase_hashes(lang, ids, at, k, hashes))):
+                rows = zip(*(ids[at + i].tolist() for i in range(k)))
+                yield _counted(lang, [b" ".join([spelled[i] for i in row]).decode() for row in rows], counts)
+
+
+def _counted(lang: str, phrases: list[str], counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "f"]
+    )
 
 
 def phrase_counts(texts: DataFrame, support: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of up to five words with f >= support, and (lang, n); both stored."""
+    share = texts.sparkSession.sparkContext.broadcast
     all_bytes = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 1
-
-    def mine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_kept()
-        for shard in shards(batches, shard_words):
-            for places in locally_frequent(shard, max(1, -(-support * shard.n_bytes // all_bytes))):
-                yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64))], names=["place"])
-
-    places = texts.mapInArrow(mine, "place long")
-    maps = places.groupBy(F.shiftright("place", 15).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits")
-    )
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    for row in maps.toLocalIterator():  # at most 2^12 rows of 4 kB
-        bits[row["bucket"] << 12:(row["bucket"] + 1) << 12] = np.frombuffer(row["bits"], np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_kept()
-        for shard in shards(batches, shard_words):
-            for lang, phrases, counts in candidate_counts(shard, shared.value):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())],
-                    names=["lang", "phrase", "f"],
-                )
-
-    summed = texts.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    reported = share(joined(texts.mapInArrow(lambda rows: mine(rows, support, all_bytes, shard_words), "bucket int, bits binary")))
+
+    def enough(held: Callable[[int], list[BitMap]], wanted: range) -> BitMap:
+        counted = texts.mapInArrow(lambda rows: hash_counts(rows, held, wanted, shard_words), "hash long, f long")
+        frequent = counted.groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= support).select("hash")
+
+        def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = BitMap()
+            for batch in batches:
+                found.add(batch.column("hash").to_numpy().view(U))
+            yield found.rows()
+
+        return joined(frequent.mapInArrow(put, "bucket int, bits binary"))
+
+    pairs = share(enough(lambda k: [reported.value], range(1, 3)))
+    longer = enough(lambda k: [pairs.value] if k < 3 else [reported.value], range(3, LONGEST + 1))
+    longer.bits |= pairs.value.bits
+    frequent = share(longer)
+    counted = texts.mapInArrow(lambda rows: exact_counts(rows, frequent.value, shard_words), "lang string, phrase string, f long")
+    summed = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     summed = stored(summed.where((F.col("f") >= support) | (F.col("phrase") == "")), "phrase-counts")
     totals = stored(summed.where("phrase = ''").select("lang", F.col("f").alias("n")), "phrase-totals")
     return summed.where("phrase <> ''"), totals
@@ -208,7 +276,7 @@ def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
     return best.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 
-def collocations(docs: DataFrame, support: int = 100, top: int = 2000, shard_words: int = 8_000_000) -> DataFrame:
+def collocations(docs: DataFrame, support: int = 100, top: int = 2000, shard_words: int = 6_000_000) -> DataFrame:
     """The first ``top`` collocations of each language: lang, rank, phrase, a, l, r, n, score."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     counts, totals = phrase_counts(texts.where("text <> ''"), support, shard_words)
