@@ -1,19 +1,18 @@
 """Phrase collocations by SON partitioning, with exact counts.
 
 1. Shards of at most ``shard_words`` words are mined completely, level by level (words, then phrases of two words, and so
-   on: a phrase can only be frequent where its first and its last words are).  A shard that holds the share s of all bytes
-   reports what it holds at least ceil(support * s) times.  The shares sum to one, so a phrase with ``support`` or more
-   occurrences is reported by at least one shard.
-2. The union of the reports is a bit map of 2^27 hash positions (16 MB at any size of the corpus); each task gives its own
-   map, and Spark's bitmap aggregate joins them.
-3. Every reported phrase is counted in all shards.  First by 64-bit hashes, ten bytes a phrase and shard: words and pairs,
-   then longer phrases of which all pairs have the support.  Hashes that meet can only add to a count, so this loses
-   nothing.  What has the support by hashes is then counted by its words, which makes the counts exact.
+   on: a phrase can only be frequent where its first and its last words are).  A shard with the share s of all bytes reports
+   what it holds more often than its allowance, floor(support * s / 2).  The shares sum to one, so the allowances sum to
+   half the support at most, and what is beyond them adds up to half the support or more for every frequent phrase.
+2. The union of the reports is kept where that sum is reached.  Sums are taken by 64-bit hashes, ten bytes a phrase and
+   shard; hashes that meet can only add to a sum, so nothing is lost.  This is done twice: for words and pairs, and then for
+   longer phrases all of whose pairs were kept.  What is kept is a bit map of 2^27 hash positions (16 MB at any size).
+3. Every phrase in the map is counted in all shards by its words, not by a hash, and the counts are summed: exact.
 4. Scores, cuts and absorption are joins over the frequent phrases.
 
 A shard's memory is bounded by its words, and one text is cut into pieces of a megabyte before it is split into words.
-Where the share of a shard times the support is at most one, the shard reports all its phrases, and only the frequent pairs
-of step 3 prune; raise ``support`` with the corpus, or ``shard_words`` with the workers' memory.
+Where a shard's allowance is zero (over support / 2 shards), it reports all its words and pairs, and of longer phrases those of
+kept pairs: right, and one shuffle of all pairs.  Raise ``support`` with the corpus, or ``shard_words`` with the memory.
 
 Defined results: a null text is the empty text; a null language is ``und``; rows with equal texts all count; a null id
 does not matter, as ids are not read; other columns are not read; an empty table gives no rows.  Words may be of any
@@ -114,7 +113,7 @@ def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[starts], number, np.diff(starts, append=len(order))
 
 
-def levels(ids: np.ndarray, size: int, test: Test) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def levels(ids: np.ndarray, size: int, test: Test, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, first places, counts) of the phrases of k words that pass ``test`` (k, first places, counts).
 
     A phrase is looked at only where both its parts of k - 1 words have passed.  Phrases are told apart by the number of
@@ -122,7 +121,7 @@ def levels(ids: np.ndarray, size: int, test: Test) -> Iterator[tuple[int, np.nda
     """
     at = np.flatnonzero(ids > 1).astype(np.int32)
     keys = ids[at].astype(np.int64)
-    for k in range(1, LONGEST + 1):
+    for k in range(1, longest + 1):
         if not len(at):
             return
         first, number, counts = numbered(keys)
@@ -177,34 +176,26 @@ def joined(maps: DataFrame) -> BitMap:
     return whole
 
 
-def mine(batches: Iterable[pa.RecordBatch], support: int, all_bytes: int, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """The map of all phrases that some shard of this task holds with its proportional support."""
-    drop_kept()
-    found = BitMap()
-    for shard in shards(batches, shard_words):
-        least, hashes = max(1, -(-support * shard.n_bytes // all_bytes)), word_hashes(list(shard.words))
-        for lang, ids in shard.languages():
-            for k, at, _ in levels(ids, len(shard.words), lambda k, at, counts: counts >= least):
-                found.add(phrase_hashes(lang, ids, at, k, hashes))
-    yield found.rows()
+def reports(batches: Iterable[pa.RecordBatch], kept: Callable[[], BitMap | None], allowance: Callable[[int], int], shard_words: int) -> Iterator[pa.RecordBatch]:
+    """(hash, beyond) by shard: how often a phrase occurs beyond the shard's allowance.
 
-
-def hash_counts(batches: Iterable[pa.RecordBatch], held: Callable[[int], list[BitMap]], wanted: range, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """(hash, f) by shard of the phrases of ``wanted`` lengths; ``held`` names the maps that a phrase of k words must be in."""
+    Words and pairs if nothing is ``kept`` yet; otherwise longer phrases of kept pairs.
+    """
     drop_kept()
     for shard in shards(batches, shard_words):
-        hashes = word_hashes(list(shard.words))
+        allowed, hashes, known = allowance(shard.n_bytes), word_hashes(list(shard.words)), kept()
+        wanted = range(1, 3) if known is None else range(3, LONGEST + 1)
         for lang, ids in shard.languages():
             def test(k: int, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-                if k > wanted[-1]:
-                    return np.zeros(len(at), bool)
-                h = phrase_hashes(lang, ids, at, k, hashes)
-                return np.logical_and.reduce([m.holds(h) for m in held(k)])
+                good = counts > allowed
+                if known is not None and k == 2:
+                    good[good] = known.holds(phrase_hashes(lang, ids, at[good], k, hashes))
+                return good
 
-            for k, at, counts in levels(ids, len(shard.words), test):
+            for k, at, counts in levels(ids, len(shard.words), test, wanted[-1]):
                 if k in wanted:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(phrase_hashes(lang, ids, at, k, hashes).view(np.int64)), pa.array(counts.astype(np.int64))], names=["hash", "f"]
+                        [pa.array(phrase_hashes(lang, ids, at, k, hashes).view(np.int64)), pa.array(counts.astype(np.int64) - allowed)], names=["hash", "beyond"]
                     )
 
 
@@ -230,11 +221,11 @@ def phrase_counts(texts: DataFrame, support: int, shard_words: int) -> tuple[Dat
     """(lang, phrase, f) of all phrases of up to five words with f >= support, and (lang, n); both stored."""
     share = texts.sparkSession.sparkContext.broadcast
     all_bytes = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 1
-    reported = share(joined(texts.mapInArrow(lambda rows: mine(rows, support, all_bytes, shard_words), "bucket int, bits binary")))
+    allowance = lambda n_bytes: support * n_bytes // (2 * all_bytes)
 
-    def enough(held: Callable[[int], list[BitMap]], wanted: range) -> BitMap:
-        counted = texts.mapInArrow(lambda rows: hash_counts(rows, held, wanted, shard_words), "hash long, f long")
-        frequent = counted.groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= support).select("hash")
+    def candidates(kept: Callable[[], BitMap | None]) -> BitMap:
+        reported = texts.mapInArrow(lambda rows: reports(rows, kept, allowance, shard_words), "hash long, beyond long")
+        enough = reported.groupBy("hash").agg(F.sum("beyond").alias("beyond")).where(F.col("beyond") * 2 >= support).select("hash")
 
         def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = BitMap()
@@ -242,11 +233,12 @@ def phrase_counts(texts: DataFrame, support: int, shard_words: int) -> tuple[Dat
                 found.add(batch.column("hash").to_numpy().view(U))
             yield found.rows()
 
-        return joined(frequent.mapInArrow(put, "bucket int, bits binary"))
+        return joined(enough.mapInArrow(put, "bucket int, bits binary"))
 
-    pairs = share(enough(lambda k: [reported.value], range(1, 3)))
-    longer = enough(lambda k: [pairs.value] if k < 3 else [reported.value], range(3, LONGEST + 1))
-    longer.bits |= pairs.value.bits
+    pairs = candidates(lambda: None)
+    shared = share(pairs)
+    longer = candidates(lambda: shared.value)
+    longer.bits |= pairs.bits
     frequent = share(longer)
     counted = texts.mapInArrow(lambda rows: exact_counts(rows, frequent.value, shard_words), "lang string, phrase string, f long")
     summed = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
