@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plylake.llm import (
-    bpe, collocations, exact_dedup, imatch, language_id, mixing, near_dedup, secret_scan, substring_dedup, token_shards,
-    url_rules,
+    bpe, collocations, exact_dedup, imatch, language_id, mixing, near_dedup, prefix_trie, secret_scan, substring_dedup,
+    token_shards, url_rules, vector_dedup,
 )
 from plylake.llm.common import table
 
@@ -70,11 +70,20 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_exact_dedup, op3_mix, op4_url_rules, op5_substring_dedup, op6_secret_scan, op7_near_dedup,
-        op8_token_shards, op9_language_id, op10_imatch, op11_collocations,
+        op8_token_shards, op9_language_id, op10_imatch, op11_collocations, op12_vector_dedup,
+        op13_prefix_trie,
     )
 }
 
@@ -152,4 +161,19 @@ inner_ AS (
 kept AS (SELECT b.* FROM best b LEFT JOIN inner_ USING (lang, phrase) WHERE around IS NULL OR around < a),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
+    "op12_vector_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS e,
+         label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+         AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+         AND len([x FOR x IN embedding IF x <> 0]) > 0 AS ok
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.ok AND b.ok AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = vec_id""",
 }
