@@ -118,6 +118,12 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def blocks(words: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The ids of a segment, block by block: each is decoded from its offset to the next one's, by itself."""
+    for a, b in zip(offsets, [*offsets[1:], len(words)]):
+        yield unpack(words[a:b])
+
+
 _ASCII_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<")
 
@@ -126,8 +132,10 @@ class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, lower-cases, and parts letters, digits and other marks.
 
     Each part between white space is remembered, in bounded memory.  New parts are cut into the tokenizer's pieces where
-    those are plain: ASCII without apostrophes and ``<``, or letters with marks behind them.  New pieces of letters only are
-    encoded in one call of the library and told apart by the tokens that end a word; all else is encoded by itself.
+    those are plain: ASCII without apostrophes and ``<``, or a word with ASCII marks behind it whose normal form has only
+    letters (a letter whose lower case or normal form holds a combining mark is left to the library with its whole part).
+    New pieces of letters only are encoded in one call of the library and told apart by the tokens that end a word; all else
+    is encoded by itself.
     """
 
     def __init__(self, definition: str, word_end: str = "</w>") -> None:
@@ -140,17 +148,20 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    @staticmethod
-    def _cut(part: str) -> list[str]:
+    def _letters(self, word: str) -> bool:
+        """Whether the word is all letters to the tokenizer, that is, once it has lower-cased and normalised it."""
+        return word.isalpha() and (word.isascii() or self.tokenizer.normalizer.normalize_str(word).isalpha())
+
+    def _cut(self, part: str) -> list[str]:
         """Pieces that the tokenizer encodes apart from each other."""
         if part.isascii():
             return [part] if "'" in part or "<" in part else _ASCII_PIECES(part.lower())
         word = part.rstrip(_MARKS)
-        return [word, part[len(word):]] if len(word) < len(part) and word.isalpha() else [part]
+        return [word, part[len(word):]] if len(word) < len(part) and self._letters(word) else [part]
 
     def _learn(self, pieces: set[str]) -> None:
         """Encodes new words together."""
-        words = [w for w in pieces if w not in self.pieces and w not in self.pieces.older and w.isalpha() and w.lower().isalpha()]
+        words = [w for w in pieces if w not in self.pieces and w not in self.pieces.older and self._letters(w)]
         for at in range(0, len(words), 2000):
             some = words[at:at + 2000]
             ids = self._ids(" ".join(some))
@@ -233,7 +244,8 @@ def document_digests(segments: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = unpack(np.frombuffer(row["words"], dtype="<u8")).astype("<u4").tobytes()
+                words = np.frombuffer(row["words"], dtype="<u8")
+                ids = b"".join(block.astype("<u4").tobytes() for block in blocks(words, row["offsets"]))
                 lengths = np.array(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
