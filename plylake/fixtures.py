@@ -12,16 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def move_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plies from line items, ten orders to a game, game columns from the game's first order.
+    """Plies from line items, ten orders to a game; every order of a game has a say in its columns.
 
-    The order side is cut to its game rows before the join, and the join key is the window key, so
-    line items are shuffled once for both.
+    The first order gives White, result, date and opening, the last one Black, and all of them the ratings.  The order
+    side is one row for each game before the join, and the join key is the window key, so line items are shuffled once
+    for both.
     """
     games = (
         table(spark, sf_dir, "orders")
-        .where("o_orderkey % 10 = 0")
-        .selectExpr("cast(cast(floor(o_orderkey / 10) as bigint) as string) as game_id",
-                    "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+        .groupBy(F.expr("cast(cast(floor(o_orderkey / 10) as bigint) as string)").alias("game_id"))
+        .agg(*[F.min_by(c, "o_orderkey").alias(c) for c in ("o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")],
+             F.max_by("o_custkey", "o_orderkey").alias("last_custkey"),
+             F.expr("sum(cast(floor(o_totalprice) as bigint))").alias("paid"),
+             F.expr("sum(cast(floor(o_totalprice / 7) as bigint))").alias("paid_7th"))
     )
     plies = table(spark, sf_dir, "lineitem").selectExpr(
         "cast(cast(floor(l_orderkey / 10) as bigint) as string) as game_id",
@@ -52,10 +55,10 @@ def move_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "perf": "case when gid % 3 = 0 then 'bullet' when gid % 3 = 1 then 'blitz' else 'rapid' end",
         "variant": "'standard'",
         "white_id": "cast(o_custkey % 50 as string)",
-        "white_rating": "cast(1200 + cast(floor(o_totalprice) as bigint) % 800 as int)",
+        "white_rating": "cast(1200 + paid % 800 as int)",
         "white_title": "case when o_custkey % 10 = 0 then 'GM' else null end",
-        "black_id": "cast((o_custkey * 7 + gid) % 50 as string)",
-        "black_rating": "cast(1200 + cast(floor(o_totalprice / 7) as bigint) % 800 as int)",
+        "black_id": "cast((last_custkey * 7 + gid) % 50 as string)",
+        "black_rating": "cast(1200 + paid_7th % 800 as int)",
         "black_title": "cast(null as string)",
         "tournament_id": "case when gid % 20 = 0 then 't1' else null end",
         "winner": "case when o_orderstatus = 'F' then 'white' when o_orderstatus = 'O' then 'black' "
@@ -70,8 +73,16 @@ def move_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped.select(*schemas.MOVE_EVENTS.fieldNames())
 
 
-def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_size > 1").selectExpr(
+def opening_plies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of each game's opening line: two to six plies, by the number of the game."""
+    return table(spark, sf_dir, "orders").selectExpr("cast(floor(o_orderkey / 10) as bigint) as gid").distinct().selectExpr(
+        "cast(gid as string) as game_id", "cast(2 + gid % 5 as int) as opening_ply"
+    )
+
+
+def evals(spark: SparkSession, sf_dir: str, missing: str = "false") -> DataFrame:
+    """An evaluation for each part, except those that the condition ``missing`` names."""
+    return table(spark, sf_dir, "part").where(f"NOT ({missing})").selectExpr(
         "cast(p_partkey as string) as fen",
         "case when p_size = 50 then null "
         "else cast(cast(floor(p_retailprice * 10) as bigint) % 801 - 400 as int) end as cp",

@@ -79,16 +79,46 @@ def next_moves(events: DataFrame, top: int = 3) -> DataFrame:
     )
 
 
-def stat_chunks(bands: DataFrame, moves: DataFrame, after_ply: int = 4, width: int = 200) -> DataFrame:
-    """One sentence per opening, speed and band, for text retrieval."""
-    nexts = (
-        moves.where(F.col("after_ply") == after_ply)
-        .groupBy("opening_eco", "opening_name")
+def rating_band(width: int = 200):
+    """The lower end of the band that the mean rating of both players is in."""
+    mean = (F.col("white_rating") + F.col("black_rating")) / 2
+    return (F.floor(mean / width) * width).cast("int")
+
+
+def next_after_opening(events: DataFrame, opening_plies: DataFrame, top: int = 3, width: int = 200) -> DataFrame:
+    """The ``top`` moves that follow the opening, per speed, rating band and opening.
+
+    ``opening_plies`` holds the length of each game's opening line (game_id, opening_ply).  The join names one ply of a
+    game, so a single row per game is counted; a game that ends with its opening has none.
+    """
+    spot = ["speed", "band", "opening_eco", "opening_name"]
+    after = opening_plies.select("game_id", (F.col("opening_ply") + 1).alias("move_number"))
+    counted = (
+        events.where(F.col("opening_eco").isNotNull())
+        .select("game_id", "move_number", "move", "speed", rating_band(width).alias("band"), "opening_eco", "opening_name")
+        .where(F.col("band").isNotNull())
+        .join(after, ["game_id", "move_number"])
+        .groupBy(*spot, "move")
+        .agg(F.count("*").alias("n"))
+    )
+    here = Window.partitionBy(*spot)
+    return (
+        counted.withColumn("share_pct", percent(F.col("n"), F.sum("n").over(here)))
+        .withColumn("rank", F.row_number().over(here.orderBy(F.desc("n"), "move")))
+        .where(F.col("rank") <= top)
+    )
+
+
+def stat_chunks(bands: DataFrame, nexts: DataFrame, width: int = 200) -> DataFrame:
+    """One sentence per opening, speed and band, for text retrieval, with the moves that follow there."""
+    spot = ["speed", "band", "opening_eco", "opening_name"]
+    listed = (
+        nexts.groupBy(*spot)
         .agg(F.array_sort(F.collect_list(F.struct(
             "rank", F.format_string("%s (%.1f%%)", "move", "share_pct").alias("text")))).alias("top"))
-        .select("opening_eco", "opening_name", F.array_join(F.transform("top", lambda x: x["text"]), ", ").alias("nexts"))
+        .select(*spot, F.array_join(F.transform("top", lambda x: x["text"]), ", ").alias("nexts"))
     )
-    return bands.join(nexts, ["opening_eco", "opening_name"], "left").select(
+    return bands.join(listed, spot, "left").select(
         "opening_eco", "speed", "band",
         F.format_string(
             "%s at %s rating %d-%d: played %d times, White won %.1f%%, drawn %.1f%%, Black won %.1f%%. "

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plylake import fixtures as fx
 from plylake.functions import columns as col_fn
-from plylake.operators import evals as ev, events, expand, openings, patterns, players, replay as replay_job, stats
+from plylake.operators import evals as ev, events, expand, openings, patterns, players, replay as replay_job, stats, vector_index
 from plylake.operators.games import games_from_events, perspective as sides_of
 from plylake.plans import tools
 from plylake.session import scratch_path, ship_package
@@ -123,7 +123,7 @@ def merge_top_lists(spark, sf_dir):
         seen.where(F.col("event_type") == kind)
         .groupBy(F.col("user_id").cast("string").alias("id"))
         .agg(F.min("event_id").alias("rank"))
-        for kind in ("click", "view", "purchase")
+        for kind in ("click", "view", "purchase", "signup", "error")
     ]
     return stats.merge_top_lists(*lists)
 
@@ -146,7 +146,7 @@ def attach_evals(spark, sf_dir):
 
 @query
 def positions_to_eval(spark, sf_dir):
-    return ev.positions_to_eval(fx.move_events(spark, sf_dir), fx.evals(spark, sf_dir))
+    return ev.positions_to_eval(fx.move_events(spark, sf_dir), fx.evals(spark, sf_dir, missing="p_size = 1"))
 
 
 @query
@@ -378,10 +378,12 @@ def time_spent_fact(spark, sf_dir):
 
 @query
 def run_sql(spark, sf_dir):
+    """Mean rating, shortest clock and share of drawn games by speed and month, asked in SQL."""
     fx.move_events(spark, sf_dir).createOrReplaceTempView("move_events")
-    return tools.run_sql(
-        spark, "SELECT date, count(DISTINCT game_id) AS games, count(*) AS moves FROM move_events GROUP BY date"
-    )
+    return tools.run_sql(spark, """
+        SELECT speed, left(date, 7) AS month, count(*) AS games, round(avg(white_rating + black_rating) / 2, 3) AS mean_rating,
+               min(clock_remaining) AS least_clock, round(count_if(winner IS NULL) / count(*), 6) AS drawn_share
+        FROM move_events WHERE move_number = 1 GROUP BY speed, left(date, 7)""")
 
 
 # ---------------------------------------------------------------------------- documented analytics
@@ -427,11 +429,18 @@ def next_moves(spark, sf_dir):
     return openings.next_moves(fx.move_events(spark, sf_dir))
 
 
+def _next_after_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return openings.next_after_opening(fx.move_events(spark, sf_dir), fx.opening_plies(spark, sf_dir))
+
+
+@query
+def next_after_opening(spark, sf_dir):
+    return _next_after_opening(spark, sf_dir)
+
+
 @query
 def stat_chunks(spark, sf_dir):
-    return openings.stat_chunks(
-        openings.opening_by_band(_games(spark, sf_dir)), openings.next_moves(fx.move_events(spark, sf_dir))
-    )
+    return openings.stat_chunks(openings.opening_by_band(_games(spark, sf_dir)), _next_after_opening(spark, sf_dir))
 
 
 @query
@@ -497,6 +506,14 @@ def similar_positions(spark, sf_dir):
     return players.similar_positions(vectors, pasted)
 
 
+@query
+def similar_positions_all(spark, sf_dir):
+    """The five nearest vectors of every vector whose id is divisible by 100, by an index over all vectors."""
+    vectors, path = fx.table(spark, sf_dir, "embeddings"), scratch_path(spark, "vector-index")
+    vector_index.build_index(vectors, path)
+    return vector_index.nearest(spark, path, vectors.where("vec_id % 100 = 0"))
+
+
 @query
 def claim_accuracy(spark, sf_dir):
     totals = stats.player_totals(_games(spark, sf_dir))

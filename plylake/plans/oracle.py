@@ -20,10 +20,10 @@ CTES = {
     CASE WHEN gid % 3 = 0 THEN 'bullet' WHEN gid % 3 = 1 THEN 'blitz' ELSE 'rapid' END AS perf,
     'standard' AS variant,
     CAST(o_custkey % 50 AS VARCHAR) AS white_id,
-    CAST(1200 + CAST(floor(o_totalprice) AS BIGINT) % 800 AS INT) AS white_rating,
+    CAST(1200 + paid % 800 AS INT) AS white_rating,
     CASE WHEN o_custkey % 10 = 0 THEN 'GM' ELSE NULL END AS white_title,
-    CAST((o_custkey * 7 + gid) % 50 AS VARCHAR) AS black_id,
-    CAST(1200 + CAST(floor(o_totalprice / 7) AS BIGINT) % 800 AS INT) AS black_rating,
+    CAST((last_custkey * 7 + gid) % 50 AS VARCHAR) AS black_id,
+    CAST(1200 + paid_7th % 800 AS INT) AS black_rating,
     CAST(NULL AS VARCHAR) AS black_title,
     CASE WHEN gid % 20 = 0 THEN 't1' ELSE NULL END AS tournament_id,
     CASE WHEN o_orderstatus = 'F' THEN 'white' WHEN o_orderstatus = 'O' THEN 'black' ELSE NULL END AS winner,
@@ -32,7 +32,13 @@ CTES = {
   FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY gid ORDER BY l_orderkey, l_linenumber, l_partkey,
         l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS INT) AS move_number
-    FROM (SELECT *, CAST(floor(l_orderkey / 10) AS BIGINT) AS gid FROM lineitem) JOIN orders ON o_orderkey = gid * 10
+    FROM (SELECT *, CAST(floor(l_orderkey / 10) AS BIGINT) AS gid FROM lineitem) JOIN (
+      SELECT CAST(floor(o_orderkey / 10) AS BIGINT) AS gid, arg_min(o_custkey, o_orderkey) AS o_custkey,
+        arg_min(o_orderstatus, o_orderkey) AS o_orderstatus, arg_min(o_orderdate, o_orderkey) AS o_orderdate,
+        arg_min(o_orderpriority, o_orderkey) AS o_orderpriority, arg_max(o_custkey, o_orderkey) AS last_custkey,
+        CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS paid,
+        CAST(sum(CAST(floor(o_totalprice / 7) AS BIGINT)) AS BIGINT) AS paid_7th
+      FROM orders GROUP BY 1) USING (gid)
   )""",
     "g": "SELECT * FROM ev WHERE move_number = 1",
     "p": """
@@ -51,7 +57,7 @@ CTES = {
          ELSE CAST(floor(p_retailprice * 10) AS BIGINT) % 801 - 400 END AS INT) AS cp,
     CAST(CASE WHEN p_size = 50 THEN CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE -2 END ELSE NULL END AS INT) AS mate,
     CAST(p_partkey % 10 AS VARCHAR) AS best_move, TRUE AS evaluated
-  FROM part WHERE p_size > 1""",
+  FROM part""",
     "ee": "SELECT ev.*, cp, mate, best_move, evaluated FROM ev LEFT JOIN evals USING (fen)",
 }
 
@@ -143,16 +149,16 @@ oracle("game_replay", """SELECT game_id, move_number, whose_moved, move, fen,
 oracle("merge_top_lists", """SELECT id, list_no, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY list_no, rank) AS n FROM (
     SELECT CAST(user_id AS VARCHAR) AS id,
-      CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS INT) AS list_no,
+      CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS INT) AS list_no,
       CAST(min(event_id) AS INT) AS rank
-    FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL))
+    FROM events GROUP BY ALL))
 WHERE n = 1""")
 
 # ---------------------------------------------------------------------------- evaluations
 
 oracle("attach_evals", "SELECT game_id, move_number, fen, cp, mate, best_move FROM ee", "ee")
-oracle("positions_to_eval", """SELECT DISTINCT fen AS position FROM ev WHERE fen NOT IN (SELECT fen FROM evals)""",
-       "ev", "evals")
+oracle("positions_to_eval", """SELECT DISTINCT fen AS position FROM ev WHERE fen NOT IN (
+  SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_size <> 1)""", "ev")
 
 
 def _class(drop: str) -> str:
@@ -322,8 +328,9 @@ oracle("time_spent_fact", """SELECT game_id, move_number, whose_moved, clock_rem
   lag(clock_remaining, 2) OVER (PARTITION BY game_id ORDER BY move_number) - clock_remaining + clock_increment * 100 AS time_spent_cs
 FROM ev""", "ev")
 
-oracle("run_sql", """SELECT date, count(DISTINCT game_id) AS games, count(*) AS moves FROM ev
-GROUP BY date""", "ev")
+oracle("run_sql", """SELECT speed, substr(date, 1, 7) AS month, count(*) AS games, round(avg(white_rating + black_rating) / 2, 3) AS mean_rating,
+  min(clock_remaining) AS least_clock, round(count(*) FILTER (winner IS NULL) / count(*), 6) AS drawn_share
+FROM g GROUP BY ALL""", "g")
 
 # ---------------------------------------------------------------------------- documented analytics
 
@@ -372,12 +379,18 @@ cte("nm", """SELECT * FROM (
   FROM (SELECT opening_eco, opening_name, CAST(move_number - 1 AS INT) AS after_ply, move, count(*) AS n
         FROM ev WHERE opening_eco IS NOT NULL GROUP BY ALL)) WHERE rank <= 3""", "ev")
 oracle("next_moves", "SELECT * FROM nm", "nm")
-oracle("stat_chunks", """SELECT b.opening_eco, speed, band, concat(b.opening_name, ' at ', speed, ' rating ', band, '-', band + 200,
+cte("nao", """SELECT * FROM (
+  SELECT *, round(CAST(n AS DOUBLE) * 100.0 / CAST(sum(n) OVER (PARTITION BY speed, band, opening_eco, opening_name) AS DOUBLE), 1) AS share_pct,
+    CAST(row_number() OVER (PARTITION BY speed, band, opening_eco, opening_name ORDER BY n DESC, move) AS INT) AS rank
+  FROM (SELECT speed, CAST(floor((white_rating + black_rating) / 2 / 200) * 200 AS INT) AS band, opening_eco, opening_name, move, count(*) AS n
+        FROM ev WHERE opening_eco IS NOT NULL AND move_number = 3 + gid % 5 GROUP BY ALL)) WHERE rank <= 3""", "ev")
+oracle("next_after_opening", "SELECT * FROM nao", "nao")
+oracle("stat_chunks", """SELECT b.opening_eco, b.speed, b.band, concat(b.opening_name, ' at ', b.speed, ' rating ', b.band, '-', b.band + 200,
   ': played ', games, ' times, White won ', printf('%.1f', white_pct), '%, drawn ', printf('%.1f', draw_pct),
   '%, Black won ', printf('%.1f', black_pct), '%. Most frequent next moves: ', coalesce(nexts, 'none')) AS chunk
 FROM bands b LEFT JOIN (
-  SELECT opening_eco, opening_name, string_agg(concat(move, ' (', printf('%.1f', share_pct), '%)'), ', ' ORDER BY rank) AS nexts
-  FROM nm WHERE after_ply = 4 GROUP BY ALL) n ON n.opening_eco = b.opening_eco AND n.opening_name = b.opening_name""", "bands", "nm")
+  SELECT speed, band, opening_eco, opening_name, string_agg(concat(move, ' (', printf('%.1f', share_pct), '%)'), ', ' ORDER BY rank) AS nexts
+  FROM nao GROUP BY ALL) n ON n.opening_eco = b.opening_eco AND n.opening_name = b.opening_name AND n.speed = b.speed AND n.band = b.band""", "bands", "nao")
 cte("cells", f"""SELECT player_id, whose_moved AS color, {PHASE} AS phase,
   CASE WHEN clock_remaining < 1000 THEN '<10' WHEN clock_remaining < 2000 THEN '10-20' WHEN clock_remaining < 3000 THEN '20-30'
        ELSE '>=30' END AS clock, count(*) AS plies, count(*) FILTER (loss >= 100) AS errors
@@ -455,6 +468,11 @@ ON c.player_id = t.player_id""", "jc")
 oracle("similar_positions", """SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]),
     CAST((SELECT arg_min(embedding, vec_id) FROM embeddings) AS DOUBLE[])), 6) AS similarity
 FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 5""")
+oracle("similar_positions_all", """SELECT query_id, CAST(rank AS INT) AS rank, vec_id, label, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS similarity
+    FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id))
+WHERE rank <= 5""")
 oracle("claim_accuracy", """SELECT metric, count(*) AS claims, count(fact) AS grounded,
   count(*) FILTER (abs(value - fact) <= 5.0) AS accurate, round(count(fact) / count(*), 6) AS grounded_share,
   round(count(*) FILTER (abs(value - fact) <= 5.0) / nullif(count(fact), 0), 6) AS accurate_share

@@ -115,11 +115,21 @@ def test_next_moves_and_chunks(spark):
     got = openings.next_moves(events).orderBy("rank").collect()
     assert [(r.move, r.n, r.share_pct) for r in got] == [("e2e4", 3, 42.9), ("d2d4", 2, 28.6), ("c2c4", 1, 14.3)]
     bands = openings.opening_by_band(games_from_events(events))
-    assert openings.stat_chunks(bands, openings.next_moves(events), after_ply=0).first().chunk == (
+    plies = spark.createDataFrame([(f"g{i}", 0) for i in range(7)], "game_id string, opening_ply int")
+    assert openings.stat_chunks(bands, openings.next_after_opening(events, plies)).first().chunk == (
         "Italian Game at blitz rating 1400-1600: played 7 times, White won 100.0%, drawn 0.0%, Black won 0.0%. "
         "Most frequent next moves: e2e4 (42.9%), d2d4 (28.6%), c2c4 (14.3%)")
 
 
+def test_next_moves_are_those_after_each_games_own_opening(spark):
+    """Openings of different lengths, two speeds, and a game that ends with its opening."""
+    line = [{"game_id": f"g{g}", "move_number": n, "move": f"m{g}{n}", "speed": "blitz" if g < 2 else "rapid"} for g in range(4) for n in range(1, 5)]
+    events = facts(spark, *line)
+    plies = spark.createDataFrame([("g0", 1), ("g1", 3), ("g2", 2), ("g3", 4)], "game_id string, opening_ply int")
+    got = {(r.speed, r.move, r.n, r.share_pct, r.rank) for r in openings.next_after_opening(events, plies).collect()}
+    assert got == {("blitz", "m02", 1, 50.0, 1), ("blitz", "m14", 1, 50.0, 2), ("rapid", "m23", 1, 100.0, 1)}
+
+
 def test_rating_trend_and_change(spark):
     events = facts(spark, *[{"game_id": f"g{i}", "date": f"2026-01-{1 + i * 7:02d}", "white_rating": 1500 + 7 * i} for i in range(5)])
     trend = {r.player_id: (r.slope, r.trend) for r in players.rating_trend(games_from_events(events)).collect()}
