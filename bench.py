@@ -18,7 +18,7 @@ from plylake.session import local_session
 HEADLINE = [
     "player_overview", "time_pressure_own", "opening_stats", "clock_by_phase", "vs_rating", "recent_games",
     "judge_moves_corrected", "attach_evals", "game_digest", "error_profile", "tilt", "repeat_errors",
-    "build_move_events", "replay", "land_events", "time_spent", "live_features", "similar_players", "next_moves",
+    "build_move_events", "replay", "similar_positions_all", "land_events", "time_spent", "live_features", "similar_players", "next_moves",
     "read_pgn",
 ]
 
@@ -37,12 +37,9 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
-    # every line item is one half-move of the replayed games, every order with lines one PGN record
-    half_moves = pq.read_metadata(f"{sf_dir}/lineitem.parquet").num_rows
+    # every order with lines is one PGN record
     orders = pq.read_metadata(f"{sf_dir}/orders.parquet").num_rows
     rates = {}
-    if "replay" in seconds:
-        rates["replay_half_moves_per_sec"] = round(half_moves / seconds["replay"])
     if "read_pgn" in seconds:
         rates["pgn_write_and_parse_orders_per_sec"] = round(orders / seconds["read_pgn"])
     print(json.dumps({

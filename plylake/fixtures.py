@@ -145,6 +145,14 @@ def start_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def broken_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A game_start message per event that cannot be landed: no JSON, no time, or no id."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "case event_id % 3 when 0 then concat('not json ', event_id) when 1 then concat('{\"game_id\": \"', event_id, '\"}') "
+        "else concat('{\"timestamp\": \"2026-01-01T00:00:00Z\", \"n\": ', event_id, '}') end as value"
+    )
+
+
 def end_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One game_end message per order; every third game ends after UTC midnight."""
     return table(spark, sf_dir, "orders").selectExpr(
@@ -214,10 +222,35 @@ def knight_games(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"case i % 4 when 0 then concat('g1', {now}, '3') when 1 then concat('g8', {now}, '6') "
         f"when 2 then concat({before}, '3g1') else concat({before}, '6g8') end"
     )
+    white, black = (f"if(lines[i - {{back}}].l_suppkey % 2 = 0, '{f}', '{h}')" for f, h in (("5N2", "7N"), ("5n2", "7n")))
+    fen = (
+        "concat('rnbqkb', if(i % 4 in (2, 3), '1r', 'nr'), '/pppppppp/', "
+        f"case i % 4 when 2 then {black.format(back=1)} when 3 then {black.format(back=2)} else '8' end, '/8/8/', "
+        f"case i % 4 when 1 then {white.format(back=1)} when 2 then {white.format(back=2)} else '8' end, '/PPPPPPPP/RNBQKB', "
+        "if(i % 4 in (1, 2), '1R', 'NR'), if(i % 2 = 0, ' w', ' b'), ' KQkq - ', i, ' ', cast(floor(i / 2) as int) + 1)"
+    )
     return lines.selectExpr(
         "cast(gid as string) as game_id",
         f"concat_ws(' ', transform(lines, (x, i) -> {san})) as moves",
         f"concat_ws(' ', transform(lines, (x, i) -> {uci})) as live_moves",
+        f"transform(sequence(0, size(lines)), i -> struct(i + 1 as move_number, if(i < size(lines), {uci}, null) as uci, "
+        f"{fen} as fen)) as places",
+    )
+
+
+def knight_positions(games: DataFrame) -> DataFrame:
+    """The positions table of ``knight_games``, with the position after the last move."""
+    return games.select("game_id", F.inline("places"))
+
+
+def export_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of the exported games: the part stands for the position; every seventh game ends after three."""
+    line = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"
+    )
+    numbered = table(spark, sf_dir, "lineitem").withColumn("move_number", F.row_number().over(line))
+    return numbered.where("l_orderkey % 7 <> 0 OR move_number < 4").selectExpr(
+        "cast(l_orderkey as string) as game_id", "move_number", "concat('u', l_suppkey % 10) as uci", "cast(l_partkey as string) as fen"
     )
 
 

@@ -58,6 +58,14 @@ def undecodable(raw: DataFrame, topic: str) -> DataFrame:
     return raw.select(F.explode(bad).alias("value"), F.current_timestamp().alias("ingested_at"))
 
 
+def split_messages(raw: DataFrame, topic: str) -> DataFrame:
+    """One row per message: ``good``, its typed fields, or ``bad``, the text that ``decode`` leaves out; parsed once."""
+    text, usable = F.coalesce(F.col("value").cast("string"), F.lit("")), _usable(topic)
+    both = F.array(F.struct(text.alias("value"), F.from_json(text, TOPICS[topic]).alias("d")))
+    sides = F.transform(both, lambda x: F.struct(F.when(usable(x["d"]), x["d"]).alias("good"), F.when(~usable(x["d"]), x["value"]).alias("bad")))
+    return raw.select(F.inline(sides))
+
+
 def parse_status_events(raw: DataFrame) -> DataFrame:
     return parsed_rows(raw, STATUS_EVENT)
 

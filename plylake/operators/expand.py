@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plylake.operators.replay import explode_replayed, replay_games
+from plylake.operators.positions import FLAGS, captures, gives_check, positioned_plies
 from plylake.schemas import MOVE_EVENTS
 
 
@@ -26,14 +24,9 @@ def explode_moves(games: DataFrame) -> DataFrame:
 
 
 def token_plies(games: DataFrame) -> DataFrame:
-    """Plies without a board: the token stands for the move and there is no position."""
-    return explode_moves(games).withColumn("fen", F.lit(None).cast("string"))
-
-
-def replayed_plies(games: DataFrame) -> DataFrame:
-    """Plies with coordinate moves and the position before each; the legal prefix of every game."""
-    plies = explode_replayed(replay_games(games))
-    return plies.withColumn("clock_remaining", F.get("clocks", F.col("move_number") - 1)).drop("clocks")
+    """Plies without positions: the token stands for the move; check and capture are what it says."""
+    plies = explode_moves(games).withColumn("fen", F.lit(None).cast("string"))
+    return plies.withColumns({"is_check": gives_check(F.col("move")), "is_capture": captures(F.col("move")), "truncated": F.lit(False)})
 
 
 def latest(df: DataFrame, *keys: str) -> DataFrame:
@@ -48,13 +41,14 @@ def build_move_events(
     ends: DataFrame,
     date: str | None = None,
     slack_days: int = 0,
-    expand: Callable[[DataFrame], DataFrame] = replayed_plies,
+    positions: DataFrame | None = None,
 ) -> DataFrame:
     """Exports joined to their start and end, one row per half-move.
 
     ``date`` builds one day and prunes all three inputs to their partitions; None builds every day.
     ``slack_days`` also finds starts and ends that were landed under a neighbouring date.  Repeated
-    messages count once.
+    messages count once.  With ``positions`` (see ``operators.positions``) plies have coordinates and FEN, and a game
+    ends where its positions end.  ``is_check``, ``is_capture`` and ``truncated`` follow the fact's columns.
     """
     keys = ["game_id", "date"] if date is None else ["game_id"]
     exports = exports.withColumnRenamed("id", "game_id")
@@ -95,5 +89,6 @@ def build_move_events(
         F.col("date").cast("string").alias("day"),
     )
     keep = [c for c in MOVE_EVENTS.fieldNames() if c in flat.columns and c != "date"]
-    plies = expand(flat.select(*keep, "moves", "clocks", "day")).withColumnRenamed("day", "date")
-    return plies.select(*MOVE_EVENTS.fieldNames())
+    games = flat.select(*keep, "moves", "clocks", "day")
+    plies = token_plies(games) if positions is None else positioned_plies(games, positions)
+    return plies.withColumnRenamed("day", "date").select(*MOVE_EVENTS.fieldNames(), *FLAGS)

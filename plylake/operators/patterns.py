@@ -24,7 +24,7 @@ def own_plies(events: DataFrame) -> DataFrame:
 def fact_moves(events: DataFrame, low_clock_cs: int = 1000) -> DataFrame:
     """Move table: mover, live phase, time used, pressure, the position after the move.
 
-    ``is_check`` and ``is_capture`` are kept where the replay job put them.
+    ``is_check`` and ``is_capture`` are kept where the events have them.
     """
     flags = [c for c in ("is_check", "is_capture") if c in events.columns]
     in_game = Window.partitionBy("game_id").orderBy("move_number")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plylake import fixtures as fx
 from plylake.functions import columns as col_fn
-from plylake.operators import evals as ev, events, expand, openings, patterns, players, replay as replay_job, stats, vector_index
+from plylake.operators import evals as ev, events, expand, openings, patterns, players, positions, stats, vector_index
 from plylake.operators.games import games_from_events, perspective as sides_of
 from plylake.plans import tools
 from plylake.session import scratch_path, ship_package
@@ -255,16 +255,15 @@ def explode_moves(spark, sf_dir):
     )
 
 
-def _built(spark: SparkSession, sf_dir: str, slack_days: int) -> DataFrame:
+def _built(spark: SparkSession, sf_dir: str, slack_days: int, positions: DataFrame | None = None) -> DataFrame:
     return expand.build_move_events(
-        _exports(spark, sf_dir), _starts(spark, sf_dir), _ends(spark, sf_dir),
-        slack_days=slack_days, expand=expand.token_plies,
+        _exports(spark, sf_dir), _starts(spark, sf_dir), _ends(spark, sf_dir), slack_days=slack_days, positions=positions
     )
 
 
 @query
 def build_move_events(spark, sf_dir):
-    return _built(spark, sf_dir, 0)
+    return _built(spark, sf_dir, 0, fx.export_positions(spark, sf_dir))
 
 
 @query
@@ -306,15 +305,16 @@ def new_players(spark, sf_dir):
 
 @query
 def replay(spark, sf_dir):
-    games = fx.knight_games(spark, sf_dir).drop("live_moves")
-    plies = replay_job.explode_replayed(replay_job.replay_games(games))
-    return plies.select("game_id", "move_number", "move", "fen", "whose_moved", "is_check", "is_capture", "truncated")
+    """Movetext joined to its positions; every seventh game has a token without one."""
+    games = fx.knight_games(spark, sf_dir)
+    known = fx.knight_positions(games).where("cast(game_id as long) % 7 <> 0 OR move_number <= 8")
+    return positions.positioned_plies(games.select("game_id", "moves"), known)
 
 
 @query
 def live_board(spark, sf_dir):
-    states = fx.knight_games(spark, sf_dir).select("game_id", F.col("live_moves").alias("moves"))
-    return replay_job.live_board(states)
+    games = fx.knight_games(spark, sf_dir)
+    return positions.live_board(games.select("game_id", F.col("live_moves").alias("moves")), fx.knight_positions(games))
 
 
 # ---------------------------------------------------------------------------- streams
@@ -333,14 +333,38 @@ def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> str:
+    """The landing tables of the starts, good and broken ones, in two files and so in two micro-batches."""
+    root = scratch_path(spark, "topics")
+    for messages in (fx.start_messages(spark, sf_dir), fx.broken_messages(spark, sf_dir)):
+        messages.write.mode("append").text(f"{root}/in/game_start")
+    source = landing.TopicSource("text", f"{root}/in", {"maxFilesPerTrigger": "1"})
+    land.land(spark, source, "game_start", f"{root}/out", f"{root}/checkpoints").awaitTermination()
+    return f"{root}/out"
+
+
 @query
 def land_events(spark, sf_dir):
-    root = scratch_path(spark, "topics")
-    fx.start_messages(spark, sf_dir).write.text(f"{root}/in/game_start")
-    source = landing.TopicSource("text", f"{root}/in")
-    for running in land.land(spark, source, "game_start", f"{root}/out", f"{root}/checkpoints"):
-        running.awaitTermination()
-    return landing.read_landing(spark, f"{root}/out", "game_start").drop("ingested_at")
+    return landing.read_landing(spark, _landed(spark, sf_dir), "game_start").drop("ingested_at")
+
+
+@query
+def land_quarantine(spark, sf_dir):
+    return landing.read_quarantine(spark, _landed(spark, sf_dir), "game_start").select("value")
+
+
+@query
+def land_counts(spark, sf_dir):
+    """What the batches report, next to what the tables hold."""
+    root = _landed(spark, sf_dir)
+    reported = landing.read_batches(spark, root, "game_start").agg(*[F.sum(c).alias(c) for c in ("messages", "landed", "quarantined")])
+    held = landing.read_landing(spark, root, "game_start").agg(F.count("*").alias("n"), F.lit("landed").alias("kind"))
+    kept = landing.read_quarantine(spark, root, "game_start").agg(F.count("*").alias("n"), F.lit("quarantined").alias("kind"))
+    told = reported.select(F.inline(F.array(
+        F.struct(F.col("landed").alias("reported"), F.lit("landed").alias("kind"), "messages"),
+        F.struct(F.col("quarantined").alias("reported"), F.lit("quarantined").alias("kind"), "messages"),
+    )))
+    return told.join(held.unionByName(kept), "kind").select("kind", "messages", "reported", F.col("n").alias("held"))
 
 
 @query
@@ -541,7 +565,7 @@ def rating_change(spark, sf_dir):
 @query
 def backfill_union(spark, sf_dir):
     history = dumps.backfill_games(_exports(spark, sf_dir))
-    return dumps.backfill_union(_built(spark, sf_dir, 0), history, expand.token_plies).select(
+    return dumps.backfill_union(_built(spark, sf_dir, 0), history).select(
         "game_id", "move_number", "move", "white_id", "white_rating", "winner", "date", "opening_ply",
         "white_rating_diff",
     )

@@ -233,6 +233,11 @@ cte("starts", """SELECT CAST(o_orderkey AS VARCHAR) AS game_id,
 FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 5 = 0)""")
 oracle("decode_starts", "SELECT * FROM starts", "starts")
 oracle("land_events", "SELECT * FROM starts", "starts")
+cte("broken", """SELECT CASE event_id % 3 WHEN 0 THEN concat('not json ', event_id) WHEN 1 THEN concat('{"game_id": "', event_id, '"}')
+  ELSE concat('{"timestamp": "2026-01-01T00:00:00Z", "n": ', event_id, '}') END AS value FROM events""")
+oracle("land_quarantine", "SELECT value FROM broken", "broken")
+oracle("land_counts", """SELECT kind, (SELECT count(*) FROM starts) + (SELECT count(*) FROM broken) AS messages, n AS reported, n AS held
+FROM (SELECT 'landed' AS kind, count(*) AS n FROM starts UNION ALL SELECT 'quarantined', count(*) FROM broken)""", "starts", "broken")
 oracle("event_date", """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM orders
 WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 oracle("decode_props", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events")
@@ -260,17 +265,22 @@ cte("exp", """SELECT CAST(o_orderkey AS VARCHAR) AS game_id, move_number, CAST(l
   CAST(300 AS INT) AS clock_initial, CAST(o_orderkey % 3 AS INT) AS clock_increment,
   CASE WHEN o_orderkey % 2 = 0 THEN 'blitz' ELSE 'rapid' END AS speed, o_orderkey, o_orderstatus,
   CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS date, o_custkey, o_totalprice,
-  o_orderdate, count(*) OVER (PARTITION BY o_orderkey) AS plies FROM tok""", "tok")
+  o_orderdate, l_partkey, count(*) OVER (PARTITION BY o_orderkey) AS plies FROM tok""", "tok")
 oracle("explode_moves", """SELECT game_id, move_number, move, whose_moved, clock_remaining, opening_eco, clock_increment
 FROM exp""", "exp")
-BUILT = """SELECT e.game_id, move_number, move, fen, whose_moved, clock_remaining, opening_eco, opening_name, clock_initial,
-  clock_increment, e.speed, e.speed AS perf, 'standard' AS variant, white_id, white_rating, white_title, black_id,
+def _built(move: str, fen: str, truncated: str) -> str:
+    return f"""SELECT e.game_id, move_number, {move} AS move, {fen} AS fen, whose_moved, clock_remaining, opening_eco, opening_name,
+  clock_initial, clock_increment, e.speed, e.speed AS perf, 'standard' AS variant, white_id, white_rating, white_title, black_id,
   black_rating, black_title, tournament_id,
   CASE WHEN o_orderstatus = 'F' THEN 'white' WHEN o_orderstatus = 'O' THEN 'black' END AS winner,
-  CASE WHEN o_orderstatus = 'P' THEN 'draw' ELSE 'mate' END AS end_status, e.date
+  CASE WHEN o_orderstatus = 'P' THEN 'draw' ELSE 'mate' END AS end_status, e.date,
+  FALSE AS is_check, FALSE AS is_capture, {truncated} AS truncated
 FROM exp e JOIN (SELECT DISTINCT * FROM starts) s ON s.game_id = e.game_id"""
-oracle("build_move_events", BUILT + " WHERE o_orderkey % 3 <> 0", "exp", "starts")
-oracle("build_move_events_midnight", BUILT, "exp", "starts")
+
+
+oracle("build_move_events", _built("concat('u', move)", "CAST(l_partkey AS VARCHAR)", "o_orderkey % 7 = 0 AND plies > 3")
+       + " WHERE o_orderkey % 3 <> 0 AND NOT (o_orderkey % 7 = 0 AND move_number > 3)", "exp", "starts")
+oracle("build_move_events_midnight", _built("move", "fen", "FALSE"), "exp", "starts")
 oracle("scan_partition", "SELECT date, count(*) AS starts, count(DISTINCT game_id) AS games FROM starts GROUP BY date", "starts")
 oracle("publish_roundtrip", "SELECT * EXCLUDE (gid, date), concat(substr(date, 1, 7), '-01') AS date FROM ev", "ev")
 oracle("export_requests", """SELECT CAST(o_orderkey AS VARCHAR) AS game_id, TRUE AS fits FROM orders

@@ -33,7 +33,7 @@ def local_session(app: str = "plylake", cores: str = "8", partitions: int = 8) -
 def ship_package(spark: SparkSession) -> None:
     """Give the Python workers this package, once per Spark application.
 
-    The replay job and the state function run there; without it they find the package only where the
+    Functions over Arrow batches and the state function run there; without it they find the package only where the
     workers' own path has it.
     """
     context = spark.sparkContext

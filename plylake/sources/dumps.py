@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plylake.functions.columns import blank_to_null, position_key
 from plylake.operators.events import parsed_rows
-from plylake.operators.expand import latest, replayed_plies
+from plylake.operators.expand import latest, token_plies
 from plylake.schemas import MOVE_EVENTS
 
 _SIDE = "struct<user: struct<id: string, title: string>, rating: int, ratingDiff: int>"
@@ -46,13 +46,13 @@ def backfill_games(exports: DataFrame) -> DataFrame:
     )
 
 
-def history_events(games: DataFrame, expand: Callable[[DataFrame], DataFrame] = replayed_plies) -> DataFrame:
+def history_events(games: DataFrame, expand: Callable[[DataFrame], DataFrame] = token_plies) -> DataFrame:
     """Move events of history games, in the fact's columns plus those only a backfill has."""
     extra = [c for c in BACKFILL_ONLY if c in games.columns]
     return expand(games).select(*MOVE_EVENTS.fieldNames(), *extra)
 
 
-def backfill_union(events: DataFrame, games: DataFrame, expand: Callable[[DataFrame], DataFrame] = replayed_plies) -> DataFrame:
+def backfill_union(events: DataFrame, games: DataFrame, expand: Callable[[DataFrame], DataFrame] = token_plies) -> DataFrame:
     """The fact plus the history games it does not hold yet; the check is made at game grain."""
     held = events.where(F.col("move_number") == 1).select("game_id")
     missing = games.join(held, "game_id", "left_anti")

@@ -39,13 +39,24 @@ def read_landing(
     spark: SparkSession, root: str, topic: str, date: str | None = None, slack_days: int = 0
 ) -> DataFrame:
     """A landing table; ``date`` prunes to the day's partition and ``slack_days`` on each side."""
-    df = spark.read.schema(LANDED[topic]).parquet(f"{root}/{topic}")
+    # the batch partitions of the landing job are no column of the table
+    df = spark.read.schema(LANDED[topic]).parquet(f"{root}/{topic}").select(*LANDED[topic].fieldNames())
     if date is None:
         return df
     day = F.to_date(F.lit(date))
     return df.where(F.col("date").between(F.date_sub(day, slack_days), F.date_add(day, slack_days)))
 
 
+def read_quarantine(spark: SparkSession, root: str, topic: str) -> DataFrame:
+    """What could not be landed: the message and when it came."""
+    return spark.read.schema("value string, ingested_at timestamp").parquet(f"{root}/_quarantine/{topic}").select("value", "ingested_at")
+
+
+def read_batches(spark: SparkSession, root: str, topic: str) -> DataFrame:
+    """Numbers of messages, landed and quarantined rows of every micro-batch."""
+    return spark.read.schema("messages long, landed long, quarantined long, batch string").parquet(f"{root}/_batches/{topic}")
+
+
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
     """The published fact. The explicit schema keeps ``date`` text, which inference would turn to DATE."""
     return spark.read.schema(MOVE_EVENTS).parquet(path)

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plylake.operators import events as e, expand
-from plylake.operators.replay import explode_replayed, live_board, replay_games
+from plylake.operators.positions import live_board, positioned_plies
 from plylake.sources import dumps, landing, sinks
-from plylake.streaming.land import land_all
+from plylake.streaming.land import land, land_all
 
 
 def messages(spark, *items):
@@ -51,11 +51,20 @@ def test_bad_nested_part_keeps_the_row(spark):
     assert got["g2"].clocks is None and got["g2"].date == date(2026, 1, 1)
 
 
+FIRST = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+SECOND = "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq - 0 1"
+
+
+def places(spark, *rows):
+    return spark.createDataFrame(list(rows), "game_id string, move_number int, uci string, fen string")
+
+
 def test_fact_rows(spark):
-    got = build(spark, [export()], [start()], [end()], date="2026-01-01").orderBy("move_number").collect()
+    known = places(spark, ("g1", 1, "e2e4", FIRST), ("g1", 2, "e7e5", SECOND), ("g1", 3, "g1f3", "third"), ("g1", 4, None, "after"))
+    got = build(spark, [export()], [start()], [end()], date="2026-01-01", positions=known).orderBy("move_number").collect()
     assert [(r.move_number, r.move, r.whose_moved, r.clock_remaining) for r in got] == [
         (1, "e2e4", "white", 300), (2, "e7e5", "black", 299), (3, "g1f3", "white", None)]
-    assert got[1].fen == "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq - 0 1"
+    assert got[1].fen == SECOND and not any(r.truncated for r in got)
     assert (got[0].opening_eco, got[0].clock_initial, got[0].winner, got[0].date, got[0].black_rating) == (
         "C40", 300, "white", "2026-01-01", None)
 
@@ -80,8 +89,9 @@ def test_midnight_needs_slack(spark, date_):
 
 def test_blank_moves_and_illegal_tail(spark):
     games = [export(moves="  "), export(gid="g2", moves="e4 e5 Ke3 d6"), export(gid="g3", moves=None)]
-    got = build(spark, games, [start(g) for g in ("g1", "g2", "g3")], [end(g) for g in ("g1", "g2", "g3")])
-    assert {(r.game_id, r.move) for r in got.collect()} == {("g2", "e2e4"), ("g2", "e7e5")}
+    known = places(spark, ("g1", 1, "x", "y"), ("g2", 1, "e2e4", FIRST), ("g2", 2, "e7e5", SECOND))
+    got = build(spark, games, [start(g) for g in ("g1", "g2", "g3")], [end(g) for g in ("g1", "g2", "g3")], positions=known)
+    assert {(r.game_id, r.move, r.truncated) for r in got.collect()} == {("g2", "e2e4", True), ("g2", "e7e5", True)}
 
 
 def test_publish_replaces_only_its_dates(spark, tmp_path):
@@ -116,6 +126,41 @@ def test_land_all_is_exactly_once_and_incremental(spark, tmp_path):
     assert fact.count() == 3
 
 
+def test_a_batch_that_is_handled_again_adds_nothing(spark, tmp_path):
+    """The commit of the last batch is lost, as when the driver dies after writing: the batch runs again."""
+    folder = tmp_path / "in" / "game_start"
+    folder.mkdir(parents=True)
+    source = landing.TopicSource("text", str(tmp_path / "in"), {"maxFilesPerTrigger": "1"})
+    out, checkpoints = str(tmp_path / "out"), tmp_path / "checkpoints"
+    for n in range(3):
+        lines = [json.dumps(start(f"g{n}")), json.dumps(start(f"h{n}", f"2026-01-0{n + 2}T00:00:00Z")), f"bad {n}"]
+        (folder / f"{n}.json").write_text("\n".join(lines))
+        land(spark, source, "game_start", out, str(checkpoints)).awaitTermination()
+
+    def held():
+        rows = landing.read_landing(spark, out, "game_start").collect()
+        counts = landing.read_batches(spark, out, "game_start").collect()
+        return (sorted((r.game_id, str(r.date)) for r in rows), sorted(r.value for r in landing.read_quarantine(spark, out, "game_start").collect()),
+                sorted((r.messages, r.landed, r.quarantined) for r in counts))
+
+    before = held()
+    assert len(before[0]) == 6 and before[1] == ["bad 0", "bad 1", "bad 2"] and before[2] == [(3, 2, 1)] * 3
+    for name in ("2", ".2.crc"):
+        (checkpoints / "game_start" / "commits" / name).unlink(missing_ok=True)
+    land(spark, source, "game_start", out, str(checkpoints)).awaitTermination()
+    assert held() == before
+    land(spark, source, "game_start", out, str(tmp_path / "other")).awaitTermination()  # another query lands for itself
+    assert len(held()[0]) == 12
+
+
+def test_a_landing_query_reads_its_topic_once(spark, tmp_path):
+    (tmp_path / "in" / "game_start").mkdir(parents=True)
+    (tmp_path / "in" / "game_start" / "1.json").write_text(json.dumps(start()))
+    query = land(spark, landing.TopicSource("text", str(tmp_path / "in")), "game_start", str(tmp_path / "out"), str(tmp_path / "ck"))
+    query.awaitTermination()
+    assert len(query.lastProgress["sources"]) == 1 and query.lastProgress["sources"][0]["numInputRows"] == 1
+
+
 def test_route_events(spark):
     side = {"userId": "", "user": {"id": "u1", "title": "GM"}, "id": "i1", "rating": 1500, "title": ""}
     base = {"id": "g1", "timestamp": "2026-01-01T00:00:00Z", "players": {"white": side, "black": {"id": "i2"}}}
@@ -169,52 +214,28 @@ def test_csv_download(spark, tmp_path):
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "csv"), header=True).collect()] == [("1", "a,b")]
 
 
-GAMES = {
-    "castle": ("e4 e5 Nf3 Nc6 Bc4 Bc5 O-O Nf6", "e8", "r1bqk1nr/pppp1ppp/2n5/2b1p3/2B1P3/5N2/PPPP1PPP/RNBQ1RK1 b kq - 5 4"),
-    "long": ("d4 d5 Nc3 Nc6 Bf4 Bf5 Qd2 Qd7 O-O-O O-O-O a3", "x", "2kr1bnr/pppqpppp/2n5/3p1b2/3P1B2/2N5/PPPQPPPP/2KR1BNR w - - 8 6"),
-    "passant": ("e4 a6 e5 d5 exd6", "x", "rnbqkbnr/1pp1pppp/p7/3pP3/8/8/PPPP1PPP/RNBQKBNR w KQkq d6 0 3"),
-    "no_passant_square": ("e4 e5", "x", "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq - 0 1"),
-}
-
-
-@pytest.mark.parametrize("name", GAMES)
-def test_position_before_last_move(spark, name):
-    moves, _, fen = GAMES[name]
-    games = spark.createDataFrame([(name, moves)], "game_id string, moves string")
-    last = explode_replayed(replay_games(games)).orderBy(F.desc("move_number")).first()
-    assert (last.move_number, last.fen, last.truncated) == (len(moves.split()), fen, False)
-
-
-def test_replay_details(spark):
+def test_positions_end_a_game(spark):
+    """A gap, a missing game, repeated rows, more positions than moves, and flags from the tokens."""
     games = spark.createDataFrame(
-        [("promo", "h4 g5 hxg5 h6 gxh6 Nf6 h7 Ng8 hxg8=Q"), ("pinned", "e4 e5 Nc3 Bb4 d3 Bxc3+ bxc3 Nf6 Bg5 h6 Bxf6 Qxf6"),
-         ("choice", "Nf3 d5 d3 d4 Nbd2 e5"), ("vague", "Nf3 d5 d3 d4 Nd2"), ("mate", "f3 e5 g4 Qh4# Kf2"),
-         ("castled_uci", "e4 e5 Nf3 Nf6 Be2 Be7 O-O O-O")], "game_id string, moves string")
-    got = explode_replayed(replay_games(games)).collect()
-    last = {}
-    for r in sorted(got, key=lambda r: r.move_number):
-        last[r.game_id] = r
-    assert (last["promo"].move, last["promo"].is_capture) == ("h7g8q", True)
-    assert last["choice"].truncated is False and last["vague"].truncated is True
-    assert last["vague"].move_number == 4
-    assert (last["mate"].move, last["mate"].is_check, last["mate"].truncated) == ("d8h4", True, True)
-    assert last["castled_uci"].move == "e8g8"
-    assert [r.is_check for r in got if r.game_id == "pinned" and r.move_number == 6] == [True]
-
-
-def test_live_board_reads_coordinates(spark):
-    states = spark.createDataFrame(
-        [("start", ""), ("none", None), ("castled", "e2e4 e7e5 g1f3 g8f6 f1e2 f8e7 e1g1"), ("onto_rook", "e2e4 e7e5 g1f3 g8f6 f1e2 f8e7 e1h1"),
-         ("mate", "f2f3 e7e5 g2g4 d8h4"), ("promo", "h2h4 g7g5 h4g5 h7h6 g5h6 g8f6 h6h7 f6g8 h7g8q"), ("odd", "e2e4 e4e5")],
+        [("all", "e4 d5 exd5 Qxd5+"), ("gap", "e4 d5 exd5"), ("none", "e4"), ("blank", ""), ("null", None), ("mate", "f3 e5 g4 Qh4#!?")],
         "game_id string, moves string")
-    got = {r.game_id: (r.move, r.fen, r.is_check) for r in live_board(states).collect()}
-    first = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
-    castled = ("e1g1", "rnbqk2r/ppppbppp/5n2/4p3/4P3/5N2/PPPPBPPP/RNBQ1RK1 b kq - 5 4", False)
-    assert got["start"] == got["none"] == (None, first, False)
-    assert got["castled"] == got["onto_rook"] == castled
-    assert got["mate"] == ("d8h4", "rnb1kbnr/pppp1ppp/8/4p3/6Pq/5P2/PPPPP2P/RNBQKBNR w KQkq - 1 3", True)
-    assert got["promo"] == ("h7g8q", "rnbqkbQr/pppppp2/8/8/8/8/PPPPPPP1/RNBQKBNR b KQkq - 0 5", False)
-    assert got["odd"][0] == "e2e4"
+    rows = [("all", n, f"m{n}", f"p{n}") for n in range(1, 6)] + [("all", 2, "m2", "p2"), ("blank", 1, None, "p1"), ("other", 1, "x", "y")]
+    rows += [("gap", 1, "m1", "p1"), ("gap", 3, "m3", "p3")] + [("mate", n, f"m{n}", None) for n in range(1, 5)]
+    got = positioned_plies(games, places(spark, *rows)).collect()
+    by = {g: sorted((r.move_number, r.move, r.fen, r.whose_moved) for r in got if r.game_id == g) for g in {r.game_id for r in got}}
+    assert set(by) == {"all", "gap", "mate"} and by["gap"] == [(1, "m1", "p1", "white")]
+    assert by["all"] == [(n, f"m{n}", f"p{n}", "white" if n % 2 else "black") for n in range(1, 5)]
+    assert {(r.game_id, r.truncated) for r in got} == {("all", False), ("gap", True), ("mate", False)}
+    flags = {(r.game_id, r.move_number): (r.is_check, r.is_capture) for r in got}
+    assert [flags["all", n] for n in range(1, 5)] == [(False, False), (False, False), (False, True), (True, True)]
+    assert flags["mate", 4] == (True, False)
+
+
+def test_live_board_finds_the_position_after_the_last_move(spark):
+    states = spark.createDataFrame([("g", "e2e4 e7e5"), ("g", ""), ("g", None), ("g", "a b c d"), ("h", "e2e4")], "game_id string, moves string")
+    known = places(spark, ("g", 1, "e2e4", FIRST), ("g", 2, "e7e5", SECOND), ("g", 3, None, "third")).selectExpr("*", "move_number = 3 AS in_check")
+    got = sorted((r.game_id, r.move, r.fen, r.is_check) for r in live_board(states, known).na.fill("-").collect())
+    assert got == [("g", "-", FIRST, False), ("g", "-", FIRST, False), ("g", "d", "-", False), ("g", "e7e5", "third", True), ("h", "e2e4", "-", False)]
 
 
 def test_pgn_reader(spark, tmp_path):
@@ -234,7 +255,7 @@ def test_pgn_reader(spark, tmp_path):
         "blitz", 180, 2, "white", "normal", "2026-01-31")
     assert (b.moves, b.winner, b.speed, b.clock_initial, b.date) == ("d4", None, "correspondence", None, "2026-02-01")
     rows = dumps.history_events(dumps.read_pgn(spark, str(tmp_path / "a.pgn"))).where("game_id = 'abcd1234'").orderBy("move_number")
-    assert [(r.move, r.clock_remaining) for r in rows.collect()] == [("e2e4", 18000), ("e7e5", 17850), ("g1f3", None)]
+    assert [(r.move, r.clock_remaining) for r in rows.collect()] == [("e4", 18000), ("e5", 17850), ("Nf3", None)]
 
 
 def test_eval_dump(spark, tmp_path):
