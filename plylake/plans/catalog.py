@@ -290,6 +290,35 @@ def publish_roundtrip(spark, sf_dir):
     return landing.read_fact(spark, path)
 
 
+@query
+def published_games(spark, sf_dir):
+    """The game table after every January was replaced in the fact, by games that White won."""
+    fact_path, games_path = scratch_path(spark, "fact"), scratch_path(spark, "games")
+    fact = fx.move_events(spark, sf_dir).withColumn("date", F.concat(F.substring("date", 1, 7), F.lit("-01")))
+    sinks.publish(fact, fact_path)
+    sinks.publish_games(landing.read_fact(spark, fact_path), games_path)
+    january = fact.where("substr(date, 6, 2) = '01'").withColumn("winner", F.lit("white"))
+    sinks.publish(january, fact_path)
+    dates = [r.date for r in january.select("date").distinct().collect()]  # one for each January
+    sinks.publish_games(landing.read_fact(spark, fact_path), games_path, dates)
+    return landing.read_games(spark, games_path)
+
+
+@query
+def read_exports(spark, sf_dir):
+    """Newline-JSON exports of every game, with lines that are no export among them."""
+    path = scratch_path(spark, "exports")
+    fx.export_messages(spark, sf_dir).unionByName(fx.broken_messages(spark, sf_dir)).write.text(path)
+    return landing.read_exports(spark, path)[0].select("id", "moves", "clocks", "status", F.col("opening.eco").alias("eco"))
+
+
+@query
+def csv_roundtrip(spark, sf_dir):
+    path, overview = scratch_path(spark, "csv"), stats.player_overview(_games(spark, sf_dir))
+    sinks.write_csv(overview, path)
+    return spark.read.csv(path, header=True, schema=overview.schema)
+
+
 @query
 def export_requests(spark, sf_dir):
     """Ended games without an export, as request lists; compared by the ids they hold."""

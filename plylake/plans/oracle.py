@@ -283,6 +283,13 @@ oracle("build_move_events", _built("concat('u', move)", "CAST(l_partkey AS VARCH
 oracle("build_move_events_midnight", _built("move", "fen", "FALSE"), "exp", "starts")
 oracle("scan_partition", "SELECT date, count(*) AS starts, count(DISTINCT game_id) AS games FROM starts GROUP BY date", "starts")
 oracle("publish_roundtrip", "SELECT * EXCLUDE (gid, date), concat(substr(date, 1, 7), '-01') AS date FROM ev", "ev")
+oracle("published_games", """SELECT * EXCLUDE (gid, date, winner, move_number, move, fen, whose_moved, clock_remaining), concat(substr(date, 1, 7), '-01') AS date,
+  CASE WHEN substr(date, 6, 2) = '01' THEN 'white' ELSE winner END AS winner FROM g""", "g")
+oracle("read_exports", """SELECT game_id AS id, string_agg(move, ' ' ORDER BY move_number) AS moves,
+  list(clock_remaining ORDER BY move_number) FILTER (move_number <= 5) AS clocks,
+  CASE WHEN any_value(o_orderstatus) = 'P' THEN 'draw' ELSE 'mate' END AS status, any_value(opening_eco) AS eco
+FROM exp GROUP BY game_id""", "exp")
+oracle("csv_roundtrip", "SELECT * FROM overview", "overview")
 oracle("export_requests", """SELECT CAST(o_orderkey AS VARCHAR) AS game_id, TRUE AS fits FROM orders
 WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 cte("seen", "SELECT DISTINCT white_id AS player_id FROM starts UNION SELECT DISTINCT black_id FROM starts", "starts")

@@ -6,18 +6,24 @@ import inspect
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plylake.functions.columns import position_key
 from plylake.operators import evals as ev, stats
 from plylake.operators.games import games_from_events, games_of
 
 Tool = Callable[..., DataFrame]
 
 
-def tools(events: DataFrame, evals: DataFrame) -> dict[str, Tool]:
-    """The reports a caller may run by name, bound to a fact table and its evaluations."""
+def tools(events: DataFrame, evals: DataFrame, game_table: DataFrame | None = None) -> dict[str, Tool]:
+    """The reports a caller may run by name, bound to a fact table and its evaluations.
+
+    With a published game table (``sinks.publish_games``) the reports at game grain do not read the fact.
+    """
 
     def games(player_id: str) -> DataFrame:
+        if game_table is not None:
+            return games_of(game_table, player_id)
         # cut to the player before repeats are removed, so that the filter reaches the scan
         return games_from_events(games_of(events, player_id))
 
@@ -44,7 +50,12 @@ def tools(events: DataFrame, evals: DataFrame) -> dict[str, Tool]:
 
     def analyze_game(game_id: str, semantics: str = stats.REFERENCE) -> DataFrame:
         one_game = events.where(events.game_id == game_id)
-        judged = ev.judge_moves(ev.attach_evals(one_game, evals, hot_keys=0), semantics)
+        if one_game.isEmpty():
+            raise LookupError(f"no game {game_id!r}")
+        # the game's own positions, no more than it has plies, cut the evaluations before anything else
+        here = one_game.select(position_key(F.col("fen")).alias("_here")).distinct()
+        wanted = evals.join(F.broadcast(here), position_key(evals.fen) == F.col("_here"), "left_semi")
+        judged = ev.judge_moves(ev.attach_evals(one_game, F.broadcast(wanted), hot_keys=0), semantics)
         return ev.judgement_columns(judged).orderBy("move_number")
 
     found = [

@@ -50,6 +50,10 @@ MOVE_EVENTS = T.StructType(
     )
 )
 
+#: Columns of a ply; the others are those of its game.
+PLY_COLUMNS = ("move_number", "move", "fen", "whose_moved", "clock_remaining")
+GAMES = T.StructType([f for f in MOVE_EVENTS.fields if f.name not in PLY_COLUMNS])
+
 EVALS = _struct(("fen", S), ("cp", I), ("mate", I), ("best_move", S))
 
 _USER = _struct(("id", S), ("title", S))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from plylake.schemas import EVALS, GAME_EXPORT, LANDED, MOVE_EVENTS
+from plylake.schemas import EVALS, GAMES, GAME_EXPORT, LANDED, MOVE_EVENTS
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,11 @@ def read_fact(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MOVE_EVENTS).parquet(path)
 
 
+def read_games(spark: SparkSession, path: str) -> DataFrame:
+    """The published game table, which reports at game grain read instead of the fact."""
+    return spark.read.schema(GAMES).parquet(path)
+
+
 def read_evals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVALS).parquet(path)
 

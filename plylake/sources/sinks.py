@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
 
-from plylake.schemas import MOVE_EVENTS
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from plylake.operators.games import games_from_events
+from plylake.schemas import GAMES, MOVE_EVENTS
 
 
 def publish(df: DataFrame, path: str) -> None:
@@ -23,6 +26,16 @@ def publish(df: DataFrame, path: str) -> None:
     )
 
 
+def publish_games(fact: DataFrame, path: str, dates: Sequence[str] | None = None) -> None:
+    """Keeps the game table next to the fact: one row per game, by date.
+
+    After ``dates`` of the fact were replaced, only those are read and replaced here; None takes all.  A date that has no
+    game any more keeps its old games, as dynamic overwrite knows only dates that have rows.
+    """
+    changed = fact if dates is None else fact.where(F.col("date").isin(list(dates)))
+    publish(games_from_events(changed).select(*GAMES.fieldNames()), path)
+
+
 def publish_table(df: DataFrame, name: str) -> None:
     """The same for a catalog table with row-level partition overwrite."""
     df.writeTo(name).overwritePartitions()

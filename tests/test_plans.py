@@ -11,7 +11,7 @@ from plylake import fixtures as fx
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas")
-RUNS_A_JOB = {"scan_partition", "publish_roundtrip", "land_events", "land_quarantine", "land_counts", "live_features", "new_games", "discover_players",
+RUNS_A_JOB = {"scan_partition", "publish_roundtrip", "published_games", "read_exports", "csv_roundtrip", "land_events", "land_quarantine", "land_counts", "live_features", "new_games", "discover_players",
               "read_pgn", "similar_positions", "similar_positions_all"}
 
 
@@ -60,3 +60,21 @@ def test_explode_is_above_the_joins(spark):
     explode = next(i for i, line in enumerate(lines) if "posexplode" in line)
     join = next(i for i, line in enumerate(lines) if "Join" in line)
     assert explode < join
+
+
+def test_reports_at_game_grain_do_not_read_the_fact(spark, fact, tmp_path):
+    sinks.publish_games(fact, str(tmp_path / "games"))
+    registry = tools.tools(fact, fx.evals(spark, SF_DIR), landing.read_games(spark, str(tmp_path / "games")))
+    plain = tools.tools(fact, fx.evals(spark, SF_DIR))
+    for name in ("get_player_overview", "get_opening_stats", "get_performance_by_color", "get_performance_vs_rating", "get_recent_games"):
+        report = tools.run_tool(registry, name, player_id="7")
+        assert "/games" in plan(report) and "/fact" not in plan(report), name
+        assert sorted(map(str, report.collect())) == sorted(map(str, tools.run_tool(plain, name, player_id="7").collect()))
+
+
+def test_one_game_does_not_shuffle_the_evaluations(spark, fact):
+    registry = tools.tools(fact, fx.evals(spark, SF_DIR))
+    text = plan(tools.run_tool(registry, "analyze_game", game_id="3"))
+    assert "SortMergeJoin" not in text and "LeftSemi" in text
+    with pytest.raises(LookupError):
+        tools.run_tool(registry, "analyze_game", game_id="no such game")
