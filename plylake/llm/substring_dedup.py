@@ -9,7 +9,9 @@ Two kinds of units are looked at, both over whole texts:
 * Windows of ``window`` words that start at anchors chosen by content: the least shingle hash of each ``stride`` places in a
   row.  A passage of ``window + stride`` words or more always holds an anchored window, wherever it stands in a paragraph.
   Windows repeat when their words are the same.  ``whole_repeats`` extends each repeated stretch word by word to the ends
-  of its match, so such a passage is reported whole.
+  of its match, so such a passage is reported whole.  Windows serve what the paragraphs leave: one that lies
+  ``stride`` words or more inside a span that they already remove is not looked at, neither as a repeat nor as the
+  occurrence that stays.  Keys are counted first; a window is kept only if its key is there more than once.
 
 Units that repeat form components; of each component the occurrence in the document with the smallest id, then the
 earliest, stays.  The others' spans are merged per document: that is what to remove.
@@ -95,7 +97,12 @@ def windows_of(hashes: np.ndarray, window: int, stride: int) -> tuple[np.ndarray
     words = hashes[at[:, None] + np.arange(window)]
     ordered = np.sort(words, axis=1)
     varied = (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1) >= 3
-    return at[varied], mix((words[varied] * odd_numbers(window, 21)).sum(axis=1, dtype=U))
+    return at[varied], _window_keys(words[varied], window)
+
+
+def _window_keys(words: np.ndarray, window: int) -> np.ndarray:
+    """Keys of rows of ``window`` word hashes."""
+    return mix((words * odd_numbers(window, 21)).sum(axis=1, dtype=U))
 
 
 def _run_keys(hashes: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
@@ -107,23 +114,33 @@ def _run_keys(hashes: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
     return mix(np.add.reduceat(mix(hashes[np.repeat(starts, sizes) + places]) * order[places], ends - sizes) + sizes.astype(U))
 
 
+#: Windows (kind 0) come packed, a row for each document: ``at`` holds their starts, ``keys`` their keys.
+UNITS = "kind int, doc_id long, start int, words int, key long, bands array<long>, sig binary, at binary, keys binary"
+
+
 def _units(batches: Iterable[pa.RecordBatch], window: int, stride: int, paragraph: int, joined_too: bool) -> Iterator[pa.RecordBatch]:
-    """(kind, doc_id, start, words, key, bands, sig): windows (kind 0), paragraphs (kind 1) and, on demand, shorter ones (kind 2)."""
+    """The windows (kind 0) of every document, its paragraphs (kind 1) and, on demand, shorter lines and runs (kind 2)."""
     drop_kept()
     maker = MinMax(PERMUTATIONS, ROWS)
+    names = ["kind", "doc_id", "start", "words", "key", "bands", "sig", "at", "keys"]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+
+    def made(**columns: object) -> pa.RecordBatch:
+        n = len(columns["kind"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[c]).cast(k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
+
     for batch in batches:
-        ids, firsts, keys, kind, sizes_of = [], [], [], [], []
+        packed: list[tuple[int, bytes, bytes]] = []
+        runs: list[tuple[int, int, int]] = []
+        keys: list[np.ndarray] = []
         rows: list[tuple[int, int, int]] = []
         shingles: list[np.ndarray] = []
         for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             lines = line_words(text.as_py())
             hashes = word_hashes([w for line in lines for w in line])
             at, key = windows_of(hashes, window, stride)
-            ids.append(np.full(len(at), name, np.int64))
-            firsts.append(at)
-            keys.append(key)
-            kind.append(np.zeros(len(at), np.int32))
-            sizes_of.append(np.full(len(at), window))
+            if len(at):
+                packed.append((name, at.astype("<i4").tobytes(), key.astype("<u8").tobytes()))
             if joined_too:
                 whole, short = joined_lines(lines, paragraph)
                 short = [(a, k) for a, k in short if len(set(hashes[a:a + k].tolist())) > 3]
@@ -135,18 +152,14 @@ def _units(batches: Iterable[pa.RecordBatch], window: int, stride: int, paragrap
                     rows.append((name, start, k))
                     shingles.append(shingle_hashes(hashes[start:start + k], SHINGLE))
             if short:
-                ids.append(np.full(len(short), name, np.int64))
-                firsts.append(np.array([a for a, _ in short]))
+                runs += [(name, a, k) for a, k in short]
                 keys.append(_run_keys(hashes, short))
-                kind.append(np.full(len(short), 2, np.int32))
-                sizes_of.append(np.array([k for _, k in short]))
-        names = ["kind", "doc_id", "start", "words", "key", "bands", "sig"]
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-        n = sum(map(len, ids))
-        if n:
-            plain = (np.concatenate(kind), np.concatenate(ids), np.concatenate(firsts), np.concatenate(sizes_of), np.concatenate(keys).view(np.int64))
-            columns = [pa.array(c).cast(k) for c, k in zip(plain, kinds)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names=names)
+        if packed:
+            of, starts, of_keys = zip(*packed)
+            yield made(kind=[0] * len(packed), doc_id=of, at=starts, keys=of_keys)
+        if runs:
+            of, starts, sizes = zip(*runs)
+            yield made(kind=[2] * len(runs), doc_id=of, start=starts, words=sizes, key=np.concatenate(keys).view(np.int64))
         if rows:
             sizes = np.array([len(s) for s in shingles])
             joined = np.concatenate(shingles)
@@ -155,11 +168,29 @@ def _units(batches: Iterable[pa.RecordBatch], window: int, stride: int, paragrap
             order = odd_numbers(int(sizes.max()), 31)
             places = np.arange(len(joined)) - np.repeat(starts, sizes)
             key = mix(np.add.reduceat(mix(joined) * order[places], starts)).view(np.int64)
-            columns = [
-                pa.array([1] * len(rows), kinds[0]), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds[1:4])), pa.array(key),
-                pa.array(maker.bands(sig).tolist(), kinds[5]), pa.array([s.tobytes() for s in maker.short(sig)], kinds[6]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            of, first, n = zip(*rows)
+            yield made(
+                kind=[1] * len(rows), doc_id=of, start=first, words=n, key=key,
+                bands=maker.bands(sig).tolist(), sig=[s.tobytes() for s in maker.short(sig)],
+            )
+
+
+def _open_windows(batches: Iterable[pa.RecordBatch], window: int, stride: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, key) of the packed windows that do not lie ``stride`` words inside one of the document's ``gone`` spans.
+
+    A match that reaches beyond a span needs the windows up to ``stride`` words inside of it: it may hold no other.
+    """
+    for batch in batches:
+        for name, at, keys, gone in zip(*(batch.column(c) for c in ("doc_id", "at", "keys", "gone"))):
+            start, key = np.frombuffer(at.as_py(), "<i4"), np.frombuffer(keys.as_py(), "<i8")
+            spans = sorted((g["a"], g["b"]) for g in gone.as_py() or [])
+            if spans:
+                begins, ends = np.array(spans).T
+                place = np.searchsorted(begins, start - stride, "right") - 1
+                there = (place < 0) | (start + window + stride > ends[np.maximum(place, 0)])
+                start, key = start[there], key[there]
+            columns = [pa.array(np.full(len(start), name.as_py(), np.int64)), pa.array(start), pa.array(key)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "key"])
 
 
 def _paragraph_components(paragraphs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -193,32 +224,57 @@ def repeats(docs: DataFrame, window: int = 30, stride: int = 20, paragraph: int
     Columns: doc_id, start_word, end_word (exclusive), n_words, keep_doc_id.  ``keep_doc_id`` is the document in which the
     passage (the first of several that were merged) stays; it may be the same document.
     """
-    return merged(_spans(docs, window, stride, paragraph, threshold, False)[2])
+    units = _stored_units(_texts(docs), window, stride, paragraph, False)
+    lines = _line_spans(_texts(docs), units, threshold)
+    return merged(lines.unionByName(_later(_repeated_windows(units, lines, window, stride), window).drop("key")))
 
 
 def whole_repeats(docs: DataFrame, window: int = 30, stride: int = 20, paragraph: int = 50, threshold: float = 0.8) -> DataFrame:
     """The spans to remove, in the columns of ``repeats``, with every passage extended to its whole match and short lines looked at too."""
-    texts, units, spans = _spans(docs, window, stride, paragraph, threshold, True)
-    spans = stored(spans, "repeat-spans")
-    return merged(spans.drop("kind", "key").unionByName(_ends(texts, units.where("kind = 0"), spans.where("kind = 0"), window, stride)))
+    texts = _texts(docs)
+    units = _stored_units(texts, window, stride, paragraph, True)
+    lines = _line_spans(texts, units, threshold)
+    again = _repeated_windows(units, lines, window, stride)
+    spans = stored(_later(again, window), "repeat-spans")
+    return merged(lines.unionByName(spans.drop("key")).unionByName(_ends(texts, again, spans, window, stride)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return id_and_text(docs).where("doc_id IS NOT NULL AND text <> ''")
+
+
+def _stored_units(texts: DataFrame, window: int, stride: int, paragraph: int, joined_too: bool) -> DataFrame:
+    return stored(texts.mapInArrow(lambda batches: _units(batches, window, stride, paragraph, joined_too), UNITS), "repeat-units")
 
 
-def _spans(docs: DataFrame, window: int, stride: int, paragraph: int, threshold: float, joined_too: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The texts, the units, and the spans (kind, key, doc_id, a, b, keep) of units that repeat an earlier one."""
-    texts = id_and_text(docs).where("doc_id IS NOT NULL AND text <> ''")
-    schema = "kind int, doc_id long, start int, words int, key long, bands array<long>, sig binary"
-    units = stored(texts.mapInArrow(lambda batches: _units(batches, window, stride, paragraph, joined_too), schema), "repeat-units")
+def _line_spans(texts: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """The spans (doc_id, a, b, keep) of paragraphs, short lines and runs that repeat an earlier one."""
     paragraphs = units.where("kind = 1")
     roots = _paragraph_components(paragraphs, texts, threshold)
     near = paragraphs.select("key", "doc_id", "start", "words").join(roots, "key", "left")
-    named = units.where("kind <> 1").select("kind", F.col("key").alias("root"), "doc_id", "start", "words").unionByName(
+    named = units.where("kind = 2").select("kind", F.col("key").alias("root"), "doc_id", "start", "words").unionByName(
         near.select(F.lit(1).alias("kind"), F.coalesce("root", "key").alias("root"), "doc_id", "start", "words")
     )
     keepers = named.groupBy("kind", "root").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.count("*").alias("n")).where("n > 1")
-    spans = named.join(keepers, ["kind", "root"]).where("doc_id <> keep.doc_id OR start <> keep.start").select(
-        "kind", F.col("root").alias("key"), "doc_id", F.col("start").alias("a"), (F.col("start") + F.col("words")).alias("b"), F.col("keep.doc_id").alias("keep")
+    spans = named.join(keepers, ["kind", "root"]).where("doc_id <> keep.doc_id OR start <> keep.start")
+    return stored(spans.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("words")).alias("b"), F.col("keep.doc_id").alias("keep")), "repeat-lines")
+
+
+def _repeated_windows(units: DataFrame, lines: DataFrame, window: int, stride: int) -> DataFrame:
+    """(key, doc_id, start) of the windows with a key that is there twice, of those that are not deep inside of ``lines``."""
+    gone = merged(lines).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias("gone"))
+    packed = units.where("kind = 0").select("doc_id", "at", "keys").join(gone, "doc_id", "left")
+    windows = stored(packed.mapInArrow(lambda batches: _open_windows(batches, window, stride), "doc_id long, start int, key long"), "repeat-open")
+    twice = windows.groupBy("key").count().where("count > 1").select("key")
+    return stored(windows.join(twice, "key"), "repeat-windows")
+
+
+def _later(windows: DataFrame, window: int) -> DataFrame:
+    """The spans (key, doc_id, a, b, keep) of windows that repeat an earlier one."""
+    keepers = windows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("keep"))
+    return windows.join(keepers, "key").where("doc_id <> keep.doc_id OR start <> keep.start").select(
+        "key", "doc_id", F.col("start").alias("a"), (F.col("start") + window).alias("b"), F.col("keep.doc_id").alias("keep")
     )
-    return texts, units, spans
 
 
 def _stretches(hashes: np.ndarray, at: np.ndarray, key: np.ndarray, window: int, most: int, side: int) -> tuple[np.ndarray, ...]:
@@ -254,8 +310,12 @@ def _ends(texts: DataFrame, windows: DataFrame, spans: DataFrame, window: int, s
         for batch in batches:
             for name, text, rows in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("at")):
                 hashes = word_hashes(text.as_py().encode().translate(LOWER).split())
-                own = dict(zip(*(x.tolist() for x in windows_of(hashes, window, stride))))
-                rows = [r for r in rows.as_py() if own.get(r["start"]) == r["key"] % (1 << 64)]  # rows that share an id have several texts
+                rows = [r for r in rows.as_py() if r["start"] + window <= len(hashes)]
+                if not rows:
+                    continue
+                key = np.array([r["key"] for r in rows], np.int64).view(U)
+                own = _window_keys(hashes[np.array([r["start"] for r in rows])[:, None] + np.arange(window)], window)
+                rows = [r for r, same in zip(rows, (own == key).tolist()) if same]  # rows that share an id have several texts
                 for side, part in enumerate(([r for r in rows if r["left"]], [r for r in rows if r["right"]])):
                     at, key = np.array([r["start"] for r in part], np.int64), np.array([r["key"] for r in part], np.int64).view(U)
                     if len(at):
