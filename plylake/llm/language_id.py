@@ -4,7 +4,14 @@ A text's subwords are the 2, 3 and 4 byte runs of its lower-cased UTF-8 that hav
 hashed to 2^15 buckets.  The text's vector is the mean of its subwords' embeddings; a linear softmax over it gives the
 languages.  Embeddings and softmax are trained by stochastic gradient descent in numpy, on the driver, over bucket
 counts of a bounded sample: ``per_lang`` documents of each language (smallest id hashes).  Every fourth of them is held back
-to fit the softmax's temperature and the score below which a document is rejected: ``miss`` of these documents at most.
+to fit the softmax's temperature.
+
+A document is rejected by either of two measures.  Its margin is the log-odds of the best language: a text between
+languages has a small one.  Its fit is the mean log-likelihood of its subwords in the best language (shares of buckets in
+that language's learned documents, a tenth of the mass spread evenly): a language that was not learned, or random letters, fits none.
+Both cuts are calibrated on ``checked`` further documents of each language that nothing was learned from (and those held back): the
+lower tail beyond a tenth is taken as exponential, and the cut is where ``miss`` of documents of learned languages lie
+below.  Too few documents to measure ``miss`` by counting thus give a lower cut, not a higher one.
 
 Prediction reads whole texts.  As everything after the hashing is linear, a worker only sums one row of language
 scores for each subword.
@@ -54,17 +61,36 @@ def subword_counts(text: str) -> np.ndarray:
 
 
 class Model:
-    """Language scores by bucket, biases, temperature and rejection score."""
-
-    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, heat: float = 1.0, reject: float = 0.0) -> None:
-        self.langs, self.table, self.bias, self.heat, self.reject = langs, table, bias, heat, reject
-
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        return counts @ self.table / max(counts.sum(), 1) + self.bias
-
-    def predict(self, counts: np.ndarray) -> tuple[str, float]:
-        p = _softmax(self.logits(counts) / self.heat)
-        return self.langs[int(p.argmax())], float(p.max())
+    """Language scores and log-likelihoods by bucket, biases, temperature and the cuts of the two measures."""
+
+    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, chances: np.ndarray, heat: float = 1.0) -> None:
+        self.langs, self.table, self.bias, self.chances, self.heat = langs, table, bias, chances, heat
+        self.least_margin, self.least_fit = -np.inf, np.full(len(langs), -np.inf)
+
+    def measure(self, counts: np.ndarray) -> tuple[int, float, float, float]:
+        """(best language, its probability, its log-odds, how well the subwords fit it)."""
+        at = np.flatnonzero(counts)
+        share = counts[at] / max(counts.sum(), 1)
+        z = (share @ self.table[at] + self.bias) / self.heat
+        best = int(z.argmax())
+        rest = np.delete(z, best)
+        margin = float(z[best] - np.logaddexp.reduce(rest)) if len(rest) else np.inf
+        return best, float(_softmax(z)[best]), margin, float(share @ self.chances[at, best])
+
+    def judge(self, counts: np.ndarray) -> tuple[str, float, bool]:
+        """(language, score, whether the text is rejected)."""
+        best, score, margin, fit_ = self.measure(counts)
+        return self.langs[best], score, bool(margin < self.least_margin or fit_ < self.least_fit[best])
+
+
+def tail_cut(values: np.ndarray, miss: float, tail: float = 0.1) -> float:
+    """The value below which a share of ``miss`` lies, the values under their ``tail`` quantile taken as exponential."""
+    values = values[np.isfinite(values)]
+    if not len(values):
+        return -np.inf
+    start = float(np.quantile(values, tail))
+    below = start - values[values < start]
+    return start - float(below.mean()) * float(np.log(tail / miss)) if len(below) else start
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -72,8 +98,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate: float = 2.0, miss: float = 0.001, seed: int = 7) -> Model | None:
-    """A model from (lang, buckets, counts) of the sample; None without rows."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate: float = 2.0, seed: int = 7) -> tuple[Model, list[int]] | None:
+    """A model from (lang, buckets, counts) of the sample, and the rows that were held back; None without rows."""
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})
@@ -97,7 +123,12 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate: f
         embed[at] -= now * np.outer(share, linear @ wrong) * min(len(at), 200)
         linear -= now * 0.1 * np.outer(mean, wrong)
         bias -= now * 0.01 * wrong
-    model = Model(langs, embed @ linear, bias)
+    chances = np.zeros((BUCKETS, len(langs)))
+    for i in learned:
+        lang, at, n = rows[i]
+        chances[at, langs.index(lang)] += n / max(n.sum(), 1)
+    chances = np.log(0.9 * chances / np.maximum(chances.sum(axis=0), 1) + 0.1 / BUCKETS)
+    model = Model(langs, embed @ linear, bias, chances)
     logits, truth = [], []
     for i in sorted(back):
         lang, at, n = rows[i]
@@ -107,9 +138,18 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate: f
         z, y = np.array(logits), np.array(truth)
         heats = np.geomspace(0.05, 20, 60)
         model.heat = float(min(heats, key=lambda h: -np.log(_softmax(z / h)[np.arange(len(y)), y] + 1e-12).mean()))
-        top = _softmax(z / model.heat).max(axis=1)
-        model.reject = float(min(np.quantile(top, miss), 0.5)) * 0.9
-    return model
+    return model, sorted(back)
+
+
+def calibrate(model: Model, measured: list[tuple[int, float, float]], miss: float = 0.001) -> None:
+    """Sets the cuts from (best language, margin, fit) of documents that nothing was learned from; half of ``miss`` for each measure."""
+    if not measured:
+        return
+    best, margin, fits = (np.array(c) for c in zip(*measured))
+    model.least_margin = tail_cut(margin, miss / 2)
+    for k in range(len(model.langs)):
+        own = fits[best == k]
+        model.least_fit[k] = tail_cut(own if len(own) >= 20 else fits, miss / 2)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -117,16 +157,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = 250, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fits a model on the labelled documents outside the held-out fold."""
+def train(
+    docs: DataFrame, per_lang: int = 250, checked: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", miss: float = 0.001,
+) -> Model | None:
+    """Fits a model on ``per_lang`` labelled documents of each language outside the held-out fold, calibrated on ``checked`` more."""
     dice = F.xxhash64(F.col(id_col).cast("long"))
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     ranked = labelled.select(F.col(lang_col).cast("string").alias("lang"), dice.alias("dice")).withColumn(
         "place", F.row_number().over(Window.partitionBy("lang").orderBy("dice"))
     )
-    last = ranked.where(F.col("place") <= per_lang).groupBy("lang").agg(F.max("dice").alias("last"))  # a row for each language
+    ends = ranked.where(F.col("place") <= per_lang + checked).groupBy("lang").agg(  # a row for each language
+        F.max(F.when(F.col("place") <= per_lang, F.col("dice"))).alias("last"), F.max("dice").alias("end")
+    )
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), dice.alias("dice"), F.col(text_col).alias("text"))
-    picked = rows.join(F.broadcast(last), "lang").where("dice <= last").select("lang", "dice", "text")
+    rows = rows.join(F.broadcast(ends), "lang")
+    picked = rows.where("dice <= last").select("lang", "dice", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
@@ -147,7 +192,29 @@ def train(docs: DataFrame, per_lang: int = 250, id_col: str = "doc_id", text_col
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
         if seen[r["lang"]] <= per_lang:
             sample.append((r["lang"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i8").astype(float)))
-    return fit(sample)
+    made = fit(sample)
+    if made is None:
+        return None
+    model, back = made
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            found = [own.measure(subword_counts(t.as_py())) for t in batch.column("text") if has_letter(t.as_py())]
+            columns = [pa.array([f[i] for f in found], k) for i, k in ((0, pa.int64()), (2, pa.float64()), (3, pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["best", "margin", "fit"])
+
+    further = rows.where("dice > last AND dice <= end").select("text").mapInArrow(measure, "best long, margin double, fit double")
+    measured = [tuple(r) for r in further.collect()]  # ``checked`` rows of each language at most, save for equal hashes
+    for i in back:
+        _, at, n = sample[i]
+        counts = np.bincount(at, n, BUCKETS)
+        if counts.any():
+            best, _, margin, fits = model.measure(counts)
+            measured.append((best, margin, fits))
+    calibrate(model, measured, miss)
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,10 +228,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         for batch in batches:
             langs, scores, gone = [], [], []
             for text in batch.column("text"):
-                lang, score = judge(own, text.as_py())
+                lang, score, out = judge(own, text.as_py())
                 langs.append(lang)
                 scores.append(score)
-                gone.append(lang == "und" or score < own.reject)
+                gone.append(out)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())],
                 names=["doc_id", "lang_pred", "score", "rejected"],
@@ -176,11 +243,15 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 _LETTER = re.compile(r"[^\W\d_]").search
 
 
-def judge(model: Model | None, text: str | None) -> tuple[str, float]:
-    """(language or ``und``, score) of one text."""
-    if model is None or text is None or not (_LETTER(text) or any(c.isalpha() for c in text)):
-        return "und", 0.0
-    return model.predict(subword_counts(text))
+def has_letter(text: str) -> bool:
+    return bool(_LETTER(text)) or any(c.isalpha() for c in text)
+
+
+def judge(model: Model | None, text: str | None) -> tuple[str, float, bool]:
+    """(language or ``und``, score, rejected) of one text."""
+    if model is None or text is None or not has_letter(text):
+        return "und", 0.0, True
+    return model.judge(subword_counts(text))
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -191,7 +262,6 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
         drop_kept()
         own = shared.value
         for batch in batches:
-            found = (judge(own, t.as_py()) for t in batch.column(text_col))
-            yield batch.filter(pa.array([lang != "und" and score >= own.reject for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([not judge(own, t.as_py())[2] for t in batch.column(text_col)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -94,6 +95,16 @@ def test_bpe_random_texts_and_small_tables(tik):
         assert "".join(bpe.decode(own.tokens, np.array(own.encode(text), int), block=1)) == text
 
 
+def test_bpe_letters_of_newer_tables(tik):
+    """Every code point beside a contraction, by itself and among others, as the library splits it."""
+    own = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    points = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    every = [c for c in points if c < 0x20000 or c in range(0x2B700, 0x2D000) or c in range(0x32300, 0x34000) or c % 251 == 0]
+    for c in every:
+        text = f"{chr(c)}'s a{chr(c)} 1{chr(c)}"
+        assert own.encode(text) == tik.encode_ordinary(text), hex(c)
+
+
 def test_utf8_stream_holds_back_unfinished_characters():
     stream, out = bpe.Utf8Stream(), []
     for byte in "aé漢\U0001F600".encode():
@@ -461,6 +472,33 @@ def test_language_awkward(docs, awkward, empty):
     assert kept.columns == awkward.columns and 0 < kept.count() < awkward.count()
 
 
+def test_language_rejects_what_was_not_learned(spark, empty):
+    """Each language in turn left out of the training, and random letters; learned languages stay."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) >= 200")
+    dice = random.Random(4)
+    noise = ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(600)) for _ in range(50)]
+    noise = spark.createDataFrame([(i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    for left in ("de", "es", "fr"):
+        model = language_id.train(table.where(F.col("lang") != left))
+        assert left not in model.langs
+        rows = language_id.identify(table.where(F.col("lang") == left), model).collect()
+        assert sum(r["rejected"] for r in rows) > 0.9 * len(rows) > 0
+        rows = language_id.identify(noise, model).collect()
+        assert all(r["rejected"] for r in rows)
+        held = table.where((F.col("lang") != left) & language_id.held_out())
+        rows = language_id.identify(held, model).collect()
+        assert sum(r["rejected"] for r in rows) <= 0.01 * len(rows)
+    assert language_id.identify(empty, model).count() == 0 and language_id.identify(empty, None).count() == 0
+
+
+def test_language_tail_cut_is_the_share_that_lies_below():
+    values = np.random.default_rng(3).exponential(2.0, 200_000) * -1
+    assert abs((values < language_id.tail_cut(values, 0.001)).mean() - 0.001) < 0.0004
+    few = values[:200]
+    assert language_id.tail_cut(few, 0.0005) < np.quantile(few, 0.02)
+    assert language_id.tail_cut(np.array([]), 0.01) == -np.inf and language_id.tail_cut(np.array([1.0, 1.0]), 0.01) == 1.0
+
+
 # --- 10, fingerprints
 
 
