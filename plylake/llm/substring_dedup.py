@@ -24,6 +24,7 @@ an id are one document; rows with a null id are not looked at; an empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,21 +78,37 @@ def joined_lines(lines: list[list[bytes]], paragraph: int) -> tuple[list[tuple[i
     return whole, short
 
 
-def anchors(hashes: np.ndarray, window: int, stride: int) -> np.ndarray:
+@cache
+def _odd_up_to(bits: int, seed: int) -> np.ndarray:
+    return odd_numbers(1 << bits, seed)
+
+
+def _odd(n: int, seed: int) -> np.ndarray:
+    """``odd_numbers``, whose first ones are the same for every ``n``, made once for each power of two."""
+    return _odd_up_to(n.bit_length(), seed)[:n]
+
+
+def _varied(words: np.ndarray) -> bool:
+    """Whether there are four different words; mostly the first eight say so."""
+    return len(set(words[:8].tolist())) > 3 or len(set(words.tolist())) > 3
+
+
+def anchors(hashes: np.ndarray, window: int, stride: int, shingles: np.ndarray | None = None) -> np.ndarray:
     """Word places at which a window starts: the least (then first) shingle hash of each ``stride`` places."""
     n = len(hashes) - max(window, SHINGLE) + 1
     if n < 1:
         return np.zeros(0, np.int64)
-    values = shingle_hashes(hashes, SHINGLE)[:n]
+    values = (shingle_hashes(hashes, SHINGLE) if shingles is None else shingles)[:n]
     if n <= stride:
         return np.array([int(values.argmin())])
     views = np.lib.stride_tricks.sliding_window_view(values, stride)
-    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    at = views.argmin(axis=1) + np.arange(len(views))  # never goes back
+    return at[np.append(True, at[1:] != at[:-1])]
 
 
-def windows_of(hashes: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the anchored windows."""
-    at = anchors(hashes, window, stride)
+def windows_of(hashes: np.ndarray, window: int, stride: int, shingles: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the anchored windows; ``shingles``: the shingle hashes of the same words, if they are at hand."""
+    at = anchors(hashes, window, stride, shingles)
     if not len(at):
         return at, np.zeros(0, U)
     words = hashes[at[:, None] + np.arange(window)]
@@ -102,7 +119,7 @@ def windows_of(hashes: np.ndarray, window: int, stride: int) -> tuple[np.ndarray
 
 def _window_keys(words: np.ndarray, window: int) -> np.ndarray:
     """Keys of rows of ``window`` word hashes."""
-    return mix((words * odd_numbers(window, 21)).sum(axis=1, dtype=U))
+    return mix((words * _odd(window, 21)).sum(axis=1, dtype=U))
 
 
 def _run_keys(hashes: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
@@ -110,7 +127,7 @@ def _run_keys(hashes: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
     starts, sizes = np.array(runs, np.int64).T
     ends = np.cumsum(sizes)
     places = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-    order = odd_numbers(int(sizes.max()), 61)
+    order = _odd(int(sizes.max()), 61)
     return mix(np.add.reduceat(mix(hashes[np.repeat(starts, sizes) + places]) * order[places], ends - sizes) + sizes.astype(U))
 
 
@@ -138,19 +155,21 @@ def _units(batches: Iterable[pa.RecordBatch], window: int, stride: int, paragrap
         for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             lines = line_words(text.as_py())
             hashes = word_hashes([w for line in lines for w in line])
-            at, key = windows_of(hashes, window, stride)
+            all_shingles = shingle_hashes(hashes, SHINGLE)  # a paragraph's are a stretch of them
+            at, key = windows_of(hashes, window, stride, all_shingles)
             if len(at):
                 packed.append((name, at.astype("<i4").tobytes(), key.astype("<u8").tobytes()))
             if joined_too:
                 whole, short = joined_lines(lines, paragraph)
-                short = [(a, k) for a, k in short if len(set(hashes[a:a + k].tolist())) > 3]
+                short = [(a, k) for a, k in short if _varied(hashes[a:a + k])]
             else:
                 ends = np.cumsum([len(line) for line in lines]).tolist()
                 whole, short = [(b - len(line), len(line)) for line, b in zip(lines, ends) if len(line) >= paragraph], []
             for start, k in whole:
-                if len(set(hashes[start:start + k].tolist())) > 3:
+                if _varied(hashes[start:start + k]):
                     rows.append((name, start, k))
-                    shingles.append(shingle_hashes(hashes[start:start + k], SHINGLE))
+                    inside = k >= SHINGLE
+                    shingles.append(all_shingles[start:start + k - SHINGLE + 1] if inside else shingle_hashes(hashes[start:start + k], SHINGLE))
             if short:
                 runs += [(name, a, k) for a, k in short]
                 keys.append(_run_keys(hashes, short))
@@ -283,7 +302,7 @@ def _stretches(hashes: np.ndarray, at: np.ndarray, key: np.ndarray, window: int,
     place = at[:, None] + (window + step if side else -1 - step)
     there = (place >= 0) & (place < len(hashes))
     words = np.where(there, hashes[np.clip(place, 0, len(hashes) - 1)], U(0))
-    grown = mix(key[:, None] + np.cumsum(words * odd_numbers(most, 41 + side), axis=1, dtype=U) + odd_numbers(most, 51 + side))
+    grown = mix(key[:, None] + np.cumsum(words * _odd(most, 41 + side), axis=1, dtype=U) + _odd(most, 51 + side))
     i, j = np.nonzero(there)
     return i, j + 1, grown[i, j]
 
