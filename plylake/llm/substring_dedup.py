@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plylake.llm.common import drop_kept, id_and_text, stored
+from plylake.llm.common import drop_kept, id_and_text, shuffles_freed, stored
 from plylake.llm.near_dedup import LOWER, MinMax, U, coarse_clusters, confirmed_components, mix, odd_numbers, shingle_hashes, word_hashes
 
 #: 32 permutations have 64 min-max values, which are 16 bands of four.
@@ -251,11 +251,13 @@ def repeats(docs: DataFrame, window: int = 30, stride: int = 20, paragraph: int
 def whole_repeats(docs: DataFrame, window: int = 30, stride: int = 20, paragraph: int = 50, threshold: float = 0.8) -> DataFrame:
     """The spans to remove, in the columns of ``repeats``, with every passage extended to its whole match and short lines looked at too."""
     texts = _texts(docs)
-    units = _stored_units(texts, window, stride, paragraph, True)
-    lines = _line_spans(texts, units, threshold)
-    again = _repeated_windows(units, lines, window, stride)
-    spans = stored(_later(again, window), "repeat-spans")
-    return merged(lines.unionByName(spans.drop("key")).unionByName(_ends(texts, again, spans, window, stride)))
+    with shuffles_freed(docs.sparkSession):
+        units = _stored_units(texts, window, stride, paragraph, True)
+        lines = _line_spans(texts, units, threshold)
+        again = _repeated_windows(units, lines, window, stride)
+        spans = stored(_later(again, window), "repeat-spans")
+        ends = _ends(texts, again, spans, window, stride)
+    return merged(lines.unionByName(spans.drop("key")).unionByName(ends))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
