@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plylake.llm import (
@@ -41,10 +41,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(secret_scan.KINDS[:3])
-    ]
+    def of_kind(kind: int) -> Column:
+        # a lambda of two parameters would be given the span's place in the list as the second
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2("base_line", 256).alias("base_sha256"), F.col("line").alias("spans"))
 
 
