@@ -9,9 +9,11 @@ to fit the softmax's temperature.
 A document is rejected by either of two measures.  Its margin is the log-odds of the best language: a text between
 languages has a small one.  Its fit is the mean log-likelihood of its subwords in the best language (shares of buckets in
 that language's learned documents, a tenth of the mass spread evenly): a language that was not learned, or random letters, fits none.
-Both cuts are calibrated on ``checked`` further documents of each language that nothing was learned from (and those held back): the
-lower tail beyond a tenth is taken as exponential, and the cut is where ``miss`` of documents of learned languages lie
-below.  Too few documents to measure ``miss`` by counting thus give a lower cut, not a higher one.
+Both cuts are calibrated on all labelled documents that nothing was learned from (and those held back), save the held-out
+fold: Spark counts both measures in steps of 1/1000, and the driver gets a count for each step, so many as the model's
+scores can reach, whatever the input.  The lower tail beyond a tenth is taken as exponential, and the cut is where ``miss``
+of documents of learned languages lie below.  Too few documents to measure ``miss`` by counting thus give a lower cut, not
+a higher one.
 
 Prediction reads whole texts.  As everything after the hashing is linear, a worker only sums one row of language
 scores for each subword.
@@ -22,6 +24,7 @@ document has a label; repeated rows give repeated results; an empty table gives
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -43,7 +46,7 @@ def subword_counts(text: str) -> np.ndarray:
     data = np.frombuffer(f" {text} ".lower().encode(), np.uint8)
     counts = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(data), 1 << 20):  # blocks that overlap by a run, for bounded memory
-        block = data[at:at + (1 << 20) + 3]
+        block, found = data[at:at + (1 << 20) + 3], []
         space, code = _SPACE[block], np.where(_SPACE[block], 32, block).astype(np.uint32)
         for n in (2, 3, 4):
             m = min(len(block) - n + 1, 1 << 20)
@@ -56,7 +59,9 @@ def subword_counts(text: str) -> np.ndarray:
             if n > 2:
                 inner = space[1:m + 1] | space[n - 2:n - 2 + m]
                 mixed = mixed[~inner]
-            counts += np.bincount(mixed, minlength=BUCKETS)
+            found.append(mixed)
+        if found:
+            counts += np.bincount(np.concatenate(found), minlength=BUCKETS)
     return counts
 
 
@@ -83,14 +88,24 @@ class Model:
         return self.langs[best], score, bool(margin < self.least_margin or fit_ < self.least_fit[best])
 
 
-def tail_cut(values: np.ndarray, miss: float, tail: float = 0.1) -> float:
-    """The value below which a share of ``miss`` lies, the values under their ``tail`` quantile taken as exponential."""
-    values = values[np.isfinite(values)]
+def tail_cut(values: np.ndarray, miss: float, tail: float = 0.1, times: np.ndarray | None = None) -> float:
+    """The value below which a share of ``miss`` lies, the values under their ``tail`` quantile taken as exponential.
+
+    ``times``: how often each value is there (once).
+    """
+    times = np.ones(len(values), np.int64) if times is None else times
+    there = np.isfinite(values) & (times > 0)
+    values, times = values[there], times[there]
     if not len(values):
         return -np.inf
-    start = float(np.quantile(values, tail))
-    below = start - values[values < start]
-    return start - float(below.mean()) * float(np.log(tail / miss)) if len(below) else start
+    order = np.argsort(values, kind="stable")
+    values, times = values[order], times[order]
+    ends = np.cumsum(times)
+    place = (int(ends[-1]) - 1) * tail  # the quantile lies between the values at the places around it
+    low, high = (float(values[np.searchsorted(ends, at, "right")]) for at in (math.floor(place), math.ceil(place)))
+    start = low + (high - low) * (place - math.floor(place))
+    below = values < start
+    return start - float(np.average(start - values[below], weights=times[below])) * float(np.log(tail / miss)) if below.any() else start
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -141,15 +156,30 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate: f
     return model, sorted(back)
 
 
-def calibrate(model: Model, measured: list[tuple[int, float, float]], miss: float = 0.001) -> None:
-    """Sets the cuts from (best language, margin, fit) of documents that nothing was learned from; half of ``miss`` for each measure."""
-    if not measured:
-        return
-    best, margin, fits = (np.array(c) for c in zip(*measured))
-    model.least_margin = tail_cut(margin, miss / 2)
+#: Steps of a measure that are counted apart, to a unit.
+STEPS = 1000
+
+
+def counted(best: np.ndarray, margin: np.ndarray, fits: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(0 for margins or 1 for fits, best language, step, documents) of some documents' finite measures."""
+    out = []
+    for which, values in enumerate((margin, fits)):
+        there = np.isfinite(values)
+        pairs = np.column_stack([best[there], np.floor(values[there] * STEPS).astype(np.int64)])
+        rows, n = np.unique(pairs, axis=0, return_counts=True)
+        out += [(which, int(k), int(step), int(c)) for (k, step), c in zip(rows, n)]
+    return out
+
+
+def calibrate(model: Model, steps: list[tuple[int, int, int, int]], miss: float = 0.001) -> None:
+    """Sets the cuts from the counts (see ``counted``) of documents that nothing was learned from; half of ``miss`` for each measure."""
+    which, best, step, times = np.array(steps, np.int64).reshape(-1, 4).T
+    values, fits = step / STEPS, which == 1
+    model.least_margin = tail_cut(values[~fits], miss / 2, times=times[~fits])
     for k in range(len(model.langs)):
-        own = fits[best == k]
-        model.least_fit[k] = tail_cut(own if len(own) >= 20 else fits, miss / 2)
+        own = fits & (best == k)
+        own = own if times[own].sum() >= 20 else fits
+        model.least_fit[k] = tail_cut(values[own], miss / 2, times=times[own])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -158,17 +188,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(
-    docs: DataFrame, per_lang: int = 250, checked: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", miss: float = 0.001,
+    docs: DataFrame, per_lang: int = 250, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", miss: float = 0.001,
 ) -> Model | None:
-    """Fits a model on ``per_lang`` labelled documents of each language outside the held-out fold, calibrated on ``checked`` more."""
+    """Fits a model on ``per_lang`` labelled documents of each language outside the held-out fold, calibrated on all others there."""
     dice = F.xxhash64(F.col(id_col).cast("long"))
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     ranked = labelled.select(F.col(lang_col).cast("string").alias("lang"), dice.alias("dice")).withColumn(
         "place", F.row_number().over(Window.partitionBy("lang").orderBy("dice"))
     )
-    ends = ranked.where(F.col("place") <= per_lang + checked).groupBy("lang").agg(  # a row for each language
-        F.max(F.when(F.col("place") <= per_lang, F.col("dice"))).alias("last"), F.max("dice").alias("end")
-    )
+    ends = ranked.where(F.col("place") <= per_lang).groupBy("lang").agg(F.max("dice").alias("last"))  # a row for each language
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), dice.alias("dice"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(ends), "lang")
     picked = rows.where("dice <= last").select("lang", "dice", "text")
@@ -199,20 +227,23 @@ def train(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         own = shared.value
         for batch in batches:
             found = [own.measure(subword_counts(t.as_py())) for t in batch.column("text") if has_letter(t.as_py())]
-            columns = [pa.array([f[i] for f in found], k) for i, k in ((0, pa.int64()), (2, pa.float64()), (3, pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["best", "margin", "fit"])
+            if found:
+                best, _, margin, fits = (np.array(c) for c in zip(*found))
+                columns = zip(*counted(best, margin, fits))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["which", "best", "step", "n"])
 
-    further = rows.where("dice > last AND dice <= end").select("text").mapInArrow(measure, "best long, margin double, fit double")
-    measured = [tuple(r) for r in further.collect()]  # ``checked`` rows of each language at most, save for equal hashes
+    further = rows.where("dice > last").select("text").mapInArrow(measure, "which long, best long, step long, n long")
+    measured = [tuple(r) for r in further.groupBy("which", "best", "step").agg(F.sum("n")).collect()]
     for i in back:
         _, at, n = sample[i]
         counts = np.bincount(at, n, BUCKETS)
         if counts.any():
             best, _, margin, fits = model.measure(counts)
-            measured.append((best, margin, fits))
+            measured += counted(np.array([best]), np.array([margin]), np.array([fits]))
     calibrate(model, measured, miss)
     return model
 
@@ -255,13 +286,14 @@ def judge(model: Model | None, text: str | None) -> tuple[str, float, bool]:
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns."""
+    """The rows of ``docs`` that are not rejected, with all their columns; only texts go to the Python workers, and flags come back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         drop_kept()
         own = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([not judge(own, t.as_py())[2] for t in batch.column(text_col)], pa.bool_()))
+            yield pa.array([not judge(own, t.as_py())[2] for t in batch], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known(F.col(text_col)))

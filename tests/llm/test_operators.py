@@ -513,6 +513,25 @@ def test_language_tail_cut_is_the_share_that_lies_below():
     few = values[:200]
     assert language_id.tail_cut(few, 0.0005) < np.quantile(few, 0.02)
     assert language_id.tail_cut(np.array([]), 0.01) == -np.inf and language_id.tail_cut(np.array([1.0, 1.0]), 0.01) == 1.0
+    start = np.quantile(few, 0.1)
+    assert np.isclose(language_id.tail_cut(few, 0.0005), start - (start - few[few < start]).mean() * np.log(0.1 / 0.0005))
+    steps, times = np.unique(np.floor(few * 4) / 4, return_counts=True)
+    assert np.isclose(language_id.tail_cut(steps, 0.0005, times=times), language_id.tail_cut(np.repeat(steps, times), 0.0005))
+
+
+def test_language_cuts_come_from_all_labelled_documents(spark, monkeypatch):
+    """Every labelled document outside the held-out fold is learned from or measured, or held back and measured; none is left out."""
+    words = {"a": "lorem ipsum dolor sit amet consectetur", "b": "zwölf boxkämpfer jagen viktor quer über"}
+    dice = random.Random(2)
+    rows = [(i, k, " ".join(dice.choice(words[k].split()) for _ in range(8))) for i in range(9000) for k in words]
+    table = spark.createDataFrame([(2 * i + (k == "b"), k, t) for i, k, t in rows], "doc_id long, lang string, text string")
+    seen = []
+    cut = language_id.calibrate
+    monkeypatch.setattr(language_id, "calibrate", lambda model, steps, miss: (seen.extend(steps), cut(model, steps, miss)))
+    model = language_id.train(table, per_lang=100)
+    n = table.where(~language_id.held_out()).count()
+    assert [sum(c for which, _, _, c in seen if which == w) for w in (0, 1)] == [n - 150] * 2  # 50 of 200 are held back and measured
+    assert np.isfinite(model.least_margin) and np.isfinite(model.least_fit).all()
 
 
 # --- 10, fingerprints
