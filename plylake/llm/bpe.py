@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from plylake.llm.common import id_and_text, kept_in_worker
 
 #: A space beside other white space; such texts are split by the pattern alone.
-_RUNS = re.compile(r"\s | \s").search
+_RUNS = re.compile(r" (?:(?<=\s )|(?=\s))").search
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # Code points that the ``regex`` module's tables call letters or numbers and the library's older ones (Unicode 16) do not.
 NEWER = """
@@ -123,26 +124,29 @@ class Transducer:
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Next state and emitted tokens: the subset construction for one byte."""
         merges, added, after = self.merges, bytes((byte,)), []
+        rank, inner, stable = merges.rank.get, merges.inner.get, merges.stable
         for last, held, open_bytes in self.states[state]:
             grown = open_bytes + added
-            token = merges.rank.get(grown)
+            token = rank(grown)
             if token is not None:
                 before = held[-1] if held else last
-                if before is None or merges.stable(before, token):
-                    after.append((last, (*held, token), b""))
-            kept = merges.inner.get(grown)  # one copy for all states
+                if before is None or stable(before, token):
+                    after.append((None, (*held, token), b""))  # the last emitted token only matters to those that hold back none
+            kept = inner(grown)  # one copy for all states
             if kept is not None:
                 after.append((last, held, kept))
         agreed = after[0][1]
         n = len(agreed)
         for _, held, _ in after:
+            if not n:
+                break
             while held[:n] != agreed[:n]:
                 n -= 1
-        emitted = agreed[:n]
-        # the last emitted token only matters to hypotheses that hold back none
-        nxt = tuple(
-            (None if len(held) > n else emitted[-1] if n else last, held[n:], open_bytes) for last, held, open_bytes in after
-        )
+        if n:
+            emitted = agreed[:n]
+            nxt = tuple([(None if len(held) > n else emitted[-1], held[n:], open_bytes) for _, held, open_bytes in after])
+        else:
+            emitted, nxt = (), tuple(after)
         number = self.number.setdefault(nxt, len(self.states))
         if number == len(self.states):
             self.states.append(nxt)
@@ -164,6 +168,11 @@ class Transducer:
         return ids
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """The ids as little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Generations(dict):
     """Memo of ``make`` in two generations of at most ``limit`` entries each; keys over ``longest`` are not kept."""
 
@@ -229,11 +238,11 @@ class Codec:
     characters) texts are first cut there; a cut-off part is encoded once and remembered.
     """
 
-    def __init__(self, tokens: list[bytes], pattern: str, by_space: bool = True, tables: int = 150_000) -> None:
+    def __init__(self, tokens: list[bytes], pattern: str, by_space: bool = True, tables: int = 200_000) -> None:
         matcher = regex.compile(pattern)
         self.tokens, self.split, self.find, self.by_space = tokens, matcher.findall, matcher.finditer, by_space
         self.transducer = Transducer(tokens, 3 * tables)
-        self.pieces = Generations(lambda p: np.array(self.transducer.encode(p.encode()), dtype="<u4").tobytes(), tables)
+        self.pieces = Generations(lambda p: packed_ids(self.transducer.encode(p.encode())), tables)
         self.parts = Generations(lambda part: self._split(" " + part), tables)
 
     def _split(self, text: str) -> bytes:
@@ -260,14 +269,14 @@ class Codec:
         return len(packed) // 4, hashlib.sha256(packed).hexdigest(), back.hexdigest()
 
 
-def codec(tokens: list[bytes], pattern: str, tables: int = 150_000) -> Codec:
+def codec(tokens: list[bytes], pattern: str, tables: int = 200_000) -> Codec:
     """The worker's codec, kept between tasks."""
     key = ("bpe", hash(tuple(tokens[-256:])) ^ len(tokens), pattern, tables)
     return kept_in_worker(key, lambda: Codec(tokens, pattern, tables=tables))
 
 
 def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", tables: int = 150_000,
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", tables: int = 200_000,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256.
 

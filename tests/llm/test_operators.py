@@ -363,6 +363,19 @@ def test_secret_tricky_and_learned_spans(spark):
     assert all("markov" not in out[i + 3]["line"] for i in range(60))
 
 
+def test_bpe_runs_and_states_are_plain(ranks=P.path("byte_bpe_50k.tiktoken")):
+    """Texts with a space beside other white space are told as by the plain pattern; states keep no token that cannot matter."""
+    dice = random.Random(8)
+    for _ in range(3000):
+        text = "".join(dice.choice(" a\n\t\u00a0\u2003b") for _ in range(dice.randrange(8)))
+        assert bool(bpe._RUNS(text)) == bool(re.search(r"\s | \s", text))
+    own, library = bpe.Codec(bpe.read_ranks(ranks), P.PATTERN), tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.read_ranks(ranks)) if t}, special_tokens={})
+    for _ in range(300):
+        text = " ".join("".join(dice.choice("etaoinshrdlu") for _ in range(dice.randrange(1, 14))) for _ in range(20))
+        assert own.encode(text) == library.encode_ordinary(text)
+    assert all(last is None for state in own.transducer.states for last, held, _ in state if held)
+
+
 def test_secret_query_counts_each_kind(spark, tmp_path):
     """A span of one kind counts for it wherever it stands in the list of all spans."""
     texts = [
