@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -155,6 +156,8 @@ class WordEncoder:
     def _cut(self, part: str) -> list[str]:
         """Pieces that the tokenizer encodes apart from each other."""
         if part.isascii():
+            if part.isalpha():
+                return [part.lower()]
             return [part] if "'" in part or "<" in part else _ASCII_PIECES(part.lower())
         word = part.rstrip(_MARKS)
         return [word, part[len(word):]] if len(word) < len(part) and self._letters(word) else [part]
@@ -178,9 +181,10 @@ class WordEncoder:
             parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts[at:at + 256]]
             known = self.parts
             cuts = {p: self._cut(p) for p in set().union(*parts) if p not in known and p not in known.older}
-            self._learn(set().union(*cuts.values()))
+            self._learn(set(chain.from_iterable(cuts.values())))
+            ids = self.pieces.__getitem__
             for part, cut in cuts.items():
-                known.put(part, self.pieces[cut[0]] if len(cut) == 1 else b"".join(map(self.pieces.__getitem__, cut)))
+                known.put(part, ids(cut[0]) if len(cut) == 1 else b"".join(map(ids, cut)))
             out += [b"".join(map(known.__getitem__, p)) for p in parts]
         return out
 
