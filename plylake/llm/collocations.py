@@ -1,18 +1,17 @@
-"""Phrase collocations by SON partitioning, with exact counts.
+"""Phrase collocations by SON partitioning, united level by level, with exact counts.
 
 1. Shards of at most ``shard_words`` words are mined completely, level by level (words, then phrases of two words, and so
-   on: a phrase can only be frequent where its first and its last words are).  A shard with the share s of all bytes reports
-   what it holds more often than its allowance, floor(support * s / 2).  The shares sum to one, so the allowances sum to
-   half the support at most, and what is beyond them adds up to half the support or more for every frequent phrase.
-2. The union of the reports is kept where that sum is reached.  Sums are taken by 64-bit hashes, ten bytes a phrase and
-   shard; hashes that meet can only add to a sum, so nothing is lost.  This is done twice: for words and pairs, and then for
-   longer phrases all of whose pairs were kept.  What is kept is a bit map of 2^27 hash positions (16 MB at any size).
-3. Every phrase in the map is counted in all shards by its words, not by a hash, and the counts are summed: exact.
+   on: a phrase can only be frequent where its first and its last words are).
+2. What shards find is united after words, after pairs and after the longer phrases: a shard reports every phrase, whose
+   shorter ones are known to be frequent in all shards together, with its count.  No shard holds anything back, so the sums
+   of the reports are the exact counts, by words and not by a hash, and nothing is counted twice.
+3. What is known to be frequent is a bit map of 2^27 hash positions (16 MB at any size).  Hashes that meet can only add
+   reports, whose sums then fall short of the support.
 4. Scores, cuts and absorption are joins over the frequent phrases.
 
-A shard's memory is bounded by its words, and one text is cut into pieces of a megabyte before it is split into words.
-Where a shard's allowance is zero (over support / 2 shards), it reports all its words and pairs, and of longer phrases those of
-kept pairs: right, and one shuffle of all pairs.  Raise ``support`` with the corpus, or ``shard_words`` with the memory.
+A shard's memory is bounded by its words, and one text is cut into pieces of a megabyte before it is split into words.  A
+shard reports at most its different phrases, however many shards there are and however small the support is beside them;
+so reports grow with the input.  The shuffle files of a union go before the next one begins.
 
 Defined results: a null text is the empty text; a null language is ``und``; rows with equal texts all count; a null id
 does not matter, as ids are not read; other columns are not read; an empty table gives no rows.  Words may be of any
@@ -22,14 +21,16 @@ length.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plylake.llm.common import drop_kept, stored
+from plylake.llm.common import drop_kept, shuffles_freed, stored
 from plylake.llm.near_dedup import mix, odd_numbers, word_hashes
 
 U = np.uint64
@@ -39,6 +40,8 @@ LONGEST = 5
 BITS = 27
 STRETCH = 4096
 PIECE = 1 << 20
+#: Phrases of so many words are united together.
+UNIONS = (range(1, 2), range(2, 3), range(3, LONGEST + 1))
 
 
 class Words(dict):
@@ -127,6 +130,8 @@ def levels(ids: np.ndarray, size: int, test: Test, longest: int = LONGEST) -> It
         first, number, counts = numbered(keys)
         good = test(k, at[first], counts)
         yield k, at[first[good]], counts[good]
+        if k == longest:
+            return
         del first, counts
         passed = good[number]
         at, number = at[passed], number[passed]
@@ -176,75 +181,67 @@ def joined(maps: DataFrame) -> BitMap:
     return whole
 
 
-def reports(batches: Iterable[pa.RecordBatch], kept: Callable[[], BitMap | None], allowance: Callable[[int], int], shard_words: int) -> Iterator[pa.RecordBatch]:
-    """(hash, beyond) by shard: how often a phrase occurs beyond the shard's allowance.
+def reports(batches: Iterable[pa.RecordBatch], known: Callable[[], BitMap], lengths: range, shard_words: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) by shard of the phrases of ``lengths`` words whose shorter ones are ``known`` as far as those were united.
 
-    Words and pairs if nothing is ``kept`` yet; otherwise longer phrases of kept pairs.
+    With words, the empty phrase counts them all.
     """
     drop_kept()
     for shard in shards(batches, shard_words):
-        allowed, hashes, known = allowance(shard.n_bytes), word_hashes(list(shard.words)), kept()
-        wanted = range(1, 3) if known is None else range(3, LONGEST + 1)
+        spelled, hashes, frequent = pa.array(list(shard.words), pa.binary()), word_hashes(list(shard.words)), known()
+        sizes = np.array(pc.binary_length(spelled), np.int64) + 1
         for lang, ids in shard.languages():
             def test(k: int, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-                good = counts > allowed
-                if known is not None and k == 2:
-                    good[good] = known.holds(phrase_hashes(lang, ids, at[good], k, hashes))
-                return good
-
-            for k, at, counts in levels(ids, len(shard.words), test, wanted[-1]):
-                if k in wanted:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(phrase_hashes(lang, ids, at, k, hashes).view(np.int64)), pa.array(counts.astype(np.int64) - allowed)], names=["hash", "beyond"]
-                    )
+                return frequent.holds(phrase_hashes(lang, ids, at, k, hashes)) if k < lengths[0] else np.ones(len(at), bool)
 
+            if 1 in lengths:
+                yield _counted(lang, pa.array([b""], pa.binary()), np.array([(ids > 1).sum()]))
+            for k, at, counts in levels(ids, len(spelled), test, lengths[-1]):
+                if k not in lengths:
+                    continue
+                parts = np.cumsum(sum(sizes[ids[at + i]] for i in range(k))) // PIECE  # of about a megabyte of phrases
+                cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(at)]
+                for a, b in zip(cuts, cuts[1:]):
+                    words = [spelled.take(pa.array(ids[at[a:b] + i])) for i in range(k)]
+                    yield _counted(lang, pc.binary_join_element_wise(*words, b" "), counts[a:b])
 
-def exact_counts(batches: Iterable[pa.RecordBatch], frequent: BitMap, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, f) by shard of the phrases in ``frequent``; the empty phrase counts all words."""
-    drop_kept()
-    for shard in shards(batches, shard_words):
-        hashes, spelled = word_hashes(list(shard.words)), list(shard.words)
-        for lang, ids in shard.languages():
-            yield _counted(lang, [""], np.array([(ids > 1).sum()]))
-            for k, at, counts in levels(ids, len(spelled), lambda k, at, counts: frequent.holds(phrase_hashes(lang, ids, at, k, hashes))):
-                rows = zip(*(ids[at + i].tolist() for i in range(k)))
-                yield _counted(lang, [b" ".join([spelled[i] for i in row]).decode() for row in rows], counts)
 
-
-def _counted(lang: str, phrases: list[str], counts: np.ndarray) -> pa.RecordBatch:
+def _counted(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "f"]
+        [pa.repeat(pa.scalar(lang, pa.string()), len(phrases)), phrases.cast(pa.string()), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "f"]
     )
 
 
+def maps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bit map of a task's phrases (lang, phrase), as (bucket, bits)."""
+    found = BitMap()
+    for batch in batches:
+        alike: dict[tuple[str, int], list[bytes]] = {}
+        for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
+            words = phrase.encode().split(b" ")
+            alike.setdefault((lang, len(words)), []).extend(words)
+        for (lang, k), words in alike.items():
+            found.add(phrase_hashes(lang, np.arange(len(words)), np.arange(0, len(words), k), k, word_hashes(words)))
+    yield found.rows()
+
+
 def phrase_counts(texts: DataFrame, support: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of up to five words with f >= support, and (lang, n); both stored."""
-    share = texts.sparkSession.sparkContext.broadcast
-    all_bytes = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 1
-    allowance = lambda n_bytes: support * n_bytes // (2 * all_bytes)
-
-    def candidates(kept: Callable[[], BitMap | None]) -> BitMap:
-        reported = texts.mapInArrow(lambda rows: reports(rows, kept, allowance, shard_words), "hash long, beyond long")
-        enough = reported.groupBy("hash").agg(F.sum("beyond").alias("beyond")).where(F.col("beyond") * 2 >= support).select("hash")
-
-        def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = BitMap()
-            for batch in batches:
-                found.add(batch.column("hash").to_numpy().view(U))
-            yield found.rows()
-
-        return joined(enough.mapInArrow(put, "bucket int, bits binary"))
-
-    pairs = candidates(lambda: None)
-    shared = share(pairs)
-    longer = candidates(lambda: shared.value)
-    longer.bits |= pairs.bits
-    frequent = share(longer)
-    counted = texts.mapInArrow(lambda rows: exact_counts(rows, frequent.value, shard_words), "lang string, phrase string, f long")
-    summed = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    summed = stored(summed.where((F.col("f") >= support) | (F.col("phrase") == "")), "phrase-counts")
-    totals = stored(summed.where("phrase = ''").select("lang", F.col("f").alias("n")), "phrase-totals")
-    return summed.where("phrase <> ''"), totals
+    spark, known, united = texts.sparkSession, BitMap(), []
+
+    def union(lengths: range) -> DataFrame:
+        shared = spark.sparkContext.broadcast(known)
+        reported = texts.mapInArrow(lambda rows: reports(rows, lambda: shared.value, lengths, shard_words), "lang string, phrase string, f long")
+        summed = reported.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= support) | (F.col("phrase") == ""))
+        with shuffles_freed(spark):
+            return stored(summed, f"phrase-counts-{lengths[0]}")
+
+    for lengths in UNIONS:
+        united.append(union(lengths))
+        if lengths is not UNIONS[-1]:
+            known.bits |= joined(united[-1].where("phrase <> ''").select("lang", "phrase").mapInArrow(maps, "bucket int, bits binary")).bits
+    totals = stored(united[0].where("phrase = ''").select("lang", F.col("f").alias("n")), "phrase-totals")
+    return reduce(DataFrame.unionByName, united).where("phrase <> ''"), totals
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:

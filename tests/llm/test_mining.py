@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,30 @@ def test_what_a_shard_holds_back_is_within_its_allowance():
         assert sum(counts) < support or 2 * beyond >= support
 
 
+def test_shards_hold_nothing_back_and_reports_grow_with_them():
+    """Sums of the reports are exact counts, however many shards there are; equal shards report equally many rows."""
+    text = "a b c a b d, " * 30 + "rare pair"
+    words, pairs = collections.Counter(), collections.Counter()
+    for piece in text.split(","):
+        words.update(piece.split())
+        pairs.update(zip(piece.split(), piece.split()[1:]))
+    known = collocations.BitMap()
+    known.bits[:] = 255
+    for lengths, exact in ((range(1, 2), words), (range(2, 3), {" ".join(p): f for p, f in pairs.items()})):
+        for n in (1, 2, 50):
+            batch = pa.RecordBatch.from_pylist([{"lang": "en", "text": text}] * n)
+            rows = [r for b in collocations.reports([batch], lambda: known, lengths, 1) for r in b.to_pylist() if r["phrase"]]
+            sums = collections.Counter()
+            for r in rows:
+                sums[r["phrase"]] += r["f"]
+            assert sums == {p: n * f for p, f in exact.items()} and len(rows) == n * len(exact)
+
+
+def test_a_phrase_spread_thin_over_many_shards(spark):
+    rows = [(f"w{i} thin ice x{i}", "en") for i in range(60)]
+    assert collocation_rows(spark, rows, support=60, shard_words=1) == [("en", 1, "thin ice", 60, 60, 60, 240, 4000)]
+
+
 # ---- vectors
 
 
