@@ -57,8 +57,8 @@ def read_ranks(path: str) -> list[bytes]:
 class Merges:
     """How each token is put together, and which two tokens are stable side by side."""
 
-    def __init__(self, tokens: list[bytes]) -> None:
-        self.tokens = tokens
+    def __init__(self, tokens: list[bytes], max_pairs: int = 150_000) -> None:
+        self.tokens, self.max_pairs = tokens, max_pairs
         self.rank = {t: i for i, t in enumerate(tokens) if t}
         self.inner = {b: b for b in {t[:n] for t in self.rank for n in range(1, len(t))}}  # what a longer token begins with
         self._left: dict[int, list[tuple[int, int]]] = {}
@@ -95,7 +95,7 @@ class Merges:
         key = (first, second)
         found = self._stable.get(key)
         if found is None:
-            if len(self._stable) > 150_000:
+            if len(self._stable) > self.max_pairs:
                 self._stable.clear()
             found = True
             for a, a_ends in self.edge(first, True):
@@ -111,7 +111,7 @@ class Transducer:
     """Encodes one piece at a time."""
 
     def __init__(self, tokens: list[bytes], max_steps: int = 450_000) -> None:
-        self.merges = Merges(tokens)
+        self.merges = Merges(tokens, max(150_000, max_steps // 3))
         self.max_steps = max_steps
         self._reset()
 
@@ -195,6 +195,13 @@ class Generations(dict):
                 self.clear()
             self[key] = value
 
+    def put_all(self, values: dict[str, bytes]) -> None:
+        """As ``put``, with more than ``limit`` entries at most until the next call."""
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self.update(values if max(map(len, values), default=0) <= self.longest else {k: v for k, v in values.items() if len(k) <= self.longest})
+
 
 class Utf8Stream:
     """Decodes bytes that come in blocks; state: the bytes of an unfinished character."""
@@ -276,7 +283,7 @@ def codec(tokens: list[bytes], pattern: str, tables: int = 150_000) -> Codec:
 
 
 def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", tables: int = 150_000,
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", tables: int = 300_000,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256.
 

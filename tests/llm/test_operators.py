@@ -95,6 +95,19 @@ def test_bpe_random_texts_and_small_tables(tik):
         assert "".join(bpe.decode(own.tokens, np.array(own.encode(text), int), block=1)) == text
 
 
+def test_bpe_tables_are_bounded_together(tik):
+    """The table of stable pairs grows with the others, and all may be emptied at any time."""
+    tokens = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    assert bpe.Codec(tokens, P.PATTERN, tables=300_000).transducer.merges.max_pairs == 300_000
+    own = bpe.Codec(tokens, P.PATTERN, tables=100)
+    own.transducer.merges.max_pairs = 50
+    dice = random.Random(11)
+    for _ in range(200):
+        text = " ".join("".join(dice.choices("etaoinsé,.1", k=dice.randint(1, 9))) for _ in range(8))
+        assert own.encode(text) == tik.encode_ordinary(text)
+        assert len(own.transducer.merges._stable) <= 51 and len(own.pieces) <= 100 and len(own.parts) <= 100
+
+
 def test_bpe_letters_of_newer_tables(tik):
     """Every code point beside a contraction, by itself and among others, as the library splits it."""
     own = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
