@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from plylake.llm.bpe import Generations
 from plylake.llm.common import id_and_text, kept_in_worker
@@ -44,6 +44,8 @@ FILE = "shard int, segment int, first long, doc_ids array<long>, lengths array<l
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id."""
     high = (ids >> np.uint64(32)).astype(np.uint32)
+    if not high.any():
+        return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
     return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low).astype(np.uint8)
 
@@ -136,43 +138,69 @@ class WordEncoder:
     those are plain: ASCII without apostrophes and ``<``, or a word with ASCII marks behind it whose normal form has only
     letters (a letter whose lower case or normal form holds a combining mark is left to the library with its whole part).
     New pieces of letters only are encoded in one call of the library and told apart by the tokens that end a word; all else
-    is encoded by itself.
+    is encoded by itself.  Pieces and parts share one table, as a piece is a part that is not cut.
     """
 
-    def __init__(self, definition: str, word_end: str = "</w>") -> None:
+    def __init__(self, definition: str, word_end: str = "</w>", tables: int = 500_000) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(word_end) for i in range(size)])
-        self.pieces = Generations(lambda piece: self._ids(piece).tobytes(), 250_000)
-        self.parts = Generations(lambda part: b"".join(map(self.pieces.__getitem__, self._cut(part))), 400_000)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _letters(self, word: str) -> bool:
-        """Whether the word is all letters to the tokenizer, that is, once it has lower-cased and normalised it."""
-        return word.isalpha() and (word.isascii() or self.tokenizer.normalizer.normalize_str(word).isalpha())
-
-    def _cut(self, part: str) -> list[str]:
-        """Pieces that the tokenizer encodes apart from each other."""
-        if part.isascii():
-            if part.isalpha():
-                return [part.lower()]
-            return [part] if "'" in part or "<" in part else _ASCII_PIECES(part.lower())
-        word = part.rstrip(_MARKS)
-        return [word, part[len(word):]] if len(word) < len(part) and self._letters(word) else [part]
-
-    def _learn(self, pieces: set[str]) -> None:
+        self.plain = Tokenizer.from_str(definition)  # for words of a to z, which are their own normal form and bytes
+        self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
+        self.parts = Generations(lambda part: self._ids(part).tobytes(), tables)
+
+    def _ids(self, text: str, tokenizer: Tokenizer | None = None) -> np.ndarray:
+        (found,) = (tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, dtype="<u4")
+
+    def _letters(self, words: list[str]) -> set[str]:
+        """Those words that are all letters to the tokenizer, that is, once it has lower-cased and normalised them."""
+        normal = self.tokenizer.normalizer.normalize_str
+        forms = normal(" ".join(words)).split(" ")
+        if len(forms) != len(words):  # white space of other kinds stands within words
+            forms = map(normal, words)
+        return {word for word, form in zip(words, forms) if form.isalpha()}
+
+    def _cuts(self, parts: Iterable[str]) -> tuple[dict[str, str], dict[str, str], dict[str, list[str]]]:
+        """Pieces that the tokenizer encodes apart from each other: the word of a part, what stands behind it, or all pieces.
+
+        Parts that are not cut are in none of the three.
+        """
+        words: dict[str, str] = {}
+        behind: dict[str, str] = {}
+        pieces: dict[str, list[str]] = {}
+        other = []
+        for part in parts:
+            if not part.isascii():
+                other.append(part)
+            elif part.isalpha():
+                words[part] = part.lower()
+            elif "'" in part or "<" in part:
+                continue
+            elif part[:-1].isalpha():
+                words[part], behind[part] = part[:-1].lower(), part[-1]
+            else:
+                pieces[part] = _ASCII_PIECES(part.lower())
+        heads = [part.rstrip(_MARKS) for part in other]
+        letters = self._letters([word for word in heads if word.isalpha()])
+        for part, word in zip(other, heads):
+            if word in letters:
+                words[part] = word
+                if len(word) < len(part):
+                    behind[part] = part[len(word):]
+        return words, behind, pieces
+
+    def _learn(self, words: list[str]) -> None:
         """Encodes new words together."""
-        words = [w for w in pieces if w not in self.pieces and w not in self.pieces.older and self._letters(w)]
-        for at in range(0, len(words), 2000):
-            some = words[at:at + 2000]
-            ids = self._ids(" ".join(some))
+        words.sort(key=str.isascii)
+        others = next((i for i, word in enumerate(words) if word.isascii()), len(words))
+        for at, end in [(at, others) for at in range(0, others, 2000)] + [(at, len(words)) for at in range(others, len(words), 2000)]:
+            some = words[at:min(at + 2000, end)]
+            ids = self._ids(" ".join(some), self.plain if at >= others else None)
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             if len(cuts) == len(some) + 1:
                 data = ids.tobytes()
-                for word, a, b in zip(some, cuts, cuts[1:]):
-                    self.pieces.put(word, data[a:b])
+                self.parts.put_all({word: data[a:b] for word, a, b in zip(some, cuts, cuts[1:])})
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -180,12 +208,14 @@ class WordEncoder:
         for at in range(0, len(texts), 256):
             parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts[at:at + 256]]
             known = self.parts
-            cuts = {p: self._cut(p) for p in set().union(*parts) if p not in known and p not in known.older}
-            self._learn(set(chain.from_iterable(cuts.values())))
-            ids = self.pieces.__getitem__
-            for part, cut in cuts.items():
-                known.put(part, ids(cut[0]) if len(cut) == 1 else b"".join(map(ids, cut)))
-            out += [b"".join(map(known.__getitem__, p)) for p in parts]
+            words, behind, pieces = self._cuts(set().union(*parts).difference(known, known.older))
+            letters = set(words.values()).union(p for more in pieces.values() for p in more if p.isalpha())
+            self._learn(list(letters.difference(known, known.older)))
+            ids = known.__getitem__
+            known.put_all({part: ids(word) for part, word in words.items() if part != word and part not in behind})
+            known.put_all({part: ids(words[part]) + ids(more) for part, more in behind.items()})
+            known.put_all({part: b"".join(map(ids, more)) for part, more in pieces.items()})
+            out += [b"".join(map(ids, p)) for p in parts]
         return out
 
 

@@ -109,6 +109,23 @@ def test_token_ids_equal_the_library_after_normalisation():
     assert own.packed(texts) == want
 
 
+def test_parts_share_one_bounded_table_and_equal_the_library():
+    """A piece is a part that is not cut: one table holds both, and stays right when it is emptied all the time."""
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as source:
+        definition = source.read()
+    library, own, dice = Tokenizer.from_str(definition), token_shards.WordEncoder(definition, tables=300), random.Random(12)
+    words = ["Word", "wOrd", "word", "ÉTÉ", "été", "naïve", "漢字", "H\u0331", "straße", "a1b2", "x-y", "<|endoftext|>", "it's", "a\u00a0b", "é\u2003é", "", "z" * 80, "ü" * 80]
+    marks = [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "...", "\r", "\x0b", "\u0301", "…", "7"]
+    texts = [f"{w}{m}{dice.choice(words)} {dice.choice(marks)}{w} {w}{m}" for w in words for m in marks]
+    texts += [" ".join("".join(dice.choices("abcdeABCéÉ", k=5)) + dice.choice(["", ",", "."]) for _ in range(200)) for _ in range(20)]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    got = [own.packed(texts[at:at + 7]) for at in range(0, len(texts), 7)]
+    assert [ids for some in got for ids in some] == want == own.packed(texts)
+    before = len(own.parts)
+    own.packed(["brandnew brandnew, Brandnew"])
+    assert own.parts["brandnew"] == own.parts["Brandnew"] and len(own.parts) <= max(before, 300) + 3
+
+
 def test_blocks_decode_by_themselves():
     dice = np.random.default_rng(4)
     ids = np.concatenate([dice.integers(0, 50_000, 40_000), dice.integers(0, 1 << 62, 3000), np.zeros(5000, np.int64)]).astype(np.uint64)
