@@ -22,6 +22,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +196,10 @@ class Generations(dict):
                 self.clear()
             self[key] = value
 
+    def lacks(self, keys: Iterable[str]) -> Iterator[str]:
+        """Those keys that are in neither generation; a set's difference would walk through the tables instead."""
+        return filterfalse(self.older.__contains__, filterfalse(self.__contains__, keys))
+
     def put_all(self, values: dict[str, bytes]) -> None:
         """As ``put``, with more than ``limit`` entries at most until the next call."""
         if len(self) >= self.limit:
