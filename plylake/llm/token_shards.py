@@ -208,16 +208,14 @@ class WordEncoder:
         for at in range(0, len(texts), 256):
             parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts[at:at + 256]]
             known = self.parts
-            found = [list(map(known.get, p)) for p in parts]
-            missing = {part for p, have in zip(parts, found) for part, packed in zip(p, have) if packed is None}
-            words, behind, pieces = self._cuts(known.lacks(missing))
+            words, behind, pieces = self._cuts(known.lacks(set().union(*parts)))
             letters = set(words.values()).union(p for more in pieces.values() for p in more if p.isalpha())
             self._learn(list(known.lacks(letters)))
             ids = known.__getitem__
             known.put_all({part: ids(word) for part, word in words.items() if part != word and part not in behind})
             known.put_all({part: ids(words[part]) + ids(more) for part, more in behind.items()})
             known.put_all({part: b"".join(map(ids, more)) for part, more in pieces.items()})
-            out += [b"".join([ids(part) if packed is None else packed for part, packed in zip(p, have)]) for p, have in zip(parts, found)]
+            out += [b"".join(map(ids, p)) for p in parts]
         return out
 
 
