@@ -17,15 +17,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import WhitespaceSplit
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from plylake.llm.bpe import Generations
 from plylake.llm.common import id_and_text, kept_in_worker
@@ -35,6 +37,9 @@ from plylake.session import scratch_path
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 _TAKES = np.array([*COUNTS, 1, 1])
+_BITS = np.array([*(60 // count for count in COUNTS), 0, 0], np.uint64)
+_MASKS = np.array([*((1 << 60 // count) - 1 for count in COUNTS), (1 << 64) - 1, (1 << 64) - 1], np.uint64)
+_SMALL = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 #: Words with a selector in a block.
 BLOCK = 1024
 SEGMENT = 65_536
@@ -43,6 +48,8 @@ FILE = "shard int, segment int, first long, doc_ids array<long>, lengths array<l
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id."""
+    if int(ids.max()) < len(_SMALL):
+        return _SMALL[ids]
     high = (ids >> np.uint64(32)).astype(np.uint32)
     if not high.any():
         return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
@@ -66,31 +73,37 @@ def _fits(ids: np.ndarray) -> np.ndarray:
     return best
 
 
+def _starts(takes: np.ndarray) -> np.ndarray:
+    """Where the words start, if one from each place on takes so many ids: leaps of 16 words, then those between."""
+    n, starts, at = len(takes), [], 0
+    leaps = [np.append(np.minimum(np.arange(n) + takes, n), n)]
+    for _ in range(4):
+        leaps.append(leaps[-1][leaps[-1]])
+    far = memoryview(leaps.pop())
+    while at < n:
+        starts.append(at)
+        at = far[at]
+    starts = np.array(starts)
+    for leap in reversed(leaps):
+        starts = np.stack((starts, leap[starts]), 1).ravel()
+    return starts[starts < n]
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(all words of the ids, unsigned 64-bit; places of those that begin a block)."""
     if not len(ids):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    best = _fits(ids)
-    width = _TAKES[best].tolist()
-    starts, at, n = [], 0, len(ids)
-    while at < n:
-        starts.append(at)
-        at += width[at]
-    starts = np.array(starts)
+    n, best = len(ids), _fits(ids)
+    starts = _starts(_TAKES[best])
     selectors = best[starts]
     escaped = selectors == ESCAPE
     places = np.arange(len(starts)) + np.cumsum(escaped) - escaped
+    counts = _TAKES[selectors]
+    shifts = (np.arange(n) - np.repeat(starts, counts)).astype(np.uint64) * np.repeat(_BITS[selectors], counts)
+    packed = np.bitwise_or.reduceat(ids << shifts, starts)
     words = np.zeros(len(starts) + int(escaped.sum()), np.uint64)
-    for selector in np.flatnonzero(np.bincount(selectors)).tolist():
-        mine = np.flatnonzero(selectors == selector)
-        if selector == ESCAPE:
-            words[places[mine]], words[places[mine] + 1] = np.uint64(ESCAPE) << np.uint64(60), ids[starts[mine]]
-            continue
-        bits, first = np.uint64(60 // COUNTS[selector]), starts[mine]
-        packed = np.full(len(mine), selector, np.uint64) << np.uint64(60)
-        for i in range(COUNTS[selector]):
-            packed |= ids[first + i] << (bits * np.uint64(i))
-        words[places[mine]] = packed
+    words[places] = selectors.astype(np.uint64) << np.uint64(60)
+    words[places + escaped] |= packed  # an id that escapes stands in the word behind
     return words, places[::BLOCK]
 
 
@@ -107,18 +120,9 @@ def unpack(words: np.ndarray) -> np.ndarray:
         heads = np.arange(len(words))
     selectors = tops[heads]
     counts = _TAKES[selectors]
-    ends = np.cumsum(counts)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
-    for selector in np.flatnonzero(np.bincount(selectors)).tolist():
-        mine = np.flatnonzero(selectors == selector)
-        if selector == ESCAPE:
-            out[ends[mine] - 1] = words[heads[mine] + 1]
-            continue
-        bits, held = np.uint64(60 // COUNTS[selector]), words[heads[mine]]
-        mask, first = (np.uint64(1) << bits) - np.uint64(1), ends[mine] - COUNTS[selector]
-        for i in range(COUNTS[selector]):
-            out[first + i] = (held >> (bits * np.uint64(i))) & mask
-    return out
+    firsts = np.cumsum(counts) - counts
+    shifts = (np.arange(int(counts.sum())) - np.repeat(firsts, counts)).astype(np.uint64) * np.repeat(_BITS[selectors], counts)
+    return (np.repeat(words[heads + (selectors == ESCAPE)], counts) >> shifts) & np.repeat(_MASKS[selectors], counts)
 
 
 def blocks(words: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -127,26 +131,78 @@ def blocks(words: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         yield unpack(words[a:b])
 
 
-_ASCII_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<")
+_SPACE, _LETTER, _DIGIT, _MARK = range(4)
+_WHITE = b"\x09\x0a\x0b\x0c\x0d\x20"
+_KIND = bytes(
+    _SPACE if c in _WHITE else _DIGIT if c in b"0123456789" else _LETTER if c > 127 or bytes((c,)).isalpha() else _MARK for c in range(256)
+)
+_ODD = bytes(c > 127 or c in b"'<" for c in range(256))  # bytes that may keep their part whole
+_LATIN = 0xC3  # first byte of the letters of Latin-1, but for two signs
+_LOWER = bytes(range(256)).lower()
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Bytes of text that are looked up together, and that are cut at once.
+TOGETHER, CUT = 1 << 22, 1 << 20
+
+
+def _pieces(text: bytes) -> tuple[np.ndarray, pa.Array]:
+    """(where each piece of UTF-8 text starts, the pieces): what stands between white space, cut further where it is plain.
+
+    Plain parts hold ASCII without apostrophes and ``<``, and the letters of Latin-1: their pieces are lower-cased runs of
+    letters, digits, and runs of marks.  The text ends with white space.
+    """
+    data = np.frombuffer(text, np.uint8)
+    kind = np.frombuffer(text.translate(_KIND), np.uint8)
+    cut = np.ones(len(kind), bool)
+    np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+    cut |= kind == _DIGIT
+    starts = np.flatnonzero(cut)
+    space = kind[starts] == _SPACE
+    low = np.frombuffer(text.translate(_LOWER, _WHITE), np.uint8).copy()
+    odd = np.flatnonzero(np.frombuffer(text.translate(_ODD), bool))
+    byte, before = data[odd], data[odd - 1]
+    odd = odd[(byte != _LATIN) & ((before != _LATIN) | (byte == 0x97) | (byte == 0xB7))]
+    latin = np.flatnonzero(low == _LATIN) + 1
+    low[latin[(low[latin] < 0x9F) & (low[latin] != 0x97)]] += 0x20
+    whole = None
+    if len(odd):
+        gaps = np.flatnonzero(space)
+        part = np.searchsorted(starts[gaps], odd)  # how many runs of white space stand before
+        part = part[np.diff(part, prepend=-1) > 0]
+        first, last = np.where(part > 0, gaps[part - 1] + 1, 0), gaps[part]
+        whole = np.zeros(len(starts), bool)
+        whole[first] = True
+        more = last - first > 1
+        step = np.zeros(len(starts), np.int8)
+        step[first[more] + 1], step[last[more]] = 1, -1
+        kept = np.cumsum(step, dtype=np.int8) == 0
+        starts, space, whole = starts[kept], space[kept], whole[kept]
+    word = ~space
+    lengths = np.diff(starts, append=len(text))[word]
+    if whole is not None:
+        low = np.where(np.repeat(whole[word], lengths), np.frombuffer(text.translate(None, _WHITE), np.uint8), low)
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return starts[word], pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(low))
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, lower-cases, and parts letters, digits and other marks.
 
-    Each part between white space is remembered, in bounded memory.  New parts are cut into the tokenizer's pieces where
-    those are plain: ASCII without apostrophes and ``<``, or a word with ASCII marks behind it whose normal form has only
+    Texts are cut into pieces that the tokenizer encodes apart from each other, many texts at once; each distinct piece
+    is looked up once and remembered, in bounded memory.  Parts between white space that are not plain (see ``_pieces``) are
+    pieces as they stand.  Of those, a word with ASCII marks behind it is cut once it is new, if its normal form has only
     letters (a letter whose lower case or normal form holds a combining mark is left to the library with its whole part).
-    New pieces of letters only are encoded in one call of the library and told apart by the tokens that end a word; all else
-    is encoded by itself.  Pieces and parts share one table, as a piece is a part that is not cut.
+    New words are encoded in one call of the library and told apart by the tokens that end a word; all else is encoded by
+    itself.
     """
 
     def __init__(self, definition: str, word_end: str = "</w>", tables: int = 500_000) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(word_end) for i in range(size)])
-        self.plain = Tokenizer.from_str(definition)  # for words of a to z, which are their own normal form and bytes
-        self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
+        self.plain = Tokenizer.from_str(definition)  # for plain words, which are their own normal form
+        self.plain.normalizer, self.plain.pre_tokenizer = None, Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.parts = Generations(lambda part: self._ids(part).tobytes(), tables)
 
     def _ids(self, text: str, tokenizer: Tokenizer | None = None) -> np.ndarray:
@@ -161,61 +217,70 @@ class WordEncoder:
             forms = map(normal, words)
         return {word for word, form in zip(words, forms) if form.isalpha()}
 
-    def _cuts(self, parts: Iterable[str]) -> tuple[dict[str, str], dict[str, str], dict[str, list[str]]]:
-        """Pieces that the tokenizer encodes apart from each other: the word of a part, what stands behind it, or all pieces.
-
-        Parts that are not cut are in none of the three.
-        """
-        words: dict[str, str] = {}
-        behind: dict[str, str] = {}
-        pieces: dict[str, list[str]] = {}
-        other = []
-        for part in parts:
-            if not part.isascii():
-                other.append(part)
-            elif part.isalpha():
-                words[part] = part.lower()
-            elif "'" in part or "<" in part:
-                continue
-            elif part[:-1].isalpha():
-                words[part], behind[part] = part[:-1].lower(), part[-1]
-            else:
-                pieces[part] = _ASCII_PIECES(part.lower())
-        heads = [part.rstrip(_MARKS) for part in other]
-        letters = self._letters([word for word in heads if word.isalpha()])
-        for part, word in zip(other, heads):
-            if word in letters:
-                words[part] = word
-                if len(word) < len(part):
-                    behind[part] = part[len(word):]
-        return words, behind, pieces
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words together."""
-        words.sort(key=str.isascii)
-        others = next((i for i, word in enumerate(words) if word.isascii()), len(words))
-        for at, end in [(at, others) for at in range(0, others, 2000)] + [(at, len(words)) for at in range(others, len(words), 2000)]:
-            some = words[at:min(at + 2000, end)]
-            ids = self._ids(" ".join(some), self.plain if at >= others else None)
+    def _learned(self, words: list[str], tokenizer: Tokenizer) -> dict[str, bytes]:
+        """The ids of words that are encoded together."""
+        found: dict[str, bytes] = {}
+        for at in range(0, len(words), 2000):
+            some = words[at:at + 2000]
+            ids = self._ids(" ".join(some), tokenizer)
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             if len(cuts) == len(some) + 1:
                 data = ids.tobytes()
-                self.parts.put_all({word: data[a:b] for word, a, b in zip(some, cuts, cuts[1:])})
-
-    def packed(self, texts: list[str]) -> list[bytes]:
+                found.update({word: data[a:b] for word, a, b in zip(some, cuts, cuts[1:])})
+        return found
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of new pieces."""
+        found = self._learned([piece for piece in pieces if _PLAIN(piece)], self.plain)
+        parts = [piece for piece in pieces if not piece.isascii() and piece not in found]
+        heads = [part.rstrip(_MARKS) for part in parts]
+        letters = self._letters([word for word in heads if word.isalpha()])
+        words = self._learned(list(self.parts.lacks(letters)), self.tokenizer)
+        ids = ChainMap(words, found, self.parts)
+        found.update({
+            part: ids[word] + (ids[part[len(word):]] if len(word) < len(part) else b"")
+            for part, word in zip(parts, heads) if word in letters
+        })
+        return words | found | {piece: self._ids(piece).tobytes() for piece in pieces if piece not in found}
+
+    def _found(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of the distinct pieces."""
+        found = list(map(self.parts.get, pieces))
+        rest = [at for at, ids in enumerate(found) if ids is None]
+        older = self.parts.older
+        more = {piece: older[piece] for piece in (pieces[at] for at in rest) if piece in older}
+        more |= self._new([pieces[at] for at in rest if pieces[at] not in more])
+        for at in rest:
+            found[at] = more[pieces[at]]
+        self.parts.put_all(more)
+        return found
+
+    def _packed(self, texts: pa.Array) -> Iterator[bytes]:
+        lines = pc.binary_join_element_wise(texts, "\n", "")
+        starts, pieces, ends, done = [], [], np.frombuffer(lines.buffers()[1], np.int32)[1:len(lines) + 1], 0
+        while done < len(lines):
+            at = int(ends[done - 1]) if done else 0
+            done = max(done + 1, int(np.searchsorted(ends, at + CUT, "right")))
+            places, some = _pieces(lines.buffers()[2][at:int(ends[done - 1])].to_pybytes())
+            starts.append(places + at)
+            pieces.append(some)
+        keys = pa.concat_arrays(pieces).dictionary_encode()
+        found = pa.array(self._found(keys.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        _, bounds, ids = found.take(keys.indices).buffers()
+        if not len(keys):
+            return iter([b""] * len(lines))
+        cuts = np.frombuffer(bounds, np.int64)[[0, *np.searchsorted(np.concatenate(starts), ends).tolist()]].tolist()
+        return (ids[a:b].to_pybytes() for a, b in zip(cuts, cuts[1:]))
+
+    def packed(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
         out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts[at:at + 256]]
-            known = self.parts
-            words, behind, pieces = self._cuts(known.lacks(set().union(*parts)))
-            letters = set(words.values()).union(p for more in pieces.values() for p in more if p.isalpha())
-            self._learn(list(known.lacks(letters)))
-            ids = known.__getitem__
-            known.put_all({part: ids(word) for part, word in words.items() if part != word and part not in behind})
-            known.put_all({part: ids(words[part]) + ids(more) for part, more in behind.items()})
-            known.put_all({part: b"".join(map(ids, more)) for part, more in pieces.items()})
-            out += [b"".join(map(ids, p)) for p in parts]
+        while len(out) < len(texts):
+            at = len(out)
+            end = max(at + 1, int(np.searchsorted(size, TOGETHER + (int(size[at - 1]) if at else 0), "right")))
+            out += self._packed(texts.slice(at, end - at))
         return out
 
 
@@ -249,7 +314,7 @@ def write_shards(
         lengths: list[int] = []
         ids: list[bytes] = []
         for batch in batches:
-            for name, packed in zip(batch.column("doc_id").to_pylist(), own.packed(batch.column("text").to_pylist())):
+            for name, packed in zip(batch.column("doc_id").to_pylist(), own.packed(batch.column("text"))):
                 ids.append(packed + end)
                 names.append(name)
                 lengths.append(len(ids[-1]) // 4)

@@ -126,6 +126,22 @@ def test_parts_share_one_bounded_table_and_equal_the_library():
     assert own.parts["brandnew"] == own.parts["Brandnew"] and len(own.parts) <= max(before, 300) + 3
 
 
+def test_each_distinct_plain_piece_is_looked_up_once(monkeypatch):
+    """Case and marks make no new entries, Latin-1 included; texts cut and looked up in small lots give the library's ids."""
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as source:
+        definition = source.read()
+    library, own, dice = Tokenizer.from_str(definition), token_shards.WordEncoder(definition), random.Random(8)
+    own.packed(["Été été, ÉTÉ!\tété", "", "(Word) word,WORD"])
+    assert set(own.parts) == {"été", ",", "!", "(", "word", ")"}
+    monkeypatch.setattr(token_shards, "TOGETHER", 300)
+    monkeypatch.setattr(token_shards, "CUT", 100)
+    own = token_shards.WordEncoder(definition, tables=20)
+    alphabet = [chr(c) for c in range(256)] + [*"aàÀ×÷ßÿÞ \t\n\r,.'<1" * 9, "\u0301", "H\u0331", "\u0178", "\u3000", "漢", "<|endoftext|>"]
+    texts = ["".join(dice.choices(alphabet, k=dice.choice((0, 1, 5, 400)))) for _ in range(1500)]
+    assert own.packed(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert own.packed([]) == [] and own.packed(["", " "]) == [b"", b""]
+
+
 def test_blocks_decode_by_themselves():
     dice = np.random.default_rng(4)
     ids = np.concatenate([dice.integers(0, 50_000, 40_000), dice.integers(0, 1 << 62, 3000), np.zeros(5000, np.int64)]).astype(np.uint64)
