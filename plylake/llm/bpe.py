@@ -29,10 +29,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from plylake.llm.common import id_and_text, kept_in_worker
+from plylake.llm.common import dealt, id_and_text, kept_in_worker, lots
 
 #: A space beside other white space; such texts are split by the pattern alone.
 _RUNS = re.compile(r" (?:(?<=\s )|(?=\s))").search
+#: The same in bytes: ASCII white space, and the first two bytes of longer characters some of which are white space.
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_WIDE = np.zeros(1 << 16, bool)
+_WIDE[[0xE19A, 0xE280, 0xE281, 0xE380]] = True
+#: Bytes of text that are cut and looked up together.
+TOGETHER = 1 << 22
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # Code points that the ``regex`` module's tables call letters or numbers and the library's older ones (Unicode 16) do not.
 NEWER = """
@@ -208,6 +215,18 @@ class Generations(dict):
         self.update(values if max(map(len, values), default=0) <= self.longest else {k: v for k, v in values.items() if len(k) <= self.longest})
 
 
+    def get_all(self, keys: list[str], make_all: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+        """The values of distinct keys; ``make_all`` gives those of the new ones, and none is dropped before it is used."""
+        found = list(map(self.get, keys))
+        rest = [at for at, value in enumerate(found) if value is None]
+        more = {key: self.older[key] for key in (keys[at] for at in rest) if key in self.older}
+        more |= make_all([keys[at] for at in rest if keys[at] not in more])
+        for at in rest:
+            found[at] = more[keys[at]]
+        self.put_all(more)
+        return found
+
+
 class Utf8Stream:
     """Decodes bytes that come in blocks; state: the bytes of an unfinished character."""
 
@@ -235,19 +254,37 @@ class Utf8Stream:
             raise ValueError("the ids end within a character")
 
 
-def decode(tokens: list[bytes], ids: np.ndarray, block: int = 65_536) -> Iterator[str]:
+def decode(tokens: list[bytes] | pa.Array, ids: np.ndarray, block: int = 65_536) -> Iterator[str]:
     """The text of the ids, block by block."""
-    stream = Utf8Stream()
+    stream, tokens = Utf8Stream(), tokens if isinstance(tokens, pa.Array) else pa.array(tokens, pa.large_binary())
     for at in range(0, len(ids), block):
-        yield stream.feed(b"".join(map(tokens.__getitem__, ids[at:at + block].tolist())))
+        yield stream.feed((tokens.take(pa.array(ids[at:at + block])).buffers()[2] or b"").to_pybytes())
     stream.close()
 
 
+def _single_spaces(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where spaces stand that have no other white space beside them within their text (nor, to be brief, some other marks)."""
+    text = np.concatenate((data, np.zeros(2, np.uint8)))
+    at = np.flatnonzero(data == 32)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts] = True
+    first, last = edge[at], edge[at + 1]
+    bad = (_WHITE[text[at - 1]] & ~first) | (_WHITE[text[at + 1]] & ~last)
+    wide = np.flatnonzero((text[at - 1] > 127) & ~first)  # a character of two bytes is white space only from C2 on
+    one, two, three = (text[at[wide] - back] for back in (1, 2, 3))
+    bad[wide] |= np.where(two > 0xBF, two == 0xC2, _WIDE[three.astype(np.uint16) << 8 | two])
+    wide = np.flatnonzero((text[at + 1] > 127) & ~last)
+    one, two = (text[at[wide] + ahead] for ahead in (1, 2))
+    bad[wide] |= (one == 0xC2) | _WIDE[one.astype(np.uint16) << 8 | two]
+    return at[~bad]
+
+
 class Codec:
     """Encoder and decoder of whole texts for one vocabulary and split pattern.
 
     With ``by_space`` (true for patterns that never match across the start of a single space between two other
-    characters) texts are first cut there; a cut-off part is encoded once and remembered.
+    characters) texts are first cut there; a cut-off part is encoded once and remembered.  Many texts are cut at once, and
+    each distinct part of them is looked up once.
     """
 
     def __init__(self, tokens: list[bytes], pattern: str, by_space: bool = True, tables: int = 150_000) -> None:
@@ -255,28 +292,46 @@ class Codec:
         self.tokens, self.split, self.find, self.by_space = tokens, matcher.findall, matcher.finditer, by_space
         self.transducer = Transducer(tokens, 3 * tables)
         self.pieces = Generations(lambda p: packed_ids(self.transducer.encode(p.encode())), tables)
-        self.parts = Generations(lambda part: self._split(" " + part), tables)
+        self.parts = Generations(self._split, tables)
+        self.spelled = pa.array(tokens, pa.large_binary())
 
     def _split(self, text: str) -> bytes:
+        if not text.isascii() and _NEWER.search(text):  # split as if a symbol stood at each of them
+            parts = (text[m.start():m.end()] for m in self.find(_NEWER.sub("\N{SNOWMAN}", text)))
+            return b"".join(map(self.pieces.__getitem__, parts))
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        if not text.isascii() and _NEWER.search(text):  # split as if a symbol stood at each of them
-            parts = (text[m.start():m.end()] for m in self.find(_NEWER.sub("\N{SNOWMAN}", text)))
-            return b"".join(map(self.pieces.__getitem__, parts))
         if not self.by_space or _RUNS(text):
             return self._split(text)
         first, *parts = text.split(" ")
-        return self._split(first) + b"".join(map(self.parts.__getitem__, parts))
+        return self._split(first) + b"".join([self.parts[" " + part] for part in parts])
+
+    def packed_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The same of many texts."""
+        if not self.by_space:
+            yield from (self._split(text.as_py()) for text in texts)
+            return
+        for lot in lots(texts, TOGETHER):
+            ends = np.frombuffer(lot.buffers()[1], np.int32)[lot.offset:lot.offset + len(lot) + 1]
+            text = lot.buffers()[2][int(ends[0]):int(ends[-1])] if ends[-1] else pa.py_buffer(b"")
+            ends = ends - ends[0]
+            data = np.frombuffer(text, np.uint8)
+            cuts = np.union1d(_single_spaces(data, ends), ends).astype(np.int32)
+            parts = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), text)
+            yield from dealt(parts, np.searchsorted(cuts, ends), self._found)
+
+    def _found(self, parts: list[str]) -> list[bytes]:
+        return self.parts.get_all(parts, lambda new: dict(zip(new, map(self._split, new))))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), dtype="<u4").tolist()
 
-    def digests(self, text: str) -> tuple[int, str, str]:
+    def digests(self, packed: bytes) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the packed ids, SHA-256 of the text decoded from them)."""
-        packed, back = self.packed(text), hashlib.sha256()
-        for part in decode(self.tokens, np.frombuffer(packed, dtype="<u4")):
+        back = hashlib.sha256()
+        for part in decode(self.spelled, np.frombuffer(packed, dtype="<u4")):
             back.update(part.encode())
         return len(packed) // 4, hashlib.sha256(packed).hexdigest(), back.hexdigest()
 
@@ -300,7 +355,7 @@ def encode_documents(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern, tables)
         for batch in batches:
-            found = [own.digests(t.as_py()) for t in batch.column("text")]
+            found = list(map(own.digests, own.packed_all(batch.column("text"))))
             columns = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.string(), pa.string())))]
             if found:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -315,7 +370,7 @@ def token_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in batches:
-            ids = pa.array([own.encode(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))
+            ids = pa.array([np.frombuffer(p, dtype="<i4") for p in own.packed_all(batch.column("text"))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")

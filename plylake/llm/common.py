@@ -10,6 +10,9 @@ import gc
 from collections.abc import Callable, Hashable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +78,26 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def lots(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Slices of an array of texts with at most so many bytes, or one text."""
+    upto, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, size + (int(upto[at - 1]) if at else 0), "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def dealt(pieces: pa.Array, bounds: np.ndarray, look_up: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """For each two neighbouring bounds, what ``look_up`` gives for the pieces between, joined; distinct pieces are looked up once."""
+    if not len(pieces):
+        return [b""] * (len(bounds) - 1)
+    keys = pieces.dictionary_encode()
+    found = pa.array(look_up(keys.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+    _, cuts, data = found.take(keys.indices).buffers()
+    cuts = np.frombuffer(cuts, np.int64)[bounds].tolist()
+    return [data[a:b].to_pybytes() for a, b in zip(cuts, cuts[1:])]
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], value: Column, name: str) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over all earlier rows in the global order.
 

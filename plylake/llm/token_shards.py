@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from plylake.llm.bpe import Generations
-from plylake.llm.common import id_and_text, kept_in_worker
+from plylake.llm.common import dealt, id_and_text, kept_in_worker, lots
 from plylake.session import scratch_path
 
 #: Fixed values of Simple-8b: ids in a word by selector; each takes 60 // ids bits.
@@ -244,43 +244,21 @@ class WordEncoder:
         return words | found | {piece: self._ids(piece).tobytes() for piece in pieces if piece not in found}
 
     def _found(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each of the distinct pieces."""
-        found = list(map(self.parts.get, pieces))
-        rest = [at for at, ids in enumerate(found) if ids is None]
-        older = self.parts.older
-        more = {piece: older[piece] for piece in (pieces[at] for at in rest) if piece in older}
-        more |= self._new([pieces[at] for at in rest if pieces[at] not in more])
-        for at in rest:
-            found[at] = more[pieces[at]]
-        self.parts.put_all(more)
-        return found
-
-    def _packed(self, texts: pa.Array) -> Iterator[bytes]:
-        lines = pc.binary_join_element_wise(texts, "\n", "")
-        starts, pieces, ends, done = [], [], np.frombuffer(lines.buffers()[1], np.int32)[1:len(lines) + 1], 0
-        while done < len(lines):
-            at = int(ends[done - 1]) if done else 0
-            done = max(done + 1, int(np.searchsorted(ends, at + CUT, "right")))
-            places, some = _pieces(lines.buffers()[2][at:int(ends[done - 1])].to_pybytes())
-            starts.append(places + at)
-            pieces.append(some)
-        keys = pa.concat_arrays(pieces).dictionary_encode()
-        found = pa.array(self._found(keys.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
-        _, bounds, ids = found.take(keys.indices).buffers()
-        if not len(keys):
-            return iter([b""] * len(lines))
-        cuts = np.frombuffer(bounds, np.int64)[[0, *np.searchsorted(np.concatenate(starts), ends).tolist()]].tolist()
-        return (ids[a:b].to_pybytes() for a, b in zip(cuts, cuts[1:]))
+        return self.parts.get_all(pieces, self._new)
 
     def packed(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
         out: list[bytes] = []
-        while len(out) < len(texts):
-            at = len(out)
-            end = max(at + 1, int(np.searchsorted(size, TOGETHER + (int(size[at - 1]) if at else 0), "right")))
-            out += self._packed(texts.slice(at, end - at))
+        for lot in lots(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), TOGETHER):
+            lines = pc.binary_join_element_wise(lot, "\n", "")
+            starts, pieces, ends, done = [], [], np.frombuffer(lines.buffers()[1], np.int32)[:len(lines) + 1], 0
+            while done < len(lines):
+                at = int(ends[done])
+                done = max(done + 1, int(np.searchsorted(ends, at + CUT, "right")) - 1)
+                places, some = _pieces(lines.buffers()[2][at:int(ends[done])].to_pybytes())
+                starts.append(places + at)
+                pieces.append(some)
+            out += dealt(pa.concat_arrays(pieces), np.searchsorted(np.concatenate(starts), ends), self._found)
         return out
 
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -108,6 +109,21 @@ def test_bpe_tables_are_bounded_together(tik):
         assert len(own.transducer.merges._stable) <= 51 and len(own.pieces) <= 100 and len(own.parts) <= 100
 
 
+def test_bpe_many_texts_are_cut_at_once(tik, monkeypatch):
+    """Texts that are cut together give the library's ids; a part is looked up once, one with odd spaces goes as it stands."""
+    tokens = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    own = bpe.Codec(tokens, P.PATTERN)
+    got = list(own.packed_all(pa.array(["one two two", "", "one two  two", " two"])))
+    assert set(own.parts) == {"one", " two", " two  two"} and got[1] == b""
+    monkeypatch.setattr(bpe, "TOGETHER", 200)
+    own, dice = bpe.Codec(tokens, P.PATTERN, tables=20), random.Random(4)
+    alphabet = [*"  aé1.'s\n\t\r\x1c\x85\xa0\u1680\u2003\u2026\u2028\u202f\u205f\u3000漢\U0001F600\u0558©"]
+    texts = ["".join(dice.choices(alphabet, k=dice.choice((0, 1, 3, 9, 300)))) for _ in range(3000)]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in own.packed_all(pa.array(["x", *texts])[1:])]
+    assert got == [tik.encode_ordinary(text) for text in texts]
+    assert ["".join(bpe.decode(own.spelled, np.array(ids, "<u4"), block=3)) for ids in got] == texts
+
+
 def test_bpe_letters_of_newer_tables(tik):
     """Every code point beside a contraction, by itself and among others, as the library splits it."""
     own = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
